@@ -6,26 +6,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidecast.llm.bpe import bpe_roundtrip
 from tidecast.llm.chat_views import rotate_perspectives
 from tidecast.llm.common import read
 from tidecast.llm.exact_dedup import exact_dedup
+from tidecast.llm.packing import pack
+from tidecast.llm.tiff import media_features
 from tidecast.llm.url_filter import filter_urls
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file on the driver."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op6_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(read(spark, sf_dir, "documents"))
+
+
 def op7_chat_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(read(spark, sf_dir, "conversations"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_roundtrip(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op7_chat_views, op10_url_filter)}
+    return {f.__name__: f for f in (op3_exact_dedup, op4_packing, op6_tiff, op7_chat_views, op9_bpe, op10_url_filter)}
 
 
 NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
