@@ -11,6 +11,7 @@ from tidecast.llm.chat_views import rotate_perspectives
 from tidecast.llm.common import read
 from tidecast.llm.exact_dedup import exact_dedup
 from tidecast.llm.packing import pack
+from tidecast.llm.simhash import simhash_groups
 from tidecast.llm.tiff import media_features
 from tidecast.llm.url_filter import filter_urls
 
@@ -22,6 +23,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(read(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -47,7 +52,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_packing, op6_tiff, op7_chat_views, op9_bpe, op10_url_filter)}
+    return {f.__name__: f for f in (op2_simhash, op3_exact_dedup, op4_packing, op6_tiff, op7_chat_views, op9_bpe, op10_url_filter)}
 
 
 NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
