@@ -11,6 +11,7 @@ from tidecast.llm.chat_views import rotate_perspectives
 from tidecast.llm.common import read
 from tidecast.llm.exact_dedup import exact_dedup
 from tidecast.llm.packing import pack
+from tidecast.llm.repeats import runs_removed
 from tidecast.llm.simhash import simhash_groups
 from tidecast.llm.tiff import media_features
 from tidecast.llm.url_filter import filter_urls
@@ -35,6 +36,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_removed(read(spark, sf_dir, "documents"))
+
+
 def op6_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(read(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_exact_dedup, op4_packing, op6_tiff, op7_chat_views, op9_bpe, op10_url_filter)}
+    return {f.__name__: f for f in (op2_simhash, op3_exact_dedup, op4_packing, op5_repeats, op6_tiff, op7_chat_views, op9_bpe, op10_url_filter)}
 
 
 NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
