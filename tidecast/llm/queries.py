@@ -10,10 +10,12 @@ from tidecast.llm.bpe import bpe_roundtrip
 from tidecast.llm.chat_views import rotate_perspectives
 from tidecast.llm.common import read
 from tidecast.llm.exact_dedup import exact_dedup
+from tidecast.llm.line_dedup import line_groups
 from tidecast.llm.packing import pack
 from tidecast.llm.repeats import runs_removed
 from tidecast.llm.simhash import simhash_groups
 from tidecast.llm.tiff import media_features
+from tidecast.llm.toxicity import score_toxicity, train
 from tidecast.llm.url_filter import filter_urls
 
 
@@ -24,6 +26,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_groups(read(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read(spark, sf_dir, "documents"))
 
@@ -48,6 +54,11 @@ def op7_chat_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate_perspectives(read(spark, sf_dir, "conversations"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return score_toxicity(docs, train(docs, read(spark, sf_dir, "labels")))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_roundtrip(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -57,7 +68,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_exact_dedup, op4_packing, op5_repeats, op6_tiff, op7_chat_views, op9_bpe, op10_url_filter)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_exact_dedup, op4_packing, op5_repeats, op6_tiff, op7_chat_views, op8_toxicity, op9_bpe, op10_url_filter)}
 
 
 NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
