@@ -14,7 +14,7 @@ Minima are aggregated with map-side combining and joined back; no group of docum
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -89,12 +89,12 @@ def stretches(hasher: Hasher, prefix: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield grams[chosen[first]], whole, at + first, count
 
 
-def runs_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """One row per input row: ``id_col``, n_words, n_removed, kept_sha256 (+ kept_text).
+def runs_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per input row: ``id_col``, n_words, n_removed, kept_sha256 (+ kept_text) (+ the columns ``carry``).
 
     Words are cut at ASCII white space and compared as they are. A word goes if it is in a run of 50 consecutive words which
     also starts in a document with a smaller identifier; runs are judged on the input. kept_sha256 is of the kept words
-    joined by a space. Null texts have no words. A null identifier counts as larger than any other. Rows that share an
+    joined by a space; kept_text is these too, but the text as it is (or null) where nothing goes. Null texts have no words. A null identifier counts as larger than any other. Rows that share an
     identifier are no earlier than one another, so that repeated rows have the same result. An empty table gives an empty
     result. Extra columns are ignored.
     """
@@ -165,7 +165,9 @@ def runs_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ends = each.join(owner, "window").where("did > lo").groupBy("did", "seq").agg(F.collect_list(((F.col("first") + F.col("i")) * (1 << 23) + 1)).alias("gone"))
     verdicts = lists.select("did", "seq", "gone").unionByName(ends).groupBy("did").agg(F.collect_list(F.struct("seq", "gone")).alias("gone"))
 
-    kind = docs.schema[id_col].dataType.simpleString()
+    extra = F.struct(*carry).alias("extra") if carry else F.struct(F.lit(0).alias("none")).alias("extra")
+    whole_rows = docs.select(did, F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), extra)
+    kinds = {f: whole_rows.schema[f].dataType.simpleString() for f in ("id", "extra")}
 
     def strip(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -191,10 +193,12 @@ def runs_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 n.append(total)
                 removed.append(gone)
                 sha.append(hashlib.sha256(line).hexdigest())
-                kept_text.append(line.decode() if keep_text else None)
+                kept_text.append((line.decode() if gone else text.as_py()) if keep_text else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_text, pa.string())], names=["id", "n_words", "n_removed", "kept_sha256", "kept_text"]
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_text, pa.string()), batch.column(3)],
+                names=["id", "n_words", "n_removed", "kept_sha256", "kept_text", "extra"],
             )
 
-    out = source.join(verdicts, "did", "left").select("id", "text", "gone").mapInArrow(strip, f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string").withColumnRenamed("id", id_col)
-    return out if keep_text else out.drop("kept_text")
+    schema = f"id {kinds['id']}, n_words long, n_removed long, kept_sha256 string, kept_text string, extra {kinds['extra']}"
+    out = whole_rows.join(verdicts, "did", "left").select("id", "text", "gone", "extra").mapInArrow(strip, schema)
+    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", *["kept_text"] * keep_text, *(F.col(f"extra.{c}") for c in carry))
