@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from tidecast.functions.columns import add_us, diff_us, dot, ntz
 from tidecast.functions.durations import micros
 from tidecast.operators import features as feats
-from tidecast.operators.fit import FittedModel, bounds, fit_series, key_schema, prepare, seed_of, series_of
+from tidecast.operators.fit import FittedModel, bounds, fit_series, key_schema, prepare, seed_of, series_of, with_inner_keys
 from tidecast.operators.predict import score_series
+from tidecast.plans.spec import ModelSpec
 
 log = logging.getLogger(__name__)
 
@@ -63,13 +64,15 @@ def cross_validation(model: FittedModel, history: DataFrame, horizon: str | int,
     All folds of all series are groups of one shuffle. Period defaults to half the horizon, initial to three horizons or
     the longest seasonality. A fold keeps the events of the fitted model and its changepoints up to the cutoff.
     """
-    spec, keys, ts = model.spec, list(model.spec.keys), model.spec.timestamp_name
+    spec, keys, ts = model.spec, model.spec.inner_keys, model.spec.timestamp_name
     horizon_us = micros(horizon)
     longest = max((s.period_us for s in spec.seasonalities), default=0)
     initial_us = micros(initial) if initial is not None else max(3 * horizon_us, longest)
     period_us = micros(period) if period is not None else horizon_us // 2
     if initial_us < 2 * longest:
         log.warning("the initial span is under two of the longest seasonality")
+    plain = history
+    history = with_inner_keys(plain, spec)
     lo, hi = bounds(history, ts)
     if cuts is not None:
         if min(cuts) <= lo or max(cuts) > hi - timedelta(microseconds=horizon_us):
@@ -82,7 +85,7 @@ def cross_validation(model: FittedModel, history: DataFrame, horizon: str | int,
             cutoffs(lo, hi, spec.step_us, horizon_us, initial_us, period_us)
         ends = cutoff_frame(history, ts, spec.step_us, horizon_us, initial_us, period_us, keys)
     fold_spec = replace(spec, events=tuple(replace(e, include=True) for e in spec.events))
-    settled, rows, lo, hi = prepare(history, fold_spec, model.options)
+    settled, rows, lo, hi = prepare(plain, fold_spec, model.options)
     scales = [f.prior_scale for f in feats.features(settled, F.col("t"), F.col("ds"), lo, hi)]
     known = model.params.select(*keys, F.col("changepoints").alias("_cps"))
     rows = rows.join(known, keys) if keys else rows.join(known, how="inner", on=F.lit(True))
@@ -101,7 +104,7 @@ def cross_validation(model: FittedModel, history: DataFrame, horizon: str | int,
 
     schema = f"{key_schema(rows, keys)}ds timestamp_ntz, yhat double, observed_lower double, observed_upper double, y double, cutoff timestamp_ntz"
     done = folds(rows, ends, "ds", horizon_us, keys).groupBy(*keys, "cutoff").applyInPandas(run, schema)
-    return done.withColumnsRenamed({"ds": ts, "y": spec.metric_name})
+    return done.withColumnsRenamed({"ds": ts, "y": spec.metric_name, **dict(zip(keys, spec.keys, strict=True))})
 
 
 def metric_columns(y: Column, yhat: Column, lower: Column, upper: Column) -> dict[str, Column]:
@@ -143,11 +146,17 @@ def anomalies(forecast: DataFrame, history: DataFrame, ts: str = "ds", y: str =
     return joined.where((F.col("observed_upper") < F.col(y)) | (F.col("observed_lower") > F.col(y)))
 
 
+def _outer(spec: ModelSpec) -> list[Column]:
+    return [F.col(i).alias(k) for k, i in zip(spec.keys, spec.inner_keys, strict=True)]
+
+
 def components(model: FittedModel, data: DataFrame) -> DataFrame:
     """keys, ds and a column per term: the sum of its features times their coefficients, on the normalised linked scale."""
-    spec, keys, ts = model.spec, list(model.spec.keys), model.spec.timestamp_name
     from tidecast.operators.grid import steps_between
 
+    spec, keys, ts = model.spec, model.spec.inner_keys, model.spec.timestamp_name
+    data = with_inner_keys(data, spec)
+
     lo, hi = bounds(data, ts)
     params = model.params.select(*keys, "t0", "beta")
     grid = data.join(params, keys) if keys else data.join(params, how="inner", on=F.lit(True))
@@ -157,7 +166,7 @@ def components(model: FittedModel, data: DataFrame) -> DataFrame:
     for i, f in enumerate(made):
         parts.setdefault(f.part, []).append((i, f.column))
     sums = {part: dot(F.array(*[c for _, c in xs]), F.array(*[F.col("beta")[i] for i, _ in xs])) for part, xs in parts.items()}
-    return grid.select(*keys, ts, *(c.alias(n) for n, c in sums.items()))
+    return grid.select(*_outer(spec), ts, *(c.alias(n) for n, c in sums.items()))
 
 
 def one_period(df: DataFrame, ts: str, start: DataFrame, rows: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -171,5 +180,5 @@ def one_period(df: DataFrame, ts: str, start: DataFrame, rows: int, keys: Sequen
 def changepoint_markers(model: FittedModel) -> DataFrame:
     """keys, ds, delta of each changepoint."""
     spec = model.spec
-    each = model.params.select(*spec.keys, "t0", F.explode(F.arrays_zip("changepoints", "delta")).alias("c"))
+    each = model.params.select(*_outer(spec), "t0", F.explode(F.arrays_zip("changepoints", "delta")).alias("c"))
     return each.select(*spec.keys, add_us(F.col("c.changepoints") * F.lit(spec.step_us), F.col("t0")).alias("ds"), F.col("c.delta").alias("delta"))

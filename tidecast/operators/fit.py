@@ -181,7 +181,10 @@ def fit_series(s: Series, spec: ModelSpec, scales: Sequence[float], mode: str =
 
 @dataclass(frozen=True)
 class FittedModel:
-    """A settled spec (protocols and prunings applied), the span of the history, and one row of parameters per series."""
+    """A settled spec (protocols and prunings applied), the span of the history, and one row of parameters per series.
+
+    In ``params`` the keys are called _key0, _key1, ... in the order of the spec's.
+    """
 
     spec: ModelSpec
     params: DataFrame
@@ -194,6 +197,12 @@ class FittedModel:
         return True
 
 
+def with_inner_keys(df: DataFrame, spec: ModelSpec) -> DataFrame:
+    """The columns that the model uses, the keys renamed."""
+    used = [spec.timestamp_name, *[c for c in (spec.metric_name, spec.capacity_name) if c in df.columns], *(e.name for e in spec.externals if e.name in df.columns)]
+    return df.select(*(F.col(k).alias(i) for k, i in zip(spec.keys, spec.inner_keys, strict=True)), *dict.fromkeys(used))
+
+
 def seed_of(key: tuple, seed: int) -> int:
     return zlib.crc32(repr((tuple(map(str, key)), seed)).encode())
 
@@ -219,6 +228,8 @@ def prepare(df: DataFrame, spec: ModelSpec, options: dict, validate: bool = True
     """Validated rows (keys, ds, t, y, capacity, x, t0) and the settled spec."""
     from tidecast.operators.trend import estimate_capacity
 
+    df = with_inner_keys(df, spec)
+    outer, spec = spec.keys, replace(spec, keys=tuple(spec.inner_keys))
     ts, keys, metric = spec.timestamp_name, list(spec.keys), spec.metric_name
     names = [e.name for e in spec.externals]
     check_schema(df, ts, metric, spec.model, spec.capacity_name or None, names)
@@ -236,6 +247,7 @@ def prepare(df: DataFrame, spec: ModelSpec, options: dict, validate: bool = True
     rows = rows.join(origin, keys) if keys else rows.withColumn("t0", F.lit(lo.isoformat(sep=" ")).cast("timestamp_ntz"))
     rows = rows.withColumn("t", steps_between(F.col("t0"), F.col(ts), spec.step_us))
     rows = feats.feature_matrix(rows, spec, lo, hi)
+    spec = replace(spec, keys=outer)
     return spec, rows.select(*keys, F.col(ts).alias("ds"), "t", F.col(metric).cast("double").alias("y"), capacity_column(spec, options).alias("capacity"), "x", "t0"), lo, hi
 
 
@@ -262,7 +274,7 @@ def fit(df: DataFrame, spec: ModelSpec, optimize_mode: str = "MAP", use_laplace:
         raise ValueError("optimize_mode is MAP or MLE")
     options = {"optimize_mode": optimize_mode, "use_laplace": use_laplace, "capacity": capacity, "capacity_mode": capacity_mode, "capacity_value": capacity_value, "draws": draws}
     spec, rows, lo, hi = prepare(df, spec, options, validate)
-    keys = list(spec.keys)
+    keys = spec.inner_keys
     scales = [f.prior_scale for f in feats.features(spec, F.col("t"), F.col("ds"), lo, hi)]
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:

@@ -11,7 +11,7 @@ from tidecast.functions.columns import LINKS, dot
 from tidecast.functions.special import normal_ppf
 from tidecast.operators import features as feats
 from tidecast.operators.families import FAMILIES, INVERSE
-from tidecast.operators.fit import FittedModel, bounds, seed_of
+from tidecast.operators.fit import FittedModel, bounds, seed_of, with_inner_keys
 from tidecast.operators.grid import future_frame, steps_between
 from tidecast.operators.trend import trend
 from tidecast.plans.errors import NotFittedError
@@ -58,7 +58,7 @@ def predict(model: FittedModel, data: DataFrame | None = None, history: DataFram
     """
     if not isinstance(model, FittedModel):
         raise NotFittedError("fit the model first")
-    spec, keys, ts = model.spec, list(model.spec.keys), model.spec.timestamp_name
+    spec, keys, ts = model.spec, model.spec.inner_keys, model.spec.timestamp_name
     if data is None:
         if history is None:
             raise ValueError("give the rows to predict, or the history to go on from")
@@ -66,13 +66,14 @@ def predict(model: FittedModel, data: DataFrame | None = None, history: DataFram
             raise ValueError("external regressors need explicit rows")
         if spec.capacity_name:
             raise ValueError("a capacity column needs explicit rows")
-        data = future_frame(history, ts, spec.step_us, periods, include_history, keys)
+        data = future_frame(history, ts, spec.step_us, periods, include_history, spec.keys)
+    data = with_inner_keys(data, spec)
     lo, hi = bounds(data, ts)
     params = model.params
     grid = data.join(params.drop("draws"), keys) if keys else data.join(params.drop("draws"), how="inner", on=F.lit(True))
     grid = grid.withColumn("t", steps_between(F.col("t0"), F.col(ts), spec.step_us))
     grid = feats.feature_matrix(grid, spec, lo, hi)
-    grid = grid.withColumn("cap", F.col(spec.capacity_name).cast("double") if spec.capacity_name and spec.capacity_name in data.columns else F.col("capacity_fixed"))
+    grid = grid.withColumn("_cap", F.col(spec.capacity_name).cast("double") if spec.capacity_name and spec.capacity_name in data.columns else F.col("capacity_fixed"))
     grid = grid.withColumn("eta_trend", F.col("linked_offset") + F.col("linked_scale") * trend(F.col("t"), F.col("k"), F.col("m"), F.col("changepoints"), F.col("delta")))
     grid = grid.withColumn("eta", F.col("eta_trend") + F.col("linked_scale") * dot(F.col("x"), F.col("beta")))
     samples = spec.trend_samples if spec.n_changepoints else 0
@@ -81,7 +82,7 @@ def predict(model: FittedModel, data: DataFrame | None = None, history: DataFram
     else:
         grid = grid.withColumns({"eta_lo": F.col("eta"), "eta_hi": F.col("eta"), "dev_lo": F.lit(0.0), "dev_hi": F.lit(0.0)})
     inverse = LINKS[FAMILIES[spec.model].link][1]
-    size = F.col("cap") if FAMILIES[spec.model].counts_of else F.lit(1.0)
+    size = F.col("_cap") if FAMILIES[spec.model].counts_of else F.lit(1.0)
     out = grid.withColumns({
         "yhat_linked": F.col("eta"), "yhat_linked_lower": F.col("eta_lo") , "yhat_linked_upper": F.col("eta_hi"),
         "trend_linked": F.col("eta_trend"), "trend_linked_lower": F.col("eta_trend") + F.col("dev_lo"), "trend_linked_upper": F.col("eta_trend") + F.col("dev_hi"),
@@ -91,15 +92,15 @@ def predict(model: FittedModel, data: DataFrame | None = None, history: DataFram
     # The dispersion of beta-binomial rows follows from kappa and each row's capacity.
     phi = F.col("kappa") if spec.model == "beta-binomial" else F.coalesce("phi", F.lit(1.0))
     for side, q in (("lower", tail), ("upper", 1 - tail)):
-        out = out.withColumn(f"observed_{side}", quantile(spec.model, q, F.col("yhat") - F.col("trend") + F.col(f"trend_{side}"), phi, F.coalesce("cap", F.lit(0.0))))
+        out = out.withColumn(f"observed_{side}", quantile(spec.model, q, F.col("yhat") - F.col("trend") + F.col(f"trend_{side}"), phi, F.coalesce("_cap", F.lit(0.0))))
     order = ["yhat", "yhat_linked", "observed", "trend", "trend_linked"]
     names = [f"{n}{b}" for n in order for b in (("", "_lower", "_upper") if n != "observed" else ("_lower", "_upper"))]
-    return out.select(*keys, ts, *(F.col(n).cast("double").alias(n) for n in names))
+    return out.select(*(F.col(i).alias(k) for k, i in zip(spec.keys, keys, strict=True)), ts, *(F.col(n).cast("double").alias(n) for n in names))
 
 
 def with_uncertainty(grid: DataFrame, model: FittedModel, samples: int, compat: bool) -> DataFrame:
     """eta and its bounds over posterior draws, and the trend's simulated deviation, by series."""
-    spec, keys, laplace = model.spec, list(model.spec.keys), model.options["use_laplace"]
+    spec, keys, laplace = model.spec, model.spec.inner_keys, model.options["use_laplace"]
     width = spec.interval_width
     draws = model.params.select(*keys, "draws")
     slim = grid.join(draws, keys) if keys else grid.join(draws, how="inner", on=F.lit(True))

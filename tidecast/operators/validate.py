@@ -13,7 +13,9 @@ from tidecast.functions.durations import micros
 from tidecast.plans.errors import ValidationError
 
 #: Names that results use, with their bounds; features must not have them. Fixed values.
-RESERVED = frozenset(f"{n}{s}" for n in ("yhat", "yhat_linked", "observed", "trend", "trend_linked", "fit") for s in ("", "_lower", "_upper")) | {"ds_int", "dtype_kind", "t", "cutoff", "is_history"}
+RESERVED = frozenset(f"{n}{s}" for n in ("yhat", "yhat_linked", "observed", "trend", "trend_linked", "fit") for s in ("", "_lower", "_upper")) | {"ds_int", "dtype_kind", "cutoff", "is_history"}
+#: Names of parameters and of working columns, closed to columns of the data that a model uses.
+WORKING = frozenset("t x t0 eta eta_lo eta_hi eta_trend dev_lo dev_hi capacity_fixed k m delta changepoints beta kappa phi linked_offset linked_scale y_mean variance_bound t_max n_obs objective steps draws".split())
 COUNTS = ("poisson", "negative binomial", "binomial", "beta-binomial")
 
 
@@ -23,7 +25,7 @@ def check_name(name: str, taken: Sequence[str] = (), reserved: Sequence[str] = (
         raise TypeError("names are text")
     if not name or "__delim__" in name:
         raise ValueError(f"{name!r} is empty or has the delimiter in it")
-    if name in RESERVED or name in reserved:
+    if name in RESERVED or name in WORKING or name in reserved:
         raise ValueError(f"{name!r} is reserved")
     if name in taken:
         raise ValueError(f"{name!r} is in use for another kind of feature")

@@ -8,7 +8,7 @@ from datetime import datetime
 
 from tidecast.functions.durations import instant, micros
 from tidecast.functions.profiles import Profile
-from tidecast.operators.validate import check_name
+from tidecast.operators.validate import WORKING, check_name
 
 log = logging.getLogger(__name__)
 
@@ -141,6 +141,8 @@ class ModelSpec:
     def __post_init__(self) -> None:
         if self.model not in FAMILIES:
             raise NotImplementedError(f"no model {self.model!r}; there are {', '.join(FAMILIES)}")
+        if {self.timestamp_name, self.metric_name, self.capacity_name} & WORKING:
+            raise ValueError("a column has the name of a parameter or working column")
         if micros(self.sampling_period) <= 0:
             raise ValueError("sampling_period must be positive")
         if self.changepoints is not None:
@@ -157,6 +159,11 @@ class ModelSpec:
     def step_us(self) -> int:
         return micros(self.sampling_period)
 
+    @property
+    def inner_keys(self) -> list[str]:
+        """Names of the key columns within the library, where no name of the data can clash."""
+        return [f"_key{i}" for i in range(len(self.keys))]
+
     def _add(self, kind: str, term: Seasonality | External | Event) -> ModelSpec:
         others = [t.name for k in ("seasonalities", "externals", "events") if k != kind for t in getattr(self, k)]
         check_name(term.name, others, [self.timestamp_name, self.metric_name, *filter(None, [self.capacity_name])])
