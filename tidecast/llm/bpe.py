@@ -25,30 +25,21 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-class ByteBPE:
-    """A vocabulary file in the tokenizers library's JSON form, with a bounded cache of encoded pieces."""
+class Merges:
+    """The merge table of a vocabulary, and rounds of merges over many words at once.
 
-    def __init__(self, spec: str, cache: int = 250_000):
-        model = json.loads(spec)
-        vocab: dict[str, int] = model["model"]["vocab"]
-        letters = byte_letters()
-        back = {c: b for b, c in enumerate(letters)}
-        self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
-        self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.first = np.array([vocab[c] for c in letters], np.int64)
-        merges = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
+    Where the vocabulary marks word ends by a suffix, it is part of each word's last symbol.
+    """
+
+    def __init__(self, model: dict):
+        vocab, suffix, letters = model["vocab"], model.get("end_of_word_suffix") or "", byte_letters()
+        self.first = np.array([vocab.get(c, -1) for c in letters], np.int64)
+        self.last = np.array([vocab.get(c + suffix, -1) for c in letters], np.int64)
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in merges], np.int64)
-        made = np.array([vocab[a + b] for a, b in merges], np.int64)
+        self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.rank, self.made = keys[order], order.astype(np.int64), made
-        self.bytes_of: list[bytes] = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
-        for token, i in vocab.items():
-            self.bytes_of[i] = bytes(back[c] for c in token)
-        for token, i in self.special.items():
-            self.bytes_of[i] = token.encode()
-        self.split, self.spaces = regex.compile(SPLIT), re.compile(r"\s\s|\x00")
-        self.known: dict[str, bytes] = {}
-        self.most = cache
+        self.keys, self.rank = keys[order], order.astype(np.int64)
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all words in order, and how many each word has.
@@ -56,7 +47,9 @@ class ByteBPE:
         All words lie in one flat array; every round merges each word's lowest-ranked pair, and words without one leave.
         """
         size = np.fromiter(map(len, words), np.int64, len(words))
-        sym = self.first[np.frombuffer(b"".join(words), np.uint8)]
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        sym, ends = self.first[letters], (np.cumsum(size) - 1)[size > 0]
+        sym[ends] = self.last[letters[ends]]
         word = np.repeat(np.arange(len(words)), size)
         over_ids, over_words = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         while len(sym):
@@ -89,6 +82,26 @@ class ByteBPE:
         ids, of = np.concatenate(over_ids), np.concatenate(over_words)
         return ids[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(words))
 
+class ByteBPE:
+    """A vocabulary file in the tokenizers library's JSON form, with a bounded cache of encoded pieces."""
+
+    def __init__(self, spec: str, cache: int = 250_000):
+        model = json.loads(spec)
+        vocab: dict[str, int] = model["model"]["vocab"]
+        letters = byte_letters()
+        back = {c: b for b, c in enumerate(letters)}
+        self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
+        self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.merges = Merges(model["model"])
+        self.bytes_of: list[bytes] = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
+        for token, i in vocab.items():
+            self.bytes_of[i] = bytes(back[c] for c in token)
+        for token, i in self.special.items():
+            self.bytes_of[i] = token.encode()
+        self.split, self.spaces = regex.compile(SPLIT), re.compile(r"\s\s|\x00")
+        self.known: dict[str, bytes] = {}
+        self.most = cache
+
     def pieces(self, text: str) -> list[str]:
         """Cuts between which no token and no decision of the pattern reaches: before each lone space."""
         if self.spaces.search(text):
@@ -104,7 +117,7 @@ class ByteBPE:
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
             words = [self.split.findall(p) for p in some]
-            ids, counts = self.merge([w.encode() for ws in words for w in ws])
+            ids, counts = self.merges.merge([w.encode() for ws in words for w in ws])
             raw = ids.astype("<u4").tobytes()
             last = np.cumsum([len(ws) for ws in words])
             ends = (4 * np.r_[0, np.cumsum(counts)][last]).tolist()

@@ -8,7 +8,10 @@ pattern is used as many times as the counts allow. Pieces then find their place
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -18,12 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecast.llm.bpe import slices
+from tidecast.llm.bpe import Merges, slices
 from tidecast.llm.common import cut
 
 PIECES = "id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
 _known: dict[str, tuple] = {}
 
+#: Letters and numbers up to U+017F, where lower-casing stays within what these classes know.
+LETTERS, NUMBERS = ("".join(c for c in map(chr, range(0x21, 0x180)) if unicodedata.category(c)[0] == k) for k in "LN")
+#: The vocabulary's own pattern for such letters; other texts go to the library.
+TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
+OTHER = re.compile("[^\t\n\r -~\xa1-\xac\xae-\u017f]|\u0130|<\\|")
+
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
     """The multiset of lengths within ``counts`` whose sum is closest to ``capacity`` from below, as length -> times."""
@@ -83,23 +92,29 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int, window: int, id_col:
             made = Tokenizer.from_str(shared.value)
             made.no_truncation()
             made.no_padding()
-            _known[name] = (made, {})
-        tokenizer, known = _known[name]
+            _known[name] = (made, Merges(json.loads(shared.value)["model"]), {})
+        tokenizer, merges, known = _known[name]
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             ids_of = iter(batch.column(0).to_pylist())
             for texts in slices([t or "" for t in batch.column(1).to_pylist()]):
-                # The vocabulary drops white space, so that what stands between spaces is encoded on its own.
-                words = [t.split(" ") for t in texts]
-                new = {w for ws in words for w in ws}.difference(known)
-                if len(known) + len(new) > 250_000:
+                # Common texts are cut at the vocabulary's pattern here, and each different word is merged once.
+                words = [None if OTHER.search(t) else TOKEN.findall(t.lower()) for t in texts]
+                wanted = {w for ws in words if ws for w in ws}
+                new = list(wanted.difference(known))
+                if len(known) + len(new) > 400_000:
                     known.clear()
-                    new = {w for ws in words for w in ws}
-                new = list(new)
-                for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
+                    new = list(wanted)
+                ids, counts = merges.merge([w.encode() for w in new])
+                raw, at = ids.astype("<u4").tobytes(), 0
+                for w, n in zip(new, (4 * counts).tolist(), strict=True):
+                    known[w] = raw[at : at + n]
+                    at += n
+                rest = [t for t, ws in zip(texts, words, strict=True) if ws is None]
+                by_library = iter(tokenizer.encode_batch_fast(rest, add_special_tokens=False))
                 for ws in words:
-                    ids, i = b"".join(map(known.__getitem__, ws)) + end, next(ids_of)
+                    body = np.array(next(by_library).ids, "<u4").tobytes() if ws is None else b"".join(map(known.__getitem__, ws))
+                    ids, i = body + end, next(ids_of)
                     for at in range(0, len(ids), 4 * window):
                         piece = ids[at : at + 4 * window]
                         for column, x in zip(out, (i, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4), strict=True):
