@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BITMAP = 1 << 24
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -47,3 +48,16 @@ def written(df: DataFrame) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())
+
+
+def maybe_in(df: DataFrame, key: str, ids: DataFrame, without: bool = False) -> DataFrame:
+    """Rows whose ``key`` may be among those of ``ids``, without a shuffle of the rows; or those whose key surely is not.
+
+    A filter before a join, never in its place: a bitmap of BITMAP bits by hash, that is at most BITMAP / 64 rows to
+    broadcast whatever the size of ``ids``. With many more keys than bits it lets everything pass.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(F.lit(7), c), F.lit(BITMAP))
+    marks = ids.select(bit(F.col(key)).alias("b")).groupBy(F.shiftright("b", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("_marks"))
+    seen = df.withColumn("_bit", bit(F.col(key))).withColumn("_word", F.shiftright("_bit", 6)).join(F.broadcast(marks), "_word", "left")
+    hit = F.coalesce(F.expr("(shiftright(_marks, cast(_bit & 63 as int)) & 1) = 1"), F.lit(False))
+    return seen.where(~hit if without else hit).select(*df.columns)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import cut
+from tidecast.llm.common import cut, maybe_in
 from tidecast.llm.components import connected_components
 
 PAIRS = 4096
@@ -234,7 +234,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = source.select("text").mapInArrow(rows, "k long, asks boolean, h long, sketch long").repartition("k").sortWithinPartitions("k", "asks", "h")
     candidates = cut(met.mapInArrow(meet, "a long, b long").distinct())
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    line_of = source.select("text").mapInArrow(texts, "h long, line string").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    line_of = maybe_in(source.select("text").mapInArrow(texts, "h long, line string"), "h", wanted).join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
     line_of = cut(line_of)
     a, b = line_of.select(F.col("h").alias("a"), F.col("line").alias("left")), line_of.select(F.col("h").alias("b"), F.col("line").alias("right"))
     links = cut(candidates.join(a, "a").join(b, "b").select("a", "b", "left", "right").mapInArrow(verify, "a long, b long"))
