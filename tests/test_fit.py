@@ -120,6 +120,10 @@ def test_bad_histories(spark):
         T.fit(df.withColumn("ds", F.col("ds").cast("timestamp")), spec)
     with pytest.raises(T.NotFittedError):
         T.predict(spec, df)
+    model = T.fit(df, spec)
+    assert model.is_fitted and not spec.is_fitted and spec.panels == ["trend"]
+    with pytest.raises(T.FittedError):
+        T.fit(df, model)
 
 
 def test_constant_and_degenerate(spark):

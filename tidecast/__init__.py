@@ -3,6 +3,7 @@
 from tidecast.functions.holidays import holidays
 from tidecast.functions.profiles import BoxCar, Cauchy, Exponential, Gaussian
 from tidecast.operators.diagnostics import anomalies, components, cross_validation, performance_metrics
+from tidecast.operators.features import holiday_frame
 from tidecast.operators.fit import FittedModel, fit
 from tidecast.operators.grid import cast_kind, future_frame, sampling_period, time_index
 from tidecast.operators.predict import predict
@@ -13,6 +14,6 @@ from tidecast.sources.tables import load_data, load_model, save_model
 
 __all__ = [
     "BoxCar", "Calendric", "Cauchy", "Event", "Exponential", "External", "FittedError", "FittedModel", "Gaussian", "ModelSpec", "NotFittedError", "Seasonality", "ValidationError",
-    "anomalies", "cast_kind", "components", "cross_validation", "fit", "from_json", "future_frame", "holidays", "load_data", "load_model", "model_from_toml", "performance_metrics",
+    "anomalies", "cast_kind", "components", "cross_validation", "fit", "from_json", "future_frame", "holiday_frame", "holidays", "load_data", "load_model", "model_from_toml", "performance_metrics",
     "predict", "sampling_period", "save_model", "time_index", "to_json",
 ]

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from datetime import datetime, time, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast.functions.columns import diff_us, fourier, ntz
@@ -51,6 +51,12 @@ def anchors_of(event: Event, lo: datetime, hi: datetime) -> list[datetime]:
     return list(event.anchors)
 
 
+def holiday_frame(spark: SparkSession, country: str, lo: datetime, hi: datetime, subdiv: str | None = None) -> DataFrame:
+    """holiday_date, holiday of the days whose midnight lies within lo and hi."""
+    rows = [(d, n) for d, n in holidays(country, range(lo.year, hi.year + 1), subdiv) if lo <= datetime.combine(d, time()) <= hi]
+    return spark.createDataFrame(rows, "holiday_date date, holiday string")
+
+
 def impact(event: Event, lo: datetime, hi: datetime) -> float:
     """Share of the anchors that lie within the data; zero without anchors."""
     at = anchors_of(event, lo, hi)

@@ -22,6 +22,7 @@ from tidecast.operators import features as feats
 from tidecast.operators.families import FAMILIES, INVERSE, LINK, expit
 from tidecast.operators.grid import steps_between
 from tidecast.operators.validate import check_rows, check_schema, validation_report
+from tidecast.plans.errors import FittedError
 from tidecast.plans.spec import ModelSpec
 
 EPS = 1e-10
@@ -270,6 +271,8 @@ def key_schema(df: DataFrame, keys: Sequence[str]) -> str:
 
 def fit(df: DataFrame, spec: ModelSpec, optimize_mode: str = "MAP", use_laplace: bool = False, capacity: int | None = None, capacity_mode: str = "scale", capacity_value: float = 0.5, draws: int = 1000, validate: bool = True) -> FittedModel:
     """Fit every series of the frame. The returned model's params stay lazy until used; persist or write them to reuse."""
+    if isinstance(spec, FittedModel):
+        raise FittedError("the model is fitted; fit its spec again for another history")
     if optimize_mode.upper() not in ("MAP", "MLE"):
         raise ValueError("optimize_mode is MAP or MLE")
     options = {"optimize_mode": optimize_mode, "use_laplace": use_laplace, "capacity": capacity, "capacity_mode": capacity_mode, "capacity_value": capacity_value, "draws": draws}

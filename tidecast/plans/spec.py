@@ -159,6 +159,15 @@ class ModelSpec:
     def step_us(self) -> int:
         return micros(self.sampling_period)
 
+    @property
+    def is_fitted(self) -> bool:
+        return False
+
+    @property
+    def panels(self) -> list[str]:
+        """What a component view shows, in order: the trend, each seasonality, events, external regressors."""
+        return ["trend", *(s.name for s in self.seasonalities), *["events"] * bool(self.events), *["externals"] * bool(self.externals)]
+
     @property
     def inner_keys(self) -> list[str]:
         """Names of the key columns within the library, where no name of the data can clash."""

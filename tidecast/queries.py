@@ -280,9 +280,7 @@ HOLIDAYS = ", ".join(f"(DATE '{d}', '{n.replace(chr(39), chr(39) * 2)}')" for d,
 
 @query(f"SELECT d AS holiday_date, n AS holiday FROM (VALUES {HOLIDAYS}) v(d, n), (SELECT min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM orders) WHERE d BETWEEN lo AND hi")
 def holiday_calendar(spark, sf_dir):
-    lo, hi = bounds(table(spark, sf_dir, "orders"), "o_orderdate")
-    rows = spark.createDataFrame(holidays("US", range(lo.year, hi.year + 1)), "holiday_date date, holiday string")
-    return rows.where(F.col("holiday_date").cast("timestamp_ntz").between(ntz(lo), ntz(hi)))
+    return feats.holiday_frame(spark, "US", *bounds(table(spark, sf_dir, "orders"), "o_orderdate"))
 
 
 @query(f"""WITH {S1}, h AS (SELECT d::TIMESTAMP AS a FROM (VALUES {HOLIDAYS}) v(d, n), (SELECT min(ds) AS lo, max(ds) AS hi FROM s1) WHERE n = 'Thanksgiving Day' AND d BETWEEN lo AND hi)
