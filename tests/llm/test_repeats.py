@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from tidecast.llm import common
 from tidecast.llm import repeats as R
 
 
@@ -37,9 +38,11 @@ def test_least():
         assert R.least_in_windows(x, 7).tolist() == [x[i : i + 7].min() for i in range(n - 6)]
 
 
-@pytest.mark.parametrize("block", [1 << 22, 60])
-def test_against_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, few, bits", [(1 << 22, 64, 1 << 24), (60, 1, 64), (1000, 3, 1 << 12)])
+def test_against_brute_force(spark, monkeypatch, block, few, bits):
     monkeypatch.setattr(R, "BLOCK", block)
+    monkeypatch.setattr(R, "FEW", few)
+    monkeypatch.setattr(common, "BITMAP", bits)
     rng = np.random.default_rng(7)
     vocab = [f"w{i}" for i in range(400)] + ["É", "x\x1cy"]
     word = lambda n: list(rng.choice(vocab, n))

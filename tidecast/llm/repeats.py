@@ -8,7 +8,8 @@ anchors and, but for the ends of the common run, equal stretches; so
 2. a stretch that an earlier document has as a whole goes as a whole, and
 3. only where a shared anchor's stretches differ are they extended window by window; each window goes by its first document.
 
-Minima are aggregated with map-side combining and joined back; no group of documents is gathered, no pairs are made.
+Minima are aggregated with map-side combining and joined back; no unbounded group of documents is gathered, no pairs are made.
+Texts are moved only for documents that have such stretches.
 """
 
 from __future__ import annotations
@@ -22,12 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import cut
+from tidecast.llm.common import cut, maybe_in, written
 
 WINDOW, ANCHOR = 50, 10
 BASE = 0x9E3779B97F4A7C15 | 1
 BLOCK = 1 << 22
 LAST = 2**63 - 1
+TAG = (1 << 20) - 1
+#: Up to so many different stretches of an anchor are compared as one row; those of more common anchors window by window.
+FEW = 64
 
 
 class Hasher:
@@ -89,116 +93,115 @@ def stretches(hasher: Hasher, prefix: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield grams[chosen[first]], whole, at + first, count
 
 
+def pack_pos(first: np.ndarray, count: np.ndarray | int, tag: int) -> np.ndarray:
+    """First window, how many (at most WINDOW - ANCHOR + 1), and the tag of the text, which tells rows of one identifier apart."""
+    return first << 26 | count << 20 | tag & TAG
+
+
 def runs_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """One row per input row: ``id_col``, n_words, n_removed, kept_sha256 (+ kept_text) (+ the columns ``carry``).
 
     Words are cut at ASCII white space and compared as they are. A word goes if it is in a run of 50 consecutive words which
     also starts in a document with a smaller identifier; runs are judged on the input. kept_sha256 is of the kept words
-    joined by a space; kept_text is these too, but the text as it is (or null) where nothing goes. Null texts have no words. A null identifier counts as larger than any other. Rows that share an
-    identifier are no earlier than one another, so that repeated rows have the same result. An empty table gives an empty
-    result. Extra columns are ignored.
+    joined by a space; kept_text is these too, but the text as it is (or null) where nothing goes. Null texts have no words.
+    A null identifier counts as larger than any other. Rows that share an identifier are no earlier than one another, so that
+    repeated rows have the same result. An empty table gives an empty result. Extra columns are ignored.
     """
-    did = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("did")
-    source = docs.select(did, F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    types = {"did": "long", "seq": "long", "pos": "long", "anchor": "long", "whole": "long"}
-
-    def prefix_of(hasher: Hasher, text: str | None) -> np.ndarray:
-        return hasher.prefix(hasher.words((text or "").encode().split()))
-
-    def seq_of(hasher: Hasher, prefix: np.ndarray) -> int:
-        return int(hasher.runs(prefix, np.zeros(1, np.int64), len(prefix) - 1).view(np.int64)[0])
+    did, text = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("did"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+    source = docs.select(did, F.xxhash64(text).alias("tag"), text)
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            size = 0
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                prefix = prefix_of(hasher, text.as_py())
-                if len(prefix) <= WINDOW:
-                    continue
-                seq = seq_of(hasher, prefix)
-                for anchor, whole, first, count in stretches(hasher, prefix):
-                    n = len(anchor)
-                    size += n
-                    for column, x in zip(out, (np.full(n, d), np.full(n, seq), first << 23 | count, anchor.view(np.int64), whole.view(np.int64)), strict=True):
-                        column.append(x)
-                if size > 500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=list(types))
-                    out, size = [[], [], [], [], []], 0
-            if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=list(types))
-
-    found = cut(source.select("did", "text").mapInArrow(find, ", ".join(f"{k} {v}" for k, v in types.items())))
-    anchors = found.groupBy("anchor").agg(F.min("did").alias("lo"), F.max("did").alias("hi"), F.min("whole").alias("w0"), F.max("whole").alias("w1"))
-    shared = anchors.where("lo < hi").select("anchor", "lo", (F.col("w0") == F.col("w1")).alias("alike"))
-    at_shared = cut(found.join(shared, "anchor"))
-    alike = at_shared.where("alike AND did > lo").select("did", "seq", F.col("pos").alias("gone"), F.lit(None).cast("long").alias("open"))
-    mixed = at_shared.where("NOT alike").select("did", "seq", "pos", "anchor", "whole")
-    earliest = mixed.groupBy("anchor", "whole").agg(F.min("did").alias("m"))
-    judged = mixed.join(earliest, ["anchor", "whole"]).select("did", "seq", F.when(F.col("did") > F.col("m"), F.col("pos")).alias("gone"), F.when(F.col("did") == F.col("m"), F.col("pos")).alias("open"))
-    lists = cut(alike.unionByName(judged).groupBy("did", "seq").agg(F.collect_list("gone").alias("gone"), F.collect_list("open").alias("open")))
+            out: list[tuple] = []
+            for d, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                prefix = hasher.prefix(hasher.words(text.as_py().encode().split()))
+                if len(prefix) > WINDOW:
+                    out += [(d, pack_pos(first, count, tag), anchor.view(np.int64), whole.view(np.int64)) for anchor, whole, first, count in stretches(hasher, prefix)]
+            if out:
+                columns = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in columns[1:])], names=["did", "pos", "anchor", "whole"])
+
+    found = cut(source.mapInArrow(find, "did long, pos array<long>, anchor array<long>, whole array<long>"))
+    found = found.select("did", F.explode(F.arrays_zip("pos", "anchor", "whole")).alias("s")).select("did", "s.pos", "s.anchor", "s.whole")
+    shared = found.groupBy("anchor").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("anchor")
+    at_shared = written(found.join(shared, "anchor", "left_semi"))
+    earliest = at_shared.groupBy("anchor", "whole").agg(F.min("did").alias("m"))
+    kinds = earliest.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    judged = at_shared.join(earliest.join(kinds, "anchor"), ["anchor", "whole"])
+    gone = F.when(F.col("did") > F.col("m"), F.col("pos"))
+    opened = F.when((F.col("did") == F.col("m")) & (F.col("kinds") > 1), F.struct("pos", "anchor", (F.col("kinds") > FEW).alias("crowd")))
+    judged = judged.select("did", gone.alias("gone"), opened.alias("open")).where("gone IS NOT NULL OR open IS NOT NULL")
+    lists = cut(judged.groupBy("did").agg(F.collect_list("gone").alias("gone"), F.collect_list("open").alias("open")))
 
     def extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
             rows: list[tuple] = []
-            hashes: list[np.ndarray] = []
-            for d, seq, opened, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
-                prefix = prefix_of(hasher, text.as_py())
-                if len(prefix) <= WINDOW or seq_of(hasher, prefix) != seq:
-                    continue
-                pos = np.unique(np.array(opened, np.int64))
-                first, count = pos >> 23, pos & (1 << 23) - 1
-                starts = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                windows = hasher.runs(prefix, starts, WINDOW).view(np.int64)
-                hashes += np.split(windows, np.cumsum(count)[:-1])
-                rows += [(d, seq, f) for f in first.tolist()]
+            for d, tag, opened, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                prefix, seen = hasher.prefix(hasher.words(text.as_py().encode().split())), set()
+                for o in opened:
+                    pos = o["pos"]
+                    if pos & TAG == tag & TAG and pos not in seen:
+                        seen.add(pos)
+                        first = pos >> 26
+                        rows.append((d, pos, o["anchor"], o["crowd"], hasher.runs(prefix, np.arange(first, first + (pos >> 20 & 63)), WINDOW).view(np.int64)))
             if rows:
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*rows, strict=True)), pa.array(hashes, pa.list_(pa.int64()))], names=["did", "seq", "first", "windows"])
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["did", "pos", "anchor", "crowd", "windows"])
 
-    text_of = source.select("did", "text")
-    opened = lists.where(F.size("open") > 0).select("did", "seq", "open").join(text_of, "did").select("did", "seq", "open", "text")
-    extended = cut(opened.mapInArrow(extend, "did long, seq long, first long, windows array<long>").dropDuplicates(["did", "seq", "first"]))
-    each = extended.select("did", "seq", "first", F.posexplode("windows").alias("i", "window"))
-    owner = each.groupBy("window").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("window", "lo")
-    ends = each.join(owner, "window").where("did > lo").groupBy("did", "seq").agg(F.collect_list(((F.col("first") + F.col("i")) * (1 << 23) + 1)).alias("gone"))
-    verdicts = lists.select("did", "seq", "gone").unionByName(ends).groupBy("did").agg(F.collect_list(F.struct("seq", "gone")).alias("gone"))
-
-    extra = F.struct(*carry).alias("extra") if carry else F.struct(F.lit(0).alias("none")).alias("extra")
-    whole_rows = docs.select(did, F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), extra)
-    kinds = {f: whole_rows.schema[f].dataType.simpleString() for f in ("id", "extra")}
+    def resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of a few stretches around one anchor that an earlier one of them has."""
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for group in batch.column(0).to_pylist():
+                first: dict[int, int] = {}
+                for g in group:
+                    for w in g["windows"]:
+                        first[w] = min(first.get(w, LAST), g["did"])
+                for g in group:
+                    out += [(g["did"], g["pos"] + (i << 26) & ~(63 << 20) | 1 << 20) for i, w in enumerate(g["windows"]) if first[w] < g["did"]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["did", "pos"])
+
+    needs = lists.where(F.size("open") > 0).select("did", "open")
+    extended = maybe_in(source, "did", needs).join(needs, "did").select("did", "tag", "open", "text").mapInArrow(extend, "did long, pos long, anchor long, crowd boolean, windows array<long>")
+    extended = written(extended)
+    few = extended.where("NOT crowd").groupBy("anchor").agg(F.collect_list(F.struct("did", "pos", "windows")).alias("g")).select("g").mapInArrow(resolve, "did long, pos long")
+    each = extended.where("crowd").select("did", "pos", "anchor", F.posexplode("windows").alias("i", "window"))
+    owner = each.groupBy("anchor", "window").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("anchor", "window", "lo")
+    one = ((F.shiftright("pos", 26) + F.col("i")) * (1 << 26) + (1 << 20) + F.col("pos").bitwiseAND(TAG)).alias("pos")
+    many = each.join(owner, ["anchor", "window"]).where("did > lo").select("did", one)
+    ends = few.unionByName(many).groupBy("did").agg(F.collect_list("pos").alias("gone"))
+    verdicts = cut(lists.where(F.size("gone") > 0).select("did", "gone").unionByName(ends).groupBy("did").agg(F.flatten(F.collect_list("gone")).alias("gone")))
+
+    extra = F.struct(*(F.col(c) for c in carry)).alias("extra") if carry else F.struct(F.lit(0).alias("none")).alias("extra")
+    whole_rows = docs.select(did, F.xxhash64(text).alias("tag"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), extra)
+    types = {f: whole_rows.schema[f].dataType.simpleString() for f in ("id", "extra")}
 
     def strip(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for batch in batches:
             n, removed, sha, kept_text = [], [], [], []
-            for text, verdict in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for tag, text, verdict in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 words = (text.as_py() or "").encode().split()
-                gone = 0
-                if verdict and len(words) >= WINDOW:
-                    seqs = {v["seq"] for v in verdict}
-                    own = seq_of(hasher, hasher.prefix(hasher.words(words))) if len(seqs) > 1 else next(iter(seqs))
-                    pos = np.array([p for v in verdict if v["seq"] == own for p in v["gone"]], np.int64)
-                    step = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(step, pos >> 23, 1)
-                    np.add.at(step, (pos >> 23) + (pos & (1 << 23) - 1) + WINDOW - 1, -1)
-                    stay = np.cumsum(step[:-1]) == 0
-                    gone = len(words) - int(stay.sum())
-                    total = len(words)
-                    words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
-                else:
-                    total = len(words)
+                total, pos = len(words), np.array([p for p in verdict or () if p & TAG == tag & TAG], np.int64)
+                if len(pos):
+                    step, first = np.zeros(total + 1, np.int64), pos >> 26
+                    np.add.at(step, first, 1)
+                    np.add.at(step, first + (pos >> 20 & 63) + WINDOW - 1, -1)
+                    words = [w for w, depth in zip(words, np.cumsum(step[:-1]).tolist(), strict=True) if not depth]
                 line = b" ".join(words)
                 n.append(total)
-                removed.append(gone)
+                removed.append(total - len(words))
                 sha.append(hashlib.sha256(line).hexdigest())
-                kept_text.append((line.decode() if gone else text.as_py()) if keep_text else None)
+                kept_text.append((line.decode() if len(pos) else text.as_py()) if keep_text else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_text, pa.string()), batch.column(3)],
+                [batch.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_text, pa.string()), batch.column(4)],
                 names=["id", "n_words", "n_removed", "kept_sha256", "kept_text", "extra"],
             )
 
-    schema = f"id {kinds['id']}, n_words long, n_removed long, kept_sha256 string, kept_text string, extra {kinds['extra']}"
-    out = whole_rows.join(verdicts, "did", "left").select("id", "text", "gone", "extra").mapInArrow(strip, schema)
+    untouched = maybe_in(whole_rows, "did", verdicts, without=True).withColumn("gone", F.lit(None).cast("array<long>"))
+    touched = maybe_in(whole_rows, "did", verdicts).join(verdicts, "did", "left")
+    rows = untouched.unionByName(touched).select("tag", "id", "text", "gone", "extra")
+    out = rows.mapInArrow(strip, f"id {types['id']}, n_words long, n_removed long, kept_sha256 string, kept_text string, extra {types['extra']}")
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", *["kept_text"] * keep_text, *(F.col(f"extra.{c}") for c in carry))
