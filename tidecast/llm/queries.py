@@ -78,6 +78,15 @@ ORACLE = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM (SELECT doc_id, {NORM} AS norm FROM documents) WINDOW w AS (PARTITION BY norm)""",
+    "op5_repeats": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        windows AS (SELECT doc_id, s, md5(array_to_string(ws[s:s + 49], ' ')) AS h FROM d, unnest(range(1, len(ws) - 48)) u(s) WHERE len(ws) >= 50),
+        firsts AS (SELECT h, min(doc_id) AS first_id FROM windows GROUP BY h),
+        gone AS (SELECT DISTINCT doc_id, p FROM windows JOIN firsts USING (h), unnest(range(s, s + 50)) u(p) WHERE first_id < doc_id),
+        words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS line, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
     "op7_chat_views": """
         WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, coalesce(text, '') AS text FROM conversations),
         who AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
