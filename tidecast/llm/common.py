@@ -21,26 +21,27 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint, whose files outlive executors.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests) is another one chosen:
-    a temporary folder in local mode, else a folder in the warehouse, which a cluster shares.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the session's ``spark.checkpoint.dir``, and only where that is unset (tests) another one: a
+    temporary folder in local mode, else a folder in the warehouse, which a cluster shares."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and context.master.split("[")[0] == "local":
             named = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return str(context.getCheckpointDir())
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint, whose files outlive executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The frame as a Parquet table in the shared checkpoint folder, read again: for rows that carry whole texts."""
-    cut(df.sparkSession.range(0))  # settles the folder
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    """The frame as a Parquet table in the shared folder, read again: smaller than a checkpoint for wide or many rows."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
