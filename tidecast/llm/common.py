@@ -58,7 +58,7 @@ def maybe_in(df: DataFrame, key: str, ids: DataFrame, without: bool = False) ->
     broadcast whatever the size of ``ids``. With many more keys than bits it lets everything pass.
     """
     bit = lambda c: F.pmod(F.xxhash64(F.lit(7), c), F.lit(BITMAP))
-    marks = ids.select(bit(F.col(key)).alias("b")).groupBy(F.shiftright("b", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("_marks"))
-    seen = df.withColumn("_bit", bit(F.col(key))).withColumn("_word", F.shiftright("_bit", 6)).join(F.broadcast(marks), "_word", "left")
-    hit = F.coalesce(F.expr("(shiftright(_marks, cast(_bit & 63 as int)) & 1) = 1"), F.lit(False))
+    marks = ids.select(bit(F.col(key)).alias("b")).groupBy(F.shiftright("b", 6).alias("_bitmap_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("_bitmap_marks"))
+    seen = df.withColumn("_bitmap_bit", bit(F.col(key))).withColumn("_bitmap_word", F.shiftright("_bitmap_bit", 6)).join(F.broadcast(marks), "_bitmap_word", "left")
+    hit = F.coalesce(F.expr("(shiftright(_bitmap_marks, cast(_bitmap_bit & 63 as int)) & 1) = 1"), F.lit(False))
     return seen.where(~hit if without else hit).select(*df.columns)
