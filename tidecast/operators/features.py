@@ -136,7 +136,7 @@ def apply_protocols(spec: ModelSpec, history: DataFrame, lo: datetime, hi: datet
     sample = differences(history.select(*spec.keys, spec.timestamp_name), spec.timestamp_name, spec.keys).agg(F.percentile("diff_us", 0.3).alias("q")).first()["q"]
     span = _us(hi - lo) + sample
     for p in spec.protocols:
-        if p.country and p.profile:
+        if p.country:
             for name in sorted({n for d, n in holidays(p.country, range(lo.year, hi.year + 1), p.subdiv) if lo <= datetime.combine(d, time()) <= hi}):
                 if name not in {e.name for e in spec.events}:
                     spec = spec.add_event(name, p.profile, "holiday", country=p.country, subdiv=p.subdiv, holiday=name, prior_scale=p.event_prior_scale)

@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass, field, fields, replace
 from datetime import datetime
 
 from tidecast.functions.durations import instant, micros
-from tidecast.functions.profiles import Profile
+from tidecast.functions.profiles import BoxCar, Profile
 from tidecast.operators.validate import WORKING, check_name
 
 log = logging.getLogger(__name__)
@@ -88,7 +88,7 @@ class Calendric:
 
     country: str | None = None
     subdiv: str | None = None
-    profile: Profile | None = None
+    profile: Profile = BoxCar("1d")
     yearly: bool | int | str = "auto"
     quarterly: bool | int | str = False
     monthly: bool | int | str = False
@@ -104,14 +104,14 @@ class Calendric:
                 raise ValueError(f"{name} must be True, False, 'auto' or a whole number >= 1")
 
     def to_dict(self) -> dict:
-        return {"type": "Calendric", **asdict(self), "profile": self.profile and self.profile.to_dict()}
+        return {"type": "Calendric", **asdict(self), "profile": self.profile.to_dict()}
 
     @staticmethod
     def from_dict(data: dict) -> Calendric:
         if data.get("type", "Calendric") != "Calendric":
             raise NotImplementedError(f"no protocol {data['type']!r}")
-        profile = data.get("profile")
-        return Calendric(**{k: v for k, v in data.items() if k not in ("type", "profile")}, profile=Profile.from_dict(profile) if profile else None)
+        profile = {"profile": Profile.from_dict(data["profile"])} if data.get("profile") else {}
+        return Calendric(**{k: v for k, v in data.items() if k not in ("type", "profile")}, **profile)
 
 
 @dataclass(frozen=True)
