@@ -20,6 +20,17 @@ def test_roundtrip(order, predictor, scheme, tile):
         assert p.astype(p.dtype.newbyteorder("<")).tobytes() == q.pixels
 
 
+@pytest.mark.parametrize("planar", [1, 2])
+@pytest.mark.parametrize("tile", [None, (16, 32)])
+@pytest.mark.parametrize("kind, predictor", [("u1", 2), ("u2", 2), ("u4", 2), ("u8", 1), ("i2", 2), ("f4", 1), ("f4", 3), ("f8", 3), ("f2", 3)])
+def test_kinds_and_planes(kind, predictor, tile, planar):
+    rng = np.random.default_rng(3)
+    for order in "<>":
+        page = (rng.normal(size=(37, 50, 3)) * 100).astype(kind)
+        (got,) = T.read_tiff(T.write_tiff([page], T.DEFLATE, predictor, 8, tile, order, planar))
+        assert got.samples == 3 and got.pixels == page.astype(page.dtype.newbyteorder("<")).tobytes()
+
+
 def test_lzw_long():
     rng = np.random.default_rng(2)
     for raw in (b"", b"a", b"ab" * 9000, rng.integers(0, 256, 60000, np.uint8).tobytes(), rng.integers(0, 3, 200000, np.uint8).tobytes()):

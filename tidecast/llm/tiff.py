@@ -1,7 +1,8 @@
 """TIFF columns: a lossless writer of 8-bit grey pages and a reader that emits one row per page.
 
 The reader walks the chain of image directories in either byte order, decodes strips or tiles that are plain, PackBits,
-LZW or deflate, undoes horizontal differencing, and crops edge tiles.
+LZW or deflate, undoes horizontal differencing (predictor 2) or the floating-point predictor (3), joins separate planes, and
+crops edge tiles. Samples have 8, 16, 32 or 64 bits.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Tags, field types and compression schemes of the format; fixed values.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, STRIP_BYTES, PLANAR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284
-PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES = 317, 322, 323, 324, 325
+PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES, SAMPLE_FORMAT = 317, 322, 323, 324, 325, 339
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPES = {1: "B", 3: "H", 4: "I"}
 
@@ -139,27 +140,47 @@ PACK = {NONE: bytes, PACKBITS: pack_bits, LZW: lzw, DEFLATE: lambda raw: zlib.co
 UNPACK = {NONE: bytes, PACKBITS: unpack_bits, LZW: unlzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress}
 
 
-def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, rows: int = 1024, tile: tuple[int, int] | None = None, order: str = "<") -> bytes:
-    """Pages of unsigned 8- or 16-bit samples, of shape (height, width) or (height, width, samples)."""
+def difference(block: np.ndarray, predictor: int, order: str) -> bytes:
+    """Bytes of a (rows, width, samples) block as the predictor has them."""
+    if predictor == 2:
+        block = np.diff(block, axis=1, prepend=np.zeros_like(block[:, :1]))
+    if predictor == 3:  # bytes of the row's samples by significance, then differences between bytes a pixel apart
+        rows, width, samples = block.shape
+        planes = block.astype(block.dtype.newbyteorder(">")).view(np.uint8).reshape(rows, width * samples, -1).transpose(0, 2, 1).reshape(rows, -1, samples)
+        return np.diff(planes, axis=1, prepend=np.zeros_like(planes[:, :1])).tobytes()
+    return block.astype(block.dtype.newbyteorder(order)).tobytes()
+
+
+def undifference(raw: bytes, rows: int, width: int, samples: int, kind: np.dtype, predictor: int) -> np.ndarray:
+    """The block of such bytes, with samples of ``kind`` (floats only for predictor 3)."""
+    size = rows * width * samples
+    if predictor == 3:
+        planes = np.cumsum(np.frombuffer(raw, np.uint8, size * kind.itemsize).reshape(rows, -1, samples), axis=1, dtype=np.uint8)
+        return planes.reshape(rows, kind.itemsize, -1).transpose(0, 2, 1).copy().view(kind.newbyteorder(">")).reshape(rows, width, samples)
+    block = np.frombuffer(raw, kind, size).reshape(rows, width, samples)
+    return np.cumsum(block, axis=1, dtype=kind.newbyteorder("=")) if predictor == 2 else block
+
+
+def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, rows: int = 1024, tile: tuple[int, int] | None = None, order: str = "<", planar: int = 1) -> bytes:
+    """Pages of numbers of 8 to 64 bits, of shape (height, width) or (height, width, samples)."""
     out, link = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0)), 4
     for page in pages:
         page = np.atleast_3d(page)
         h, w, s = page.shape
         th, tw = tile or (min(rows, h), w)
         at, sizes = [], []
-        for y in range(0, h, th):
-            for x in range(0, w, tw):
-                block = page[y : y + th, x : x + tw]
-                if tile:
-                    block = np.pad(block, ((0, th - block.shape[0]), (0, tw - block.shape[1]), (0, 0)))
-                if predictor == 2:
-                    block = np.diff(block, axis=1, prepend=np.zeros_like(block[:, :1]))
-                raw = PACK[compression](block.astype(block.dtype.newbyteorder(order)).tobytes())
-                at.append(len(out))
-                sizes.append(len(raw))
-                out += raw + b"\0" * (len(raw) % 2)
-        bits = page.dtype.itemsize * 8
-        tags = {WIDTH: ("I", [w]), HEIGHT: ("I", [h]), BITS: ("H", [bits] * s), COMPRESSION: ("H", [compression]), PHOTOMETRIC: ("H", [2 if s == 3 else 1]), SAMPLES: ("H", [s]), PLANAR: ("H", [1]), PREDICTOR: ("H", [predictor])}
+        for plane in [page[:, :, i : i + 1] for i in range(s)] if planar == 2 else [page]:
+            for y in range(0, h, th):
+                for x in range(0, w, tw):
+                    block = plane[y : y + th, x : x + tw]
+                    if tile:
+                        block = np.pad(block, ((0, th - block.shape[0]), (0, tw - block.shape[1]), (0, 0)))
+                    raw = PACK[compression](difference(block, predictor, order))
+                    at.append(len(out))
+                    sizes.append(len(raw))
+                    out += raw + b"\0" * (len(raw) % 2)
+        bits, form = page.dtype.itemsize * 8, {"u": 1, "i": 2, "f": 3}[page.dtype.kind]
+        tags = {WIDTH: ("I", [w]), HEIGHT: ("I", [h]), BITS: ("H", [bits] * s), COMPRESSION: ("H", [compression]), PHOTOMETRIC: ("H", [2 if s == 3 else 1]), SAMPLES: ("H", [s]), PLANAR: ("H", [planar]), PREDICTOR: ("H", [predictor]), SAMPLE_FORMAT: ("H", [form] * s)}
         tags |= {TILE_WIDTH: ("I", [tw]), TILE_HEIGHT: ("I", [th]), TILES: ("I", at), TILE_BYTES: ("I", sizes)} if tile else {STRIPS: ("I", at), ROWS: ("I", [th]), STRIP_BYTES: ("I", sizes)}
         fields = []
         for tag, (kind, values) in sorted(tags.items()):
@@ -199,21 +220,25 @@ def read_tiff(raw: bytes) -> Iterator[Page]:
 
 def _page(raw: bytes, tags: dict[int, tuple], order: str) -> Page:
     one = lambda tag, default=None: tags.get(tag, (default,))[0]
-    w, h, s, bits, scheme, predictor = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
-    if w is None or h is None or bits not in (8, 16) or scheme not in UNPACK or predictor not in (1, 2) or one(PLANAR, 1) != 1:
+    w, h, s, bits, scheme, predictor, planar = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1)
+    letter = {1: "u", 2: "i", 3: "f"}.get(one(SAMPLE_FORMAT, 1))
+    known = bits in (8, 16, 32, 64) and letter and (letter != "f" or bits > 8) and (predictor in (1, 2) or (predictor == 3 and letter == "f"))
+    if not w or not h or not known or scheme not in UNPACK or planar not in (1, 2) or len(set(tags.get(BITS, (1,)))) > 1:
         raise ValueError("a kind of page that this reader does not know")
     tiled = TILES in tags
     tw, th = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (w, min(one(ROWS, h), h))
     at, sizes = (tags[TILES], tags[TILE_BYTES]) if tiled else (tags[STRIPS], tags[STRIP_BYTES])
-    kind, across = np.dtype(f"{order}u{bits // 8}"), -(-w // tw)
+    kind, across = np.dtype(f"{order}{letter}{bits // 8}"), -(-w // tw)
+    each, deep = across * -(-h // th), 1 if planar == 2 else s
     pixels = np.empty((h, w, s), kind.newbyteorder("<"))
     for i, (a, size) in enumerate(zip(at, sizes, strict=True)):
-        y, x = i // across * th, i % across * tw
+        plane, n = divmod(i, each)
+        y, x = n // across * th, n % across * tw
         rows = th if tiled else min(th, h - y)
-        block = np.frombuffer(UNPACK[scheme](raw[a : a + size]), kind, rows * tw * s).reshape(rows, tw, s)
-        if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
-        pixels[y : y + rows, x : x + tw] = block[: h - y, : w - x]
+        block = undifference(UNPACK[scheme](raw[a : a + size]), rows, tw, deep, kind, predictor)
+        pixels[y : y + rows, x : x + tw, plane * deep : (plane + 1) * deep] = block[: h - y, : w - x]
+    if len(at) != each * (s // deep):
+        raise ValueError("strips or tiles are missing")
     return Page(w, h, s, bits, scheme, pixels.tobytes())
 
 
