@@ -88,7 +88,7 @@ def cross_validation(model: FittedModel, history: DataFrame, horizon: str | int,
     settled, rows, lo, hi = prepare(plain, fold_spec, model.options)
     scales = [f.prior_scale for f in feats.features(settled, F.col("t"), F.col("ds"), lo, hi)]
     known = model.params.select(*keys, F.col("changepoints").alias("_cps"))
-    rows = rows.join(known, keys) if keys else rows.join(known, how="inner", on=F.lit(True))
+    rows = rows.join(known, keys) if keys else rows.join(F.broadcast(known), how="inner", on=F.lit(True))
     mode, step = model.options["optimize_mode"], spec.step_us
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
@@ -159,7 +159,7 @@ def components(model: FittedModel, data: DataFrame) -> DataFrame:
 
     lo, hi = bounds(data, ts)
     params = model.params.select(*keys, "t0", "beta")
-    grid = data.join(params, keys) if keys else data.join(params, how="inner", on=F.lit(True))
+    grid = data.join(params, keys) if keys else data.join(F.broadcast(params), how="inner", on=F.lit(True))
     grid = grid.withColumn("t", steps_between(F.col("t0"), F.col(ts), spec.step_us))
     made = feats.features(spec, F.col("t"), F.col(ts), lo, hi)
     parts: dict[str, list[tuple[int, Column]]] = {}

@@ -70,7 +70,7 @@ def predict(model: FittedModel, data: DataFrame | None = None, history: DataFram
     data = with_inner_keys(data, spec)
     lo, hi = bounds(data, ts)
     params = model.params
-    grid = data.join(params.drop("draws"), keys) if keys else data.join(params.drop("draws"), how="inner", on=F.lit(True))
+    grid = data.join(params.drop("draws"), keys) if keys else data.join(F.broadcast(params.drop("draws")), how="inner", on=F.lit(True))  # one row
     grid = grid.withColumn("t", steps_between(F.col("t0"), F.col(ts), spec.step_us))
     grid = feats.feature_matrix(grid, spec, lo, hi)
     grid = grid.withColumn("_cap", F.col(spec.capacity_name).cast("double") if spec.capacity_name and spec.capacity_name in data.columns else F.col("capacity_fixed"))
@@ -103,7 +103,7 @@ def with_uncertainty(grid: DataFrame, model: FittedModel, samples: int, compat:
     spec, keys, laplace = model.spec, model.spec.inner_keys, model.options["use_laplace"]
     width = spec.interval_width
     draws = model.params.select(*keys, "draws")
-    slim = grid.join(draws, keys) if keys else grid.join(draws, how="inner", on=F.lit(True))
+    slim = grid.join(draws, keys) if keys else grid.join(F.broadcast(draws), how="inner", on=F.lit(True))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in grid.schema if f.name not in ("eta", "eta_trend"))
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
