@@ -124,8 +124,10 @@ def runs_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     found = cut(source.mapInArrow(find, "did long, pos array<long>, anchor array<long>, whole array<long>"))
     found = found.select("did", F.explode(F.arrays_zip("pos", "anchor", "whole")).alias("s")).select("did", "s.pos", "s.anchor", "s.whole")
-    shared = found.groupBy("anchor").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("anchor")
-    at_shared = written(found.join(shared, "anchor", "left_semi"))
+    shared = found.groupBy("anchor").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi")
+    # A key of its own makes the planner deal both sides anew, and so lets it split an anchor that very many rows have.
+    key = F.bitwise_not("anchor").alias("key")
+    at_shared = written(found.select("*", key).join(shared.select(key), "key", "left_semi").drop("key"))
     earliest = at_shared.groupBy("anchor", "whole").agg(F.min("did").alias("m"))
     kinds = earliest.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     judged = at_shared.join(earliest.join(kinds, "anchor"), ["anchor", "whole"])
@@ -139,13 +141,15 @@ def runs_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             rows: list[tuple] = []
             for d, tag, opened, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
-                prefix, seen = hasher.prefix(hasher.words(text.as_py().encode().split())), set()
-                for o in opened:
-                    pos = o["pos"]
-                    if pos & TAG == tag & TAG and pos not in seen:
-                        seen.add(pos)
-                        first = pos >> 26
-                        rows.append((d, pos, o["anchor"], o["crowd"], hasher.runs(prefix, np.arange(first, first + (pos >> 20 & 63)), WINDOW).view(np.int64)))
+                mine = {o["pos"]: o for o in opened if o["pos"] & TAG == tag & TAG}
+                if mine:
+                    pos = np.fromiter(mine, np.int64, len(mine))
+                    count = pos >> 20 & 63
+                    ends = np.cumsum(count)
+                    starts = np.repeat((pos >> 26) - (ends - count), count) + np.arange(ends[-1])
+                    prefix = hasher.prefix(hasher.words(text.as_py().encode().split()))
+                    windows = np.split(hasher.runs(prefix, starts, WINDOW).view(np.int64), ends[:-1])
+                    rows += [(d, o["pos"], o["anchor"], o["crowd"], w) for o, w in zip(mine.values(), windows, strict=True)]
             if rows:
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["did", "pos", "anchor", "crowd", "windows"])
