@@ -13,6 +13,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidecast.llm.common import small
+
 #: The pattern of this family of vocabularies; a fixed value of the format.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int64(2**62)
@@ -172,7 +174,7 @@ def bpe_roundtrip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
         if name not in _models:
             _models[name] = ByteBPE(shared.value)
         model = _models[name]
-        for batch in batches:
+        for batch in small(batches):
             n, ids_sha, text_sha, ids_out, text_out = [], [], [], [], []
             for texts in slices([t or "" for t in batch.column(1).to_pylist()]):
                 for ids in model.encode_batch(texts):
@@ -193,6 +195,7 @@ def bpe_roundtrip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                 columns.append(pa.array(text_out, pa.string()))
                 names.append("decoded")
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        model.known.clear()  # workers are used again by other stages
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text

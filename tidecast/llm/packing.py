@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.llm.bpe import Merges, slices
-from tidecast.llm.common import cut
+from tidecast.llm.common import cut, small
 
 PIECES = "id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
 _known: dict[str, tuple] = {}
@@ -94,7 +94,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int, window: int, id_col:
             made.no_padding()
             _known[name] = (made, Merges(json.loads(shared.value)["model"]), {})
         tokenizer, merges, known = _known[name]
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[], [], [], [], []]
             ids_of = iter(batch.column(0).to_pylist())
             for texts in slices([t or "" for t in batch.column(1).to_pylist()]):
@@ -102,7 +102,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int, window: int, id_col:
                 words = [None if OTHER.search(t) else TOKEN.findall(t.lower()) for t in texts]
                 wanted = {w for ws in words if ws for w in ws}
                 new = list(wanted.difference(known))
-                if len(known) + len(new) > 400_000:
+                if len(known) + len(new) > 150_000:
                     known.clear()
                     new = list(wanted)
                 ids, counts = merges.merge([w.encode() for w in new])
@@ -120,6 +120,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int, window: int, id_col:
                         for column, x in zip(out, (i, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4), strict=True):
                             column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), *(pa.array(x, pa.int64()) for x in out[1:])], names=["id", "start", "length", "ids_crc32", "doc_tokens"])
+        known.clear()  # workers are used again by other stages
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES.format(kind=kind))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import cut, maybe_in, written
+from tidecast.llm.common import cut, maybe_in, small, written
 
 WINDOW, ANCHOR = 50, 10
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -37,7 +37,7 @@ FEW = 64
 class Hasher:
     """Hashes of word runs; words' own hashes are kept in a bounded table."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         self.known: dict[bytes, int] = {}
         self.most = most
         self.powers = self.inverse = np.ones(1, np.uint64)
@@ -112,7 +112,7 @@ def runs_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for batch in batches:
+        for batch in small(batches):
             out: list[tuple] = []
             for d, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 prefix = hasher.prefix(hasher.words(text.as_py().encode().split()))
@@ -138,7 +138,7 @@ def runs_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for batch in batches:
+        for batch in small(batches):
             rows: list[tuple] = []
             for d, tag, opened, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
                 mine = {o["pos"]: o for o in opened if o["pos"] & TAG == tag & TAG}
@@ -184,7 +184,7 @@ def runs_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     types = {f: whole_rows.schema[f].dataType.simpleString() for f in ("id", "extra")}
 
     def strip(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             n, removed, sha, kept_text = [], [], [], []
             for tag, text, verdict in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 words = (text.as_py() or "").encode().split()

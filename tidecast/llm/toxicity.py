@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidecast.llm.common import small
+
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 20
 STARTS = (4, 5, 6)
@@ -148,7 +150,7 @@ def fit_chain(rows: list[np.ndarray], dense: np.ndarray, labels: dict[str, np.nd
 class Scorer:
     """Chain probabilities of single texts, with a bounded table of words' summed weights."""
 
-    def __init__(self, chain: Chain, most: int = 300_000):
+    def __init__(self, chain: Chain, most: int = 100_000):
         self.chain, self.most = chain, most
         self.at = np.unique(np.concatenate([m.kept for m in chain.models]))
         self.weights = np.zeros((len(self.at), len(chain.models)))
@@ -183,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, id_col: str
     joined = texts.join(F.broadcast(pick), "id").select("id", "low_quality", "toxic", "text")  # of at most max_rows rows
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             known: dict[str, list[int]] = {}
             made = [text_features(t.as_py() or "", known) for t in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float64()))], names=["id", "low_quality", "toxic", "f", "r"])
@@ -208,7 +210,7 @@ def score_toxicity(docs: DataFrame, chain: Chain, columns_kept: Sequence[str] =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        for batch in small(batches):
             p = np.array([scorer.score(t.as_py() or "") for t in batch.column(len(kept))]).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *(pa.array(p[:, k]) for k in range(len(names))), pa.array(p[:, -1] >= threshold)], names=[*(f.name for f in kept), *names, "toxic"])
 
