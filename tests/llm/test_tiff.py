@@ -2,7 +2,9 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidecast.llm import tiff as T
 
@@ -56,3 +58,22 @@ def test_broken(spark):
     rows = T.tiff_pages(spark.createDataFrame([(1, good), (2, b"II*"), (3, None), (4, good[:-60])], "k long, m binary"), "k", "m").collect()
     assert sorted((r.k, r.page, r.error is None) for r in rows if r.k < 4) == [(1, 0, True), (1, 1, True), (2, 0, False)]
     assert any(r.k == 4 and r.error for r in rows)
+
+
+def test_media_that_cannot_be_read_back_fails(spark, monkeypatch):
+    docs, store = spark.createDataFrame([(1, "a"), (2, "b" * 500)], "doc_id long, text string"), T.store_text
+    monkeypatch.setattr(T, "store_text", lambda *a: store(*a).withColumn("media", F.when(F.col("doc_id") == 2, F.expr("substr(media, 1, 20)")).otherwise(F.col("media"))))
+    with pytest.raises(Exception, match="cannot be read back"):
+        T.media_features(docs).collect()
+
+
+def test_lack_of_memory_is_not_an_error_row(spark, monkeypatch):
+    def short(raw):
+        raise MemoryError
+
+    files, made = spark.createDataFrame([(1, b"II*")], "k long, m binary"), []
+    monkeypatch.setattr(T, "read_tiff", short)
+    monkeypatch.setattr(type(files), "mapInArrow", lambda self, run, kind: made.append(run) or self)
+    T.tiff_pages(files, "k", "m")
+    with pytest.raises(MemoryError):
+        list(made[0]([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([b"II*"])], names=["id", "media"])]))

@@ -247,7 +247,8 @@ def tiff_pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
     Null media give no rows. Where a file or a page cannot be read, one row says so in ``error`` (null elsewhere) with the
     number of the page that failed and null fields; earlier pages of the file keep their rows. Files whose chain is empty
-    give no rows. Repeated rows give repeated pages; an empty table gives an empty result.
+    give no rows. Repeated rows give repeated pages; an empty table gives an empty result. A lack of memory says nothing about
+    a file and fails the task.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -262,7 +263,7 @@ def tiff_pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
                     for page in read_tiff(raw):
                         out.append((i, n, page.width, page.height, page.samples, page.bits, page.compression, page.pixels, None))
                         n += 1
-                except (ValueError, KeyError, TypeError, struct.error, zlib.error, IndexError, OverflowError, MemoryError) as e:
+                except (ValueError, KeyError, TypeError, struct.error, zlib.error, IndexError, OverflowError) as e:
                     out.append((i, n, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
             columns = list(zip(*out, strict=True)) if out else [[]] * 9
             types = [batch.schema.field(0).type, *[pa.int32()] * 6, pa.binary(), pa.string()]
@@ -296,7 +297,7 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """What is read back from each text's stored page: one row per document with sizes, digests and a feature string.
 
     The feature is the page's size, mean and standard deviation of the samples and how many distinct ones there are. Edge
-    cases are those of ``store_text`` and ``tiff_pages``.
+    cases are those of ``store_text`` and ``tiff_pages``, but a page that cannot be read back fails the task.
     """
     stored = store_text(docs, id_col, text_col).select(F.struct(F.col(id_col).alias("id"), "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")).alias("own"), "media")
 
@@ -312,6 +313,7 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out.append((zlib.crc32(raw[-64:]), f"{w}x{h} mean={mean:.6f} sd={np.sqrt(count @ (values - mean) ** 2 / n):.6f} distinct={np.count_nonzero(count)}"))
         return pd.DataFrame(out, columns=["tail_crc32", "feature"])
 
-    pages = tiff_pages(stored, "own", "media").where(F.col("error").isNull())
+    failed = F.raise_error(F.concat(F.lit("a stored page cannot be read back: "), F.col("error"))).cast("boolean")
+    pages = tiff_pages(stored, "own", "media").where(F.when(F.col("error").isNull(), F.lit(True)).otherwise(failed))
     seen = pages.select("own", F.octet_length("pixels").cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"), look("pixels", "width", "height").alias("look"))
     return seen.select(F.col("own.id").alias(id_col), "own.n_bytes", "payload_bytes", "payload_sha256", "look.tail_crc32", "own.media_bytes", "own.media_sha256", "look.feature")
