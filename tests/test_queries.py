@@ -47,3 +47,29 @@ def test_rows(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 1000
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_models_keep_the_default_simulation(spark, monkeypatch):
+    """Registered queries that forecast take the default numbers of simulated trends and of draws."""
+    from tidecast import queries as Q
+
+    class Seen(Exception):
+        pass
+
+    def spy(rows, spec, *args, **more):
+        raise Seen(spec.trend_samples, more.get("draws", 1000))
+
+    class Rows:
+        def __getattr__(self, name):
+            return lambda *a, **b: self
+
+    monkeypatch.setattr(Q, "fit", spy)
+    monkeypatch.setattr(Q.grid, "resample", lambda *a, **b: Rows())
+    for name in ("s1", "s2", "s4", "table"):
+        monkeypatch.setattr(Q, name, lambda *a, **b: Rows())
+    names = [*(n for n in Q.queries() if n.startswith("fit_")), "trend_uncertainty", "cv_refit", "calendric_fit", "forecast_anomalies", "serialize_roundtrip"]
+    assert len(names) == 14
+    for name in names:
+        with pytest.raises(Seen) as got:
+            Q.queries()[name](None, "")
+        assert got.value.args == (1000, 1000), name

@@ -103,28 +103,31 @@ def with_uncertainty(grid: DataFrame, model: FittedModel, samples: int, compat:
     spec, keys, laplace = model.spec, model.spec.inner_keys, model.options["use_laplace"]
     width = spec.interval_width
     draws = model.params.select(*keys, "draws")
-    slim = grid.join(draws, keys) if keys else grid.join(F.broadcast(draws), how="inner", on=F.lit(True))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in grid.schema if f.name not in ("eta", "eta_trend"))
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, g: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(g) or not len(own):
+            none = np.empty(0)
+            return g.iloc[:0].drop(columns=["eta", "eta_trend"]).assign(eta=none, eta_trend=none, eta_lo=none, eta_hi=none, dev_lo=none, dev_hi=none)
         first = g.iloc[0]
         t, scale, offset = g["t"].to_numpy(np.int64), first["linked_scale"], first["linked_offset"]
         low, high = simulate_trend(t, int(first["t_max"]), np.array(first["delta"], float), int(first["n_obs"]), width, samples, seed_of(key[: len(keys)], spec.seed + 1))
         factor = 1.0 if compat else scale
         eta, eta_trend = g["eta"].to_numpy(), g["eta_trend"].to_numpy()
         lo = hi = eta
-        if laplace and len(first["draws"]):
-            d = np.stack(first["draws"]).astype(float)
+        if laplace and len(own["draws"].iloc[0]):
+            d = np.stack(own["draws"].iloc[0]).astype(float)
             cps = np.array(first["changepoints"], float)
             s = len(cps)
             trends = d[:, :1] * t + d[:, 1:2] + d[:, 2 : 2 + s] @ np.maximum(t[None, :] - cps[:, None], 0)
             all_eta = offset + scale * (trends + d[:, 2 + s :] @ np.stack(g["x"].to_numpy()).astype(float).reshape(len(g), -1).T)
             eta, eta_trend = all_eta.mean(axis=0), offset + scale * trends.mean(axis=0)
             lo, hi = np.percentile(all_eta, [50 - 50 * width, 50 + 50 * width], axis=0)
-        return g.drop(columns=["draws", "eta", "eta_trend"]).assign(eta=eta, eta_trend=eta_trend, eta_lo=lo + factor * low * laplace, eta_hi=hi + factor * high * laplace, dev_lo=factor * low, dev_hi=factor * high)
+        return g.drop(columns=["eta", "eta_trend"]).assign(eta=eta, eta_trend=eta_trend, eta_lo=lo + factor * low * laplace, eta_hi=hi + factor * high * laplace, dev_lo=factor * low, dev_hi=factor * high)
 
-    grouped = slim.groupBy(*keys) if keys else slim.groupBy(F.lit(0).alias("_one"))
-    return grouped.applyInPandas(run, f"{kinds}, eta double, eta_trend double, eta_lo double, eta_hi double, dev_lo double, dev_hi double")
+    # Draws meet their series' rows in the worker, so that they are not repeated for each row.
+    grouped, given = (x.groupBy(*keys) if keys else x.groupBy(F.lit(0).alias("_one")) for x in (grid, draws))
+    return grouped.cogroup(given).applyInPandas(run, f"{kinds}, eta double, eta_trend double, eta_lo double, eta_hi double, dev_lo double, dev_hi double")
 
 
 def score_series(p: dict, spec, t: np.ndarray, x: np.ndarray, capacity: np.ndarray) -> pd.DataFrame:

@@ -548,7 +548,7 @@ def metrics_rollup(spark, sf_dir):
 
 
 def _spec(model: str = "normal", **more) -> ModelSpec:
-    return ModelSpec(model=model, **{"n_changepoints": 5, "trend_samples": 0, **more}).add_seasonality("weekly", "7d", 3)
+    return ModelSpec(model=model, **{"n_changepoints": 5, **more}).add_seasonality("weekly", "7d", 3)
 
 
 def _fit_query(model: str) -> None:
@@ -579,13 +579,13 @@ def fit_many_series(spark, sf_dir):
 @query()
 def fit_laplace(spark, sf_dir):
     rows = s1(spark, sf_dir)
-    return predict(fit(rows, _spec("poisson"), use_laplace=True, draws=200), history=rows, periods=14)
+    return predict(fit(rows, _spec("poisson"), use_laplace=True), history=rows, periods=14)
 
 
 @query()
 def trend_uncertainty(spark, sf_dir):
     rows = s1(spark, sf_dir)
-    return predict(fit(rows, _spec("normal", n_changepoints=25, trend_samples=500)), history=rows, periods=120, include_history=False)
+    return predict(fit(rows, _spec("normal", n_changepoints=25)), history=rows, periods=120, include_history=False)
 
 
 @query()
@@ -597,7 +597,7 @@ def cv_refit(spark, sf_dir):
 @query()
 def calendric_fit(spark, sf_dir):
     rows = s1(spark, sf_dir)
-    spec = ModelSpec(model="poisson", n_changepoints=5, trend_samples=0).add_protocol(Calendric("US", profile=Gaussian("1d")))
+    spec = ModelSpec(model="poisson", n_changepoints=5).add_protocol(Calendric("US", profile=Gaussian("1d")))
     return predict(fit(rows, spec), history=rows, periods=14)
 
 
