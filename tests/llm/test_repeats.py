@@ -38,10 +38,9 @@ def test_least():
         assert R.least_in_windows(x, 7).tolist() == [x[i : i + 7].min() for i in range(n - 6)]
 
 
-@pytest.mark.parametrize("block, few, bits", [(1 << 22, 64, 1 << 24), (60, 1, 64), (1000, 3, 1 << 12)])
-def test_against_brute_force(spark, monkeypatch, block, few, bits):
+@pytest.mark.parametrize("block, bits", [(1 << 22, 1 << 24), (60, 64)])
+def test_against_brute_force(spark, monkeypatch, block, bits):
     monkeypatch.setattr(R, "BLOCK", block)
-    monkeypatch.setattr(R, "FEW", few)
     monkeypatch.setattr(common, "BITMAP", bits)
     rng = np.random.default_rng(7)
     vocab = [f"w{i}" for i in range(400)] + ["É", "x\x1cy"]
@@ -70,3 +69,46 @@ def test_one_passage_in_many(spark):
     assert run(spark, rows) == sorted(brute(rows), key=str)
     assert run(spark, []) == []
     assert Counter(r[2] >= 75 for r in run(spark, rows)) == Counter({True: 299, False: 1})
+
+
+def test_rows_of_one_identifier(spark):
+    """Very many rows with a null identifier, and rows that share one."""
+    rng = np.random.default_rng(9)
+    vocab = [f"w{i}" for i in range(3000)]
+    word = lambda n: list(rng.choice(vocab, n))
+    passage = word(60)
+    rows = [(1, " ".join(passage)), (2, " ".join(word(90)))]
+    rows += [(None, " ".join([*word(int(rng.integers(0, 9))), *(passage[int(rng.integers(0, 9)) :] if i % 9 == 0 else ["x"] * (i % 5))])) for i in range(3000)]
+    rows += [(7, " ".join([*word(70), *passage, *word(5 + i)])) for i in range(5)] + [(None, rows[1][1] + " end")] * 3
+    assert run(spark, rows) == sorted(brute(rows), key=str)
+
+
+def test_common_run_below_the_threshold(spark):
+    """A run of 49 words in every document, each with another context, is an anchor of as many stretches and goes nowhere."""
+    rng = np.random.default_rng(10)
+    word = lambda n: list(map(str, rng.integers(0, 10**12, n)))
+    run_of = word(49)
+    rows = [(i, " ".join([*word(30), *run_of, *word(30)])) for i in range(400)]
+    got = run(spark, rows)
+    assert got == sorted(brute(rows), key=str) and not any(r[2] for r in got)
+
+
+def test_very_long_text(spark):
+    rng = np.random.default_rng(11)
+    text = " ".join(map(str, rng.integers(0, 500_000, 200_000)))
+    rows = [(1, text[400_000:700_000]), (2, text), (3, "x " * 150_000), (4, "x " * 100_000)]
+    assert run(spark, rows) == sorted(brute(rows), key=str)
+
+
+def test_extension_compares_words():
+    a, b = [b"w%d" % i for i in range(90)], [b"w%d" % i for i in range(90)]
+    a[3], b[70] = b"p", b"q"
+    assert R.extended(a, b, 10, 10) == (4, 66)
+    assert R.extended(a, b, 30, 30) == (30, 0)
+
+
+def test_carry(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, "z")], "doc_id long, text string, did int, gone string")
+    assert R.runs_removed(docs, keep_text=True, carry=["did", "gone"]).columns == ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "did", "gone"]
+    with pytest.raises(ValueError):
+        R.runs_removed(docs.withColumn("n_words", docs.did), carry=["n_words"])

@@ -1,15 +1,18 @@
-"""Removal of word runs that an earlier document has too, by winnowed anchors and their extensions.
+"""Removal of word runs that an earlier document has too: seeds by winnowed anchors, matches extended both ways.
 
 Every window of WINDOW words picks one of its ANCHOR-word hashes, the least, by its own content alone (winnowing). Windows in
-a row that pick the same anchor form a stretch: the anchor extended to both sides as far as it rules. Equal text gives equal
+a row that pick the same anchor form a stretch: the words around the anchor as far as it rules. Equal text gives equal
 anchors and, but for the ends of the common run, equal stretches; so
 
-1. anchors of one document only are dropped,
-2. a stretch that an earlier document has as a whole goes as a whole, and
-3. only where a shared anchor's stretches differ are they extended window by window; each window goes by its first document.
+1. anchors of one identifier only are dropped,
+2. of equal stretches (by 128 bits: anchor and stretch) all but those of the first document go as a whole, which leaves one
+   representative of each different stretch, and
+3. where a shared anchor has different stretches, their windows are seeds: a representative is joined with the first
+   holder of any of its windows, the words of both are compared and the match extended from the seed to the left and to the
+   right; the maximal repeat, if it has WINDOW words or more, goes.
 
-Minima are aggregated with map-side combining and joined back; no unbounded group of documents is gathered, no pairs are made.
-Texts are moved only for documents that have such stretches.
+Minima are aggregated with map-side combining and joined back; no group of documents is gathered and no pairs within a group
+are made: a representative meets one holder per window at most. Texts are moved only for documents that have such stretches.
 """
 
 from __future__ import annotations
@@ -23,15 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import cut, maybe_in, small, written
+from tidecast.llm.common import cut, maybe_in, spans, written
 
 WINDOW, ANCHOR = 50, 10
 BASE = 0x9E3779B97F4A7C15 | 1
 BLOCK = 1 << 22
 LAST = 2**63 - 1
-TAG = (1 << 20) - 1
-#: Up to so many different stretches of an anchor are compared as one row; those of more common anchors window by window.
-FEW = 64
+#: What tells rows apart: the identifier and 128 bits of the text. Rows equal in these are equal, and so is their result.
+KEY = ["did", "k1", "k2"]
 
 
 class Hasher:
@@ -93,9 +95,21 @@ def stretches(hasher: Hasher, prefix: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield grams[chosen[first]], whole, at + first, count
 
 
-def pack_pos(first: np.ndarray, count: np.ndarray | int, tag: int) -> np.ndarray:
-    """First window, how many (at most WINDOW - ANCHOR + 1), and the tag of the text, which tells rows of one identifier apart."""
-    return first << 26 | count << 20 | tag & TAG
+def spot(first: np.ndarray, words: np.ndarray | int) -> np.ndarray:
+    """A run of words as one number: its first word and how many (at most 2 WINDOW - ANCHOR)."""
+    return first << 7 | words
+
+
+def extended(left: list[bytes], right: list[bytes], i: int, j: int) -> tuple[int, int]:
+    """(first word in ``left``, words) of the maximal repeat through the windows at i and j; no words if these differ."""
+    if left[i : i + WINDOW] != right[j : j + WINDOW]:
+        return i, 0
+    lo, hi = 0, WINDOW
+    while lo < min(i, j) and left[i - lo - 1] == right[j - lo - 1]:
+        lo += 1
+    while hi < min(len(left) - i, len(right) - j) and left[i + hi] == right[j + hi]:
+        hi += 1
+    return i - lo, lo + hi
 
 
 def runs_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
@@ -105,107 +119,107 @@ def runs_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     also starts in a document with a smaller identifier; runs are judged on the input. kept_sha256 is of the kept words
     joined by a space; kept_text is these too, but the text as it is (or null) where nothing goes. Null texts have no words.
     A null identifier counts as larger than any other. Rows that share an identifier are no earlier than one another, so that
-    repeated rows have the same result. An empty table gives an empty result. Extra columns are ignored.
+    repeated rows have the same result. An empty table gives an empty result. Extra columns are ignored; a column to carry
+    must not have the name of one that is made. Texts may be of any length: one is worked on in blocks of windows.
     """
-    did, text = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("did"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    source = docs.select(did, F.xxhash64(text).alias("tag"), text)
+    if clash := {id_col, "n_words", "n_removed", "kept_sha256", "kept_text"} & set(carry):
+        raise ValueError(f"columns to carry have names of the result: {sorted(clash)}")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("did"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+    source = docs.select(*key, text.alias("text"))
+    longs = lambda *names: ", ".join(f"{n} long" for n in names)
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for batch in small(batches):
+        for batch in spans(batches, "text"):
             out: list[tuple] = []
-            for d, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for row, text in enumerate(batch.column(3)):
                 prefix = hasher.prefix(hasher.words(text.as_py().encode().split()))
                 if len(prefix) > WINDOW:
-                    out += [(d, pack_pos(first, count, tag), anchor.view(np.int64), whole.view(np.int64)) for anchor, whole, first, count in stretches(hasher, prefix)]
+                    out += [(row, spot(first, count + WINDOW - 1), anchor.view(np.int64), whole.view(np.int64)) for anchor, whole, first, count in stretches(hasher, prefix)]
             if out:
-                columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in columns[1:])], names=["did", "pos", "anchor", "whole"])
-
-    found = cut(source.mapInArrow(find, "did long, pos array<long>, anchor array<long>, whole array<long>"))
-    found = found.select("did", F.explode(F.arrays_zip("pos", "anchor", "whole")).alias("s")).select("did", "s.pos", "s.anchor", "s.whole")
-    shared = found.groupBy("anchor").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi")
-    # A key of its own makes the planner deal both sides anew, and so lets it split an anchor that very many rows have.
-    key = F.bitwise_not("anchor").alias("key")
-    at_shared = written(found.select("*", key).join(shared.select(key), "key", "left_semi").drop("key"))
-    earliest = at_shared.groupBy("anchor", "whole").agg(F.min("did").alias("m"))
-    kinds = earliest.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    judged = at_shared.join(earliest.join(kinds, "anchor"), ["anchor", "whole"])
-    gone = F.when(F.col("did") > F.col("m"), F.col("pos"))
-    opened = F.when((F.col("did") == F.col("m")) & (F.col("kinds") > 1), F.struct("pos", "anchor", (F.col("kinds") > FEW).alias("crowd")))
-    judged = judged.select("did", gone.alias("gone"), opened.alias("open")).where("gone IS NOT NULL OR open IS NOT NULL")
-    lists = cut(judged.groupBy("did").agg(F.collect_list("gone").alias("gone"), F.collect_list("open").alias("open")))
+                rows, *lists = zip(*out, strict=True)
+                own = [batch.column(i).take(pa.array(rows)) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(x, pa.list_(pa.int64())) for x in lists)], names=[*KEY, "spot", "anchor", "whole"])
+
+    found = cut(source.mapInArrow(find, f"{longs(*KEY)}, spot array<long>, anchor array<long>, whole array<long>"))
+    found = found.select(*KEY, F.explode(F.arrays_zip("spot", "anchor", "whole")).alias("s")).select(*KEY, "s.spot", "s.anchor", "s.whole")
+    of_anchor = found.groupBy("anchor").agg(F.min("did").alias("lo"), F.max("did").alias("hi"), (F.min("whole") != F.max("whole")).alias("mixed")).where("lo < hi")
+    # A key of its own makes the planner deal both sides of a join anew, and so lets it split what very many rows have.
+    flip = lambda c: F.bitwise_not(c).alias("flipped")
+    at_shared = written(found.withColumn("flipped", flip("anchor")).join(of_anchor.select(flip("anchor"), "mixed"), "flipped").drop("flipped"))
+    earliest = at_shared.groupBy("anchor", "whole").agg(F.min("did").alias("m")).select("anchor", flip("whole"), "m")
+    judged = at_shared.withColumn("flipped", flip("whole")).join(earliest, ["anchor", "flipped"])
+    gone, opened = F.when(F.col("did") > F.col("m"), F.col("spot")), F.when((F.col("did") == F.col("m")) & F.col("mixed"), F.col("spot"))
+    judged = judged.select(*KEY, gone.alias("gone"), opened.alias("opened")).where("gone IS NOT NULL OR opened IS NOT NULL")
+    lists = cut(judged.groupBy(*KEY).agg(F.collect_set("gone").alias("gone"), F.collect_set("opened").alias("opened")))
+
+    def look(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words and window hashes of the opened stretches."""
+        hasher = Hasher()
+        for batch in spans(batches, "text"):
+            out: list[tuple] = []
+            for row, (opened, text) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
+                spots, words = opened.values.to_numpy(), text.as_py().encode().split()
+                first, count = spots >> 7, (spots & 127) - WINDOW + 1
+                ends = np.cumsum(count)
+                starts = np.repeat(first - (ends - count), count) + np.arange(ends[-1])
+                windows = np.split(hasher.runs(hasher.prefix(hasher.words(words)), starts, WINDOW).view(np.int64), ends[:-1])
+                out += [(row, s, b" ".join(words[s >> 7 : (s >> 7) + (s & 127)]), w) for s, w in zip(spots.tolist(), windows, strict=True)]
+            rows, spots, context, windows = zip(*out, strict=True)
+            own = [batch.column(i).take(pa.array(rows)) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(spots), pa.array(context, pa.binary()), pa.array(windows, pa.list_(pa.int64()))], names=[*KEY, "spot", "context", "windows"])
+
+    needs = lists.where(F.size("opened") > 0).select(*KEY, "opened")
+    asked = maybe_in(source, KEY, needs).join(needs, KEY).select(*KEY, "opened", "text")
+    several = written(asked.mapInArrow(look, f"{longs(*KEY, 'spot')}, context binary, windows array<long>").withColumn("ref", F.monotonically_increasing_id()))
+    seeds = several.select("did", "ref", F.posexplode("windows").alias("i", "window"))
+    holder = seeds.groupBy("window").agg(F.min(F.struct("did", "ref", "i")).alias("h"), F.max("did").alias("hi")).where("h.did < hi").select(flip("window"), "h")
+    hits = seeds.withColumn("flipped", flip("window")).join(holder, "flipped").where("did > h.did")
+    # All windows of a stretch hold its anchor, so that those that match at the same shift belong to one maximal repeat.
+    pairs = hits.groupBy("ref", F.col("h.ref").alias("of"), (F.col("i") - F.col("h.i")).alias("shift")).agg(F.min("i").alias("i"))
 
     def extend(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in small(batches):
-            rows: list[tuple] = []
-            for d, tag, opened, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
-                mine = {o["pos"]: o for o in opened if o["pos"] & TAG == tag & TAG}
-                if mine:
-                    pos = np.fromiter(mine, np.int64, len(mine))
-                    count = pos >> 20 & 63
-                    ends = np.cumsum(count)
-                    starts = np.repeat((pos >> 26) - (ends - count), count) + np.arange(ends[-1])
-                    prefix = hasher.prefix(hasher.words(text.as_py().encode().split()))
-                    windows = np.split(hasher.runs(prefix, starts, WINDOW).view(np.int64), ends[:-1])
-                    rows += [(d, o["pos"], o["anchor"], o["crowd"], w) for o, w in zip(mine.values(), windows, strict=True)]
-            if rows:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["did", "pos", "anchor", "crowd", "windows"])
-
-    def resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The windows of a few stretches around one anchor that an earlier one of them has."""
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            for group in batch.column(0).to_pylist():
-                first: dict[int, int] = {}
-                for g in group:
-                    for w in g["windows"]:
-                        first[w] = min(first.get(w, LAST), g["did"])
-                for g in group:
-                    out += [(g["did"], g["pos"] + (i << 26) & ~(63 << 20) | 1 << 20) for i, w in enumerate(g["windows"]) if first[w] < g["did"]]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["did", "pos"])
-
-    needs = lists.where(F.size("open") > 0).select("did", "open")
-    extended = maybe_in(source, "did", needs).join(needs, "did").select("did", "tag", "open", "text").mapInArrow(extend, "did long, pos long, anchor long, crowd boolean, windows array<long>")
-    extended = written(extended)
-    few = extended.where("NOT crowd").groupBy("anchor").agg(F.collect_list(F.struct("did", "pos", "windows")).alias("g")).select("g").mapInArrow(resolve, "did long, pos long")
-    each = extended.where("crowd").select("did", "pos", "anchor", F.posexplode("windows").alias("i", "window"))
-    owner = each.groupBy("anchor", "window").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("anchor", "window", "lo")
-    one = ((F.shiftright("pos", 26) + F.col("i")) * (1 << 26) + (1 << 20) + F.col("pos").bitwiseAND(TAG)).alias("pos")
-    many = each.join(owner, ["anchor", "window"]).where("did > lo").select("did", one)
-    ends = few.unionByName(many).groupBy("did").agg(F.collect_list("pos").alias("gone"))
-    verdicts = cut(lists.where(F.size("gone") > 0).select("did", "gone").unionByName(ends).groupBy("did").agg(F.flatten(F.collect_list("gone")).alias("gone")))
+        for batch in spans(batches, "context"):
+            out = []
+            for s, left, right, i, shift in zip(*(batch.column(k).to_pylist() for k in range(3, 8)), strict=True):
+                at, n = extended(left.split(b" "), right.split(b" "), i, i - shift)
+                out.append((s >> 7) + at << 7 | n if n else None)
+            kept = pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(out, pa.int64())], names=[*KEY, "spot"])
+            yield kept.filter(kept.column(3).is_valid())
+
+    met = pairs.join(several.drop("windows"), "ref").join(several.select(F.col("ref").alias("of"), F.col("context").alias("other")), "of")
+    repeats = met.select(*KEY, "spot", "context", "other", "i", "shift").mapInArrow(extend, longs(*KEY, "spot"))
+    ends = repeats.groupBy(*KEY).agg(F.collect_set("spot").alias("gone"))
+    verdicts = cut(lists.where(F.size("gone") > 0).select(*KEY, "gone").unionByName(ends).groupBy(*KEY).agg(F.flatten(F.collect_list("gone")).alias("gone")))
 
     extra = F.struct(*(F.col(c) for c in carry)).alias("extra") if carry else F.struct(F.lit(0).alias("none")).alias("extra")
-    whole_rows = docs.select(did, F.xxhash64(text).alias("tag"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), extra)
+    whole_rows = docs.select(*key, F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), extra)
     types = {f: whole_rows.schema[f].dataType.simpleString() for f in ("id", "extra")}
 
     def strip(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
+        for batch in spans(batches, "text"):
             n, removed, sha, kept_text = [], [], [], []
-            for tag, text, verdict in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+            for text, spots in zip(batch.column(1), batch.column(2), strict=True):
                 words = (text.as_py() or "").encode().split()
-                total, pos = len(words), np.array([p for p in verdict or () if p & TAG == tag & TAG], np.int64)
-                if len(pos):
-                    step, first = np.zeros(total + 1, np.int64), pos >> 26
-                    np.add.at(step, first, 1)
-                    np.add.at(step, first + (pos >> 20 & 63) + WINDOW - 1, -1)
+                total = len(words)
+                if spots.is_valid:
+                    step, runs = np.zeros(total + 1, np.int64), spots.values.to_numpy()
+                    np.add.at(step, runs >> 7, 1)
+                    np.add.at(step, (runs >> 7) + (runs & 127), -1)
                     words = [w for w, depth in zip(words, np.cumsum(step[:-1]).tolist(), strict=True) if not depth]
                 line = b" ".join(words)
                 n.append(total)
                 removed.append(total - len(words))
                 sha.append(hashlib.sha256(line).hexdigest())
-                kept_text.append((line.decode() if len(pos) else text.as_py()) if keep_text else None)
+                kept_text.append((line.decode() if spots.is_valid else text.as_py()) if keep_text else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_text, pa.string()), batch.column(4)],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_text, pa.string()), batch.column(3)],
                 names=["id", "n_words", "n_removed", "kept_sha256", "kept_text", "extra"],
             )
 
-    untouched = maybe_in(whole_rows, "did", verdicts, without=True).withColumn("gone", F.lit(None).cast("array<long>"))
-    touched = maybe_in(whole_rows, "did", verdicts).join(verdicts, "did", "left")
-    rows = untouched.unionByName(touched).select("tag", "id", "text", "gone", "extra")
+    untouched = maybe_in(whole_rows, KEY, verdicts, without=True).withColumn("gone", F.lit(None).cast("array<long>"))
+    touched = maybe_in(whole_rows, KEY, verdicts).join(verdicts, KEY, "left")
+    rows = untouched.unionByName(touched).select("id", "text", "gone", "extra")
     out = rows.mapInArrow(strip, f"id {types['id']}, n_words long, n_removed long, kept_sha256 string, kept_text string, extra {types['extra']}")
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", *["kept_text"] * keep_text, *(F.col(f"extra.{c}") for c in carry))
