@@ -1,8 +1,10 @@
 import hashlib
 import json
+import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,21 +15,29 @@ from tidecast.llm import packing
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
 SPEC = open(PATH, encoding="utf-8").read()
-MODEL, LIBRARY = B.ByteBPE(SPEC, 50), Tokenizer.from_file(PATH)
+MODEL, LIBRARY = B.ByteBPE(SPEC), Tokenizer.from_file(PATH)
 PIECES = ["a", " ", "  ", "\n", "the", " over", "'s", "'LL", "é", "日本", "12", "½", "!?", "<|endoftext|>", "\t", "\0", "aaaa", "xyzzy", "\xa0", " ", "\x1c"]
 
 
+
+
+def encoded(*texts):
+    ids, ends = MODEL.encode(pa.array(texts))
+    return [x.tolist() for x in np.split(ids, ends[:-1])]
+
+
 @given(st.lists(st.sampled_from(PIECES) | st.text(max_size=4), max_size=12).map("".join))
 @settings(max_examples=400, deadline=None)
 def test_as_the_library(text):
-    ids = np.frombuffer(MODEL.encode_batch([text])[0], "<u4")
-    assert ids.tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
-    assert MODEL.decode(ids.tobytes()).decode() == LIBRARY.decode(ids.tolist(), skip_special_tokens=False)
+    texts = ["", text, " a b", text + " ", text.strip()]
+    for got, t in zip(encoded(*texts), texts, strict=True):
+        assert got == LIBRARY.encode(t, add_special_tokens=False).ids
+        assert MODEL.decode(np.array(got, np.int64)).decode() == LIBRARY.decode(got, skip_special_tokens=False)
 
 
 def test_long_word():
     text = "ab" * 3000 + "a" * 2000
-    assert np.frombuffer(MODEL.encode_batch([text])[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert encoded(text, "a", text) == [LIBRARY.encode(t, add_special_tokens=False).ids for t in (text, "a", text)]
 
 
 def test_rows(spark):
@@ -45,10 +55,11 @@ def test_rows(spark):
 def test_word_vocabulary(low, high):
     """What packing takes for common text is what the library takes for it."""
     spec = json.loads(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
-    library, merges = Tokenizer.from_str(json.dumps(spec)), B.Merges(spec["model"])
+    library, own = Tokenizer.from_str(json.dumps(spec)), packing.WordBPE(json.dumps(spec))
     rng = np.random.default_rng(15)
     for _ in range(300):
         text = "".join(chr(int(c)) for c in rng.integers(low, high + 1, 30)) + "It's We'LL 'd " + "".join(rng.choice(list("abc.,-' \n12"), 20))
-        text = "".join(c for c in text if not packing.OTHER.match(c)).replace("<|", "")
-        ids, _ = merges.merge([w.encode() for w in packing.TOKEN.findall(text.lower())])
-        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+        text = "".join(c for c in text if not re.match(packing.OTHER, c)).replace("<|", "")
+        texts = [text, "", f" {text}", text[::-1], *text.split("'"), *(text[i : i + 3] + " \n"[i % 2] for i in range(30))]
+        assert [x.tolist() for x in own.encode(pa.array(texts))] == [library.encode(t, add_special_tokens=False).ids for t in texts], text
+    assert own.library is None

@@ -10,28 +10,24 @@ from __future__ import annotations
 
 import json
 import os
-import re
-import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecast.llm.bpe import Merges, slices
-from tidecast.llm.common import cut, small
+from tidecast.llm.bpe import GROUP, LETTERS, NUMBERS, Merges, cut_words, gather, lists
+from tidecast.llm.common import cut, spans
 
 PIECES = "id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
-_known: dict[str, tuple] = {}
+_models: dict[str, WordBPE] = {}
 
-#: Letters and numbers up to U+017F, where lower-casing stays within what these classes know.
-LETTERS, NUMBERS = ("".join(c for c in map(chr, range(0x21, 0x180)) if unicodedata.category(c)[0] == k) for k in "LN")
-#: The vocabulary's own pattern for such letters; other texts go to the library.
-TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
-OTHER = re.compile("[^\t\n\r -~\xa1-\xac\xae-\u017f]|\u0130|<\\|")
+#: The vocabulary's own pattern for such letters, in the syntax of Arrow's expressions; texts in which OTHER finds something go to the library.
+TOKEN = f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+"
+OTHER = "[^\t\n\r -~\xa1-\xac\xae-\u017f]|\u0130|<\\|"
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -77,53 +73,55 @@ def plan(histogram: dict[int, int], window: int) -> tuple[np.ndarray, int]:
     return np.array(sorted(rows), np.int64).reshape(-1, 5), sequence
 
 
+class WordBPE:
+    """A vocabulary whose words end at white space; the library is loaded only if a text asks for it."""
+
+    def __init__(self, spec: str):
+        self.spec, self.library, self.merges = spec, None, Merges(json.loads(spec)["model"])
+
+    def by_library(self, text: str) -> np.ndarray:
+        if self.library is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.spec)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def encode(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """Ids of each text (not null). Texts of common characters are cut at white space, and equal chunks are encoded once."""
+        odd = pc.match_substring_regex(texts, OTHER).to_numpy(zero_copy_only=False)
+        bounds, chunks = lists(pc.ascii_split_whitespace(pc.utf8_lower(pc.if_else(pa.array(odd), "", texts))))
+        coded = chunks.dictionary_encode()
+        word_bounds, words = lists(cut_words(coded.dictionary, TOKEN))
+        flat, counts = self.merges.encode(words)
+        flat, ends = gather(flat, np.diff(np.r_[0, np.cumsum(counts)][word_bounds]), coded.indices.to_numpy())
+        ends = np.r_[0, ends][bounds[1:]]
+        return [self.by_library(texts[i].as_py()) if o else ids for i, (o, ids) in enumerate(zip(odd.tolist(), np.split(flat, ends[:-1]), strict=True))]
+
+
 def tokenize(docs: DataFrame, vocabulary: str, end_id: int, window: int, id_col: str, text_col: str) -> DataFrame:
     """Pieces of at most ``window`` ids of every document, with checksums."""
     with open(vocabulary, encoding="utf-8") as f:
         spec = f.read()
     shared, name = docs.sparkSession.sparkContext.broadcast(spec), str(zlib.crc32(spec.encode()))
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        if name not in _known:
-            made = Tokenizer.from_str(shared.value)
-            made.no_truncation()
-            made.no_padding()
-            _known[name] = (made, Merges(json.loads(shared.value)["model"]), {})
-        tokenizer, merges, known = _known[name]
-        for batch in small(batches):
+        if name not in _models:
+            _models[name] = WordBPE(shared.value)
+        for batch in spans(batches, "text", GROUP):
             out: list[list] = [[], [], [], [], []]
-            ids_of = iter(batch.column(0).to_pylist())
-            for texts in slices([t or "" for t in batch.column(1).to_pylist()]):
-                # Common texts are cut at the vocabulary's pattern here, and each different word is merged once.
-                words = [None if OTHER.search(t) else TOKEN.findall(t.lower()) for t in texts]
-                wanted = {w for ws in words if ws for w in ws}
-                new = list(wanted.difference(known))
-                if len(known) + len(new) > 150_000:
-                    known.clear()
-                    new = list(wanted)
-                ids, counts = merges.merge([w.encode() for w in new])
-                raw, at = ids.astype("<u4").tobytes(), 0
-                for w, n in zip(new, (4 * counts).tolist(), strict=True):
-                    known[w] = raw[at : at + n]
-                    at += n
-                rest = [t for t, ws in zip(texts, words, strict=True) if ws is None]
-                by_library = iter(tokenizer.encode_batch_fast(rest, add_special_tokens=False))
-                for ws in words:
-                    body = np.array(next(by_library).ids, "<u4").tobytes() if ws is None else b"".join(map(known.__getitem__, ws))
-                    ids, i = body + end, next(ids_of)
-                    for at in range(0, len(ids), 4 * window):
-                        piece = ids[at : at + 4 * window]
-                        for column, x in zip(out, (i, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4), strict=True):
-                            column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), *(pa.array(x, pa.int64()) for x in out[1:])], names=["id", "start", "length", "ids_crc32", "doc_tokens"])
-        known.clear()  # workers are used again by other stages
+            for i, ids in enumerate(_models[name].encode(batch.column(1))):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                for at in range(0, len(ids), window):
+                    piece = ids[at : at + window]
+                    for column, x in zip(out, (i, at, len(piece), zlib.crc32(piece), len(ids)), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), *(pa.array(x, pa.int64()) for x in out[1:])], names=["id", "start", "length", "ids_crc32", "doc_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES.format(kind=kind))
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(run, PIECES.format(kind=kind))
 
 
 def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,7 +130,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
     A document is its ids by the vocabulary file (tokenizers JSON whose words end at white space), then ``end_id``. It is cut
     at multiples of ``window`` ids; full pieces are sequences of their own, and what remains of each document is packed.
     Null and empty texts are documents of the end id alone. Identifiers may be null or repeat: each row is a document. An
-    empty table gives an empty result. Sequence numbers run from 0 without gaps; offsets in a sequence too.
+    empty table gives an empty result. Sequence numbers run from 0 without gaps; offsets in a sequence too. Other columns are
+    ignored, whatever their names. Texts are worked on in groups of a few MB; a longer text is a group of its own.
     """
     pieces = cut(tokenize(docs, vocabulary, end_id, window, id_col, text_col)).withColumn("part", F.spark_partition_id())
     counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
@@ -141,15 +140,14 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row per length
     rows, _ = plan(histogram, window)
 
-
-    def place(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = 40  # a length and a rank in one sorted key
         starts = rows[:, 0] << shift | rows[:, 1]
-        for f in frames:
-            length, rank = f["length"].to_numpy(np.int64), f["rank"].to_numpy(np.int64)
+        for batch in batches:
+            length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             at = rows[np.searchsorted(starts, length << shift | rank, side="right") - 1]
             bin_no, slot = np.divmod(rank - at[:, 1], at[:, 3])
-            yield f.drop(columns="rank").assign(sequence_id=at[:, 2] + bin_no, offset=at[:, 4] + slot * length)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(at[:, 2] + bin_no), pa.array(at[:, 4] + slot * length)], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
     own = Window.partitionBy("part", "length").orderBy("id", "start")
     ranked = pieces.withColumn("nth", F.row_number().over(own)).join(counts, ["part", "length"])
@@ -157,4 +155,4 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end_id: int = 2,
     placed = ranked.select("id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("nth") - 1).cast("long").alias("rank"))
     if not len(rows):
         placed = placed.limit(0)
-    return placed.mapInPandas(place, PIECES.format(kind=kind) + ", sequence_id long, offset long").withColumnRenamed("id", id_col)
+    return placed.mapInArrow(place, PIECES.format(kind=kind) + ", sequence_id long, offset long").withColumnRenamed("id", id_col)
