@@ -44,3 +44,21 @@ def test_edges(spark):
     assert Counter((r.keep_id, r.group_size, r.kept) for r in nulls) == Counter({(None, 900, False): 899, (None, 900, True): 1, (None, 3, False): 2, (None, 3, True): 1})
     with pytest.raises(ValueError):
         exact_dedup(nulls and spark.range(1), keep="first")
+
+
+def test_carry(spark):
+    rows = [(i, f"T{i % 7}" if i % 2 else "hot", i * 10, "z") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long, hash string")
+    got = exact_dedup(docs, carry=["n", "hash"])
+    assert got.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "text", "n", "hash"]
+    assert Counter((r.doc_id, r.text, r.n, r.hash) for r in got.collect()) == Counter(rows)
+    assert Counter(tuple(r)[:5] for r in got.collect()) == brute([r[:2] for r in rows], "largest")
+    with pytest.raises(ValueError):
+        exact_dedup(docs.withColumn("kept", docs.n), carry=["kept"])
+
+
+def test_texts_of_one_head(spark):
+    """Very many different texts behind one common head, and copies without an identifier."""
+    rows = [(i, "HEADER " * 20 + str(i % 900)) for i in range(2500)] + [(None, "same")] * 1200 + [(5, "Same")] * 3
+    got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert Counter(map(tuple, got)) == brute(rows, "largest")

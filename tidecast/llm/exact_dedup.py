@@ -1,65 +1,69 @@
 """Exact deduplication by a distributed content sort, with DataFrame operations only.
 
 1. A bounded sample gives splitters, and ``repartitionByRange`` deals the rows by the normalised head of the text, its
-   length and a salt. Splitters hold heads, never whole texts, so that the driver's sample stays small.
-2. Within a partition an external sort on head, length, salt, whole normalised text and identifier puts equal texts next
-   to each other; the window operator compares each row's whole text with its neighbour's to find where a run ends.
-3. The salt is zero except for heads of more rows than a partition's share: those are dealt by a hash of the identifier
-   so that no group of copies meets in one task. What the pieces of such a group found (one row per piece) is then merged.
+   length, a hash of the whole and a salt. Splitters hold heads, never whole texts, so that the driver's sample stays small.
+2. Within a partition an external sort on head, length, hash, salt, whole normalised text and identifier puts equal texts
+   next to each other; the window operator compares each row's whole text with its neighbour's to find where a run ends.
+3. The salt is zero except for texts of more rows than an eighth of a partition's share: their copies are dealt to as many
+   pieces as hold such a share each, so that no group of copies meets in one task. The first row of each piece, with its
+   text, goes through the same comparison of neighbours once more, which merges the pieces.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import ascii_lower, cut, parts
+from tidecast.llm.common import ascii_lower, cut, parts, written
 
 HEAD = 64
+#: A text of fewer copies than this is never split.
+FEW = 100
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """One row per input row: ``id_col``, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", carry: Sequence[str] = ()) -> DataFrame:
+    """One row per input row: ``id_col``, keep_id, group_size, kept, text_sha256 (+ ``text_col`` and the columns ``carry``).
 
     Texts are equal when identical after lower-casing A-Z. ``keep`` says which identifier of a group stays, ``largest``
     or ``smallest``. Null texts count as empty texts; all such rows are one group. A null identifier loses against any
     other; a group of nothing else keeps one row, with a null keep_id. Of repeated rows (same identifier and text) one is
-    kept. An empty table gives an empty result. Other columns are ignored.
+    kept. An empty table gives an empty result. Other columns are ignored; a column to carry must not have the name of one
+    that is made. Texts may be of any length; they are moved once, and once more where they lead a piece of a split group.
     """
     if keep not in ("largest", "smallest"):
         raise ValueError(f"keep must be 'largest' or 'smallest', not {keep!r}")
+    if clash := {id_col, "keep_id", "group_size", "kept", "text_sha256"} & {text_col, *carry}:
+        raise ValueError(f"columns to carry have names of the result: {sorted(clash)}")
     best = F.max if keep == "largest" else F.min
-    first = F.col("id").desc_nulls_last() if keep == "largest" else F.col("id").asc_nulls_last()
-    n = parts(docs.sparkSession)
+    first = lambda c: F.col(c).desc_nulls_last() if keep == "largest" else F.col(c).asc_nulls_last()
+    extra = [F.struct(*(F.col(c) for c in dict.fromkeys((text_col, *carry)))).alias("extra")] if carry else []
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).select(
-        "id", "text", ascii_lower(F.substring("text", 1, HEAD)).alias("head"), F.octet_length("text").alias("len")
-    )
-    # A head is hot beyond an eighth of a partition's even share, so there are at most 8 n of them.
-    heads = rows.groupBy("head", "len").agg(F.count(F.lit(1)).alias("n"))
-    hot = heads.where(F.col("n") > docs.count() // (8 * n) + 100).select("head", "len", F.lit(True).alias("hot"))
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(4 * n))).otherwise(F.lit(0)).alias("salt")
-    dealt = (
-        rows.join(F.broadcast(hot), ["head", "len"], "left")
-        .select("id", "text", "head", "len", salt, F.coalesce("hot", F.lit(False)).alias("hot"))
-        .repartitionByRange("head", "len", "salt")
-        .select("id", "hot", "head", "len", "salt", ascii_lower(F.col("text")).alias("norm"))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), *extra).select(
+        "id", "text", *["extra"] * len(extra), ascii_lower(F.substring("text", 1, HEAD)).alias("head"), F.octet_length("text").alias("len"), F.xxhash64(ascii_lower(F.col("text"))).alias("hash")
     )
-    run = Window.partitionBy("head", "len", "salt", "norm").orderBy(first)
+    share = docs.count() // (8 * parts(docs.sparkSession)) + FEW
+    # At most 8 texts per partition have more copies than that, and their pieces are at most twice as many.
+    crowds = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share).select("hash", F.ceil(F.col("n") / share).alias("pieces"))
+    salt = F.coalesce(F.pmod(F.xxhash64("id", F.spark_partition_id()), "pieces"), F.lit(0)).alias("salt")
+    dealt = rows.join(F.broadcast(crowds), "hash", "left").select("*", salt, F.col("pieces").isNotNull().alias("split"))
+    dealt = dealt.repartitionByRange("head", "len", "hash", "salt").withColumn("norm", ascii_lower(F.col("text")))
+    run = Window.partitionBy("head", "len", "hash", "salt", "norm").orderBy(first("id"))
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    found = cut(
-        dealt.select(
-            "id", "hot", "salt", F.sha2("norm", 256).alias("sha"), best("id").over(whole).alias("best"),
-            F.count(F.lit(1)).over(whole).alias("n"), (F.row_number().over(run) == 1).alias("leads"),
-        )
+    leads: Column = F.row_number().over(run) == 1
+    found = dealt.select(
+        "id", "split", "salt", F.sha2("norm", 256).alias("sha"), best("id").over(whole).alias("best"), F.count(F.lit(1)).over(whole).alias("n"),
+        leads.alias("leads"), F.when(F.col("split") & leads, F.col("norm")).alias("led"), *["extra"] * len(extra),
     )
-    cold = found.where(~F.col("hot")).select("id", F.col("best").alias("keep_id"), F.col("n").alias("group_size"), F.col("leads").alias("kept"), "sha")
-    split = found.where("hot")
-    piece = split.where("leads").select("sha", "salt", "best", "n")
-    merged = piece.groupBy("sha").agg(best("best").alias("keep_id"), F.sum("n").alias("group_size"), F.min(F.struct(F.col("best").isNull(), "salt"))["salt"].alias("null_salt"))
-    verdict = piece.select("sha", "salt").join(merged, "sha")
-    again = split.join(verdict, ["sha", "salt"]).select(
-        "id", "keep_id", "group_size",
-        (F.col("leads") & (F.col("id").eqNullSafe(F.col("keep_id"))) & (F.col("keep_id").isNotNull() | (F.col("salt") == F.col("null_salt")))).alias("kept"), "sha",
-    )
-    return cold.unionByName(again).select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
+    found = written(found) if extra else cut(found)
+    same = Window.partitionBy("led").orderBy(first("best"), "salt")
+    every = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    merged = found.where("split AND leads").select(
+        "sha", "salt", best("best").over(every).alias("keep_id"), F.sum("n").over(every).alias("group_size"), (F.row_number().over(same) == 1).alias("first_piece")
+    )
+    plain = found.where("NOT split").select("id", F.col("best").alias("keep_id"), F.col("n").alias("group_size"), F.col("leads").alias("kept"), "sha", *["extra"] * len(extra))
+    # The first row of the first piece leads the whole group. A row per piece: at most 16 times the partitions.
+    again = found.where("split").join(F.broadcast(merged), ["sha", "salt"]).select("id", "keep_id", "group_size", (F.col("leads") & F.col("first_piece")).alias("kept"), "sha", *["extra"] * len(extra))
+    out = plain.unionByName(again)
+    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"), *(F.col(f"extra.{c}") for c in dict.fromkeys((text_col, *carry)) if extra))
