@@ -2,10 +2,10 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as P
+from tests.llm.test_near_dup import brute as brute_groups
 from tests.llm.test_packing import check_packing
 from tests.llm.test_repeats import brute as brute_repeats
-from tests.llm.test_simhash import brute_components, brute_fingerprint
-from tidecast.llm.toxicity import Scorer, train
+from tidecast.llm.toxicity import THRESHOLD, Scorer, train
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -52,7 +52,7 @@ def test_stages_against_brute_force(spark, tables, tmp_path):
         assert out.columns == P.COLUMNS
         if name == "toxicity":
             scorer = Scorer(train(docs, spark.read.parquet(f"{tables}/labels.parquet")))
-            want = [r for r in before if scorer.score(r[1] or "")[-1] < 0.4]
+            want = [r for r in before if scorer.score(r[1] or "")[-1] < THRESHOLD]
             assert not any((r[1] or "").startswith("nasty") for r in got) and len(got) > 60
         elif name == "exact_dedup":
             best = {}
@@ -62,7 +62,7 @@ def test_stages_against_brute_force(spark, tables, tmp_path):
                     best[k] = r
             want = list(best.values())
         elif name == "simhash":
-            component = brute_components([(r[0], brute_fingerprint(r[1])) for r in before])
+            component = brute_groups([(r[0], r[1]) for r in before])
             want = [r for r, c in zip(before, component, strict=True) if r[0] is None or r[0] == c]
         else:
             judged = brute_repeats([(r[0], r[1]) for r in before])

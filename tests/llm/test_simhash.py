@@ -5,6 +5,7 @@ import pytest
 import xxhash
 
 from tidecast.llm import simhash as S
+from tidecast.llm.components import connected_components
 
 
 def brute_fingerprint(text):
@@ -45,7 +46,7 @@ def test_fingerprint():
 
 
 def test_ring_loses_nothing():
-    rng, masks = np.random.default_rng(4), S.segments(4)
+    rng, masks = np.random.default_rng(4), np.array(S.segments(4), np.uint64)
     assert int(np.bitwise_or.reduce(masks)) == 2**64 - 1 and sum(int(m).bit_count() for m in masks) == 64
     x = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in range(20_000)], np.uint64)
     assert S.ring(x, masks, 4).all()
@@ -53,16 +54,29 @@ def test_ring_loses_nothing():
     assert not S.ring(far, masks, 4).all()
 
 
-@pytest.mark.parametrize("largest", [32_768, 3])
-def test_components(spark, monkeypatch, largest):
+def test_longer_keys_lose_nothing():
+    rng, keys = np.random.default_rng(7), [0]
+    x = [sum(1 << int(b) for b in rng.choice(64, 4, replace=False)) for _ in range(300)]
+    for bits in (16, 20):
+        longer = S.longer_keys(keys, 4)
+        for v in x:  # whoever agrees on a key agrees on a longer one
+            agreed = {i for i, k in enumerate(keys) if not v & k}
+            assert agreed and agreed == {i for i, k in longer if not v & k}
+        keys = [k for _, k in longer]
+        assert min(k.bit_count() for k in keys) > bits
+
+
+@pytest.mark.parametrize("largest, open_bits", [(8192, 13), (4, 40)])
+def test_components(spark, monkeypatch, largest, open_bits):
     monkeypatch.setattr(S, "LARGEST", largest)
+    monkeypatch.setattr(S, "OPEN", open_bits)
     monkeypatch.setattr(S, "SMALL", 4)
     rng = np.random.default_rng(5)
     fps = [int(x) for x in rng.integers(0, 2**63, 60)]
     for _ in range(150):  # chains and crowds
         fps.append(fps[int(rng.integers(len(fps)))] ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)))
     signed = [f - (f >> 63 << 64) for f in fps]
-    got = S.connected_components(S.links(spark.createDataFrame([(f,) for f in set(signed)], "fp long"))).collect()
+    got = connected_components(S.links(spark.createDataFrame([(f,) for f in set(signed)], "fp long"))).collect()
     root = {r.node: r.root for r in got}
     want = brute_components(list(zip(signed, fps, strict=True)))
     assert [root.get(f, f) for f in signed] == want

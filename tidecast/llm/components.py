@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import cut
+from tidecast.llm.common import cut, join_split
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,8 +13,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each step replaces edges by as many edges to smaller nodes, so that the edge table never grows, and ends in stars after
     about the logarithm of the longest path squared. Only minima per node are aggregated (with map-side combining), and
-    joins are plain shuffles that the adaptive planner may split; no node's neighbours are ever gathered. Loops and
-    repeated edges are harmless, edges with a null end are dropped. Without edges the result is empty.
+    joins deal both sides anew, so that the adaptive planner may split a node of very many edges; no node's neighbours are
+    ever gathered. Loops and repeated edges are harmless, edges with a null end are dropped. Without edges the result is empty.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     print_of = lambda x: tuple(x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -22,11 +22,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while now[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = join_split(both.where("b > a"), low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = join_split(large, low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         before, now = now, print_of(e)
         if before == now:
             break
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def labelled(nodes: DataFrame, node: str, value: str, links: DataFrame) -> DataFrame:
+    """``node``, component_id: the least ``value`` among the nodes that links ``a, b`` connect with each node; nulls are not compared."""
+    roots = connected_components(links).withColumnRenamed("node", node)
+    own = join_split(nodes.select(node, value), roots, node, "left").select(node, value, F.coalesce("root", node).alias("root"))
+    least = own.groupBy("root").agg(F.min(value).alias("component_id"))
+    return join_split(own.select(node, "root"), least, "root").select(node, "component_id")

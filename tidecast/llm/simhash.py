@@ -4,9 +4,9 @@ Fingerprints are cut into DISTANCE + 2 segments, so that two linked ones agree o
 pair of segments meet, sorted, in a stream. Before the full Hamming check a pair has to pass the pigeonring filter: some
 chain of consecutive segments, read around the ring, whose cumulative differences stay within the proportional budgets.
 Equal fingerprints are one node from the start. Small groups are compared by offsets within the sorted stream; larger ones
-are searched outwards from one member at a time, giving a spanning forest and not all pairs. Groups beyond LARGEST members
-are not compared at all: fingerprints are within distance 2 r exactly if some value is within r of both, so that each of
-them is joined with the values around it, in as many rows as a group has members times a constant.
+are searched outwards from one member at a time, giving a spanning forest and not all pairs. A group beyond LARGEST members
+is split in the same way as all fingerprints are: the bits that its key leaves open are cut into DISTANCE + 2 segments, and
+those with an equal pair of these meet in a smaller group, as often as it takes.
 """
 
 from __future__ import annotations
@@ -20,11 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import cut, small
-from tidecast.llm.components import connected_components
+from tidecast.llm.common import cut, join_split, spans
+from tidecast.llm.components import labelled
 
 SEED = 42
-SMALL, LARGEST = 16, 32_768
+SMALL, LARGEST = 16, 8192
+#: Keys that leave so few bits open have groups of at most 2**OPEN different fingerprints and are not made longer.
+OPEN = 13
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -46,10 +48,19 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def segments(distance: int) -> np.ndarray:
-    """Masks of distance + 2 segments of 64 bits, as even as can be."""
-    at = np.linspace(0, 64, distance + 3).round().astype(int)
-    return np.array([((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], np.uint64)
+def segments(distance: int, bits: int = (1 << 64) - 1) -> list[int]:
+    """Masks of distance + 2 segments of the given bits, as even as can be."""
+    open_bits = [b for b in range(64) if bits >> b & 1]
+    at = np.linspace(0, len(open_bits), distance + 3).round().astype(int).tolist()
+    return [sum(1 << b for b in open_bits[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def longer_keys(keys: list[int], distance: int) -> list[tuple[int, int]]:
+    """(number of the key's mask, mask) of each key mask and a pair of segments of the bits that it leaves open.
+
+    Of those segments at most ``distance`` differ in two linked fingerprints, so that they agree on a pair at least.
+    """
+    return [(i, key | a | b) for i, key in enumerate(keys) for a, b in combinations(segments(distance, ~key & (1 << 64) - 1), 2)]
 
 
 def ring(x: np.ndarray, masks: np.ndarray, distance: int, chain: int = 3) -> np.ndarray:
@@ -84,14 +95,8 @@ def spanning(fp: np.ndarray, masks: np.ndarray, distance: int) -> Iterator[tuple
 
 def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     """Pairs a, b of the distinct fingerprints ``fp`` that connect what is connected within ``distance`` bits."""
-    if distance % 2:
-        raise ValueError("distance must be even: the values around two fingerprints meet half-way")
-    masks = segments(distance)
-    signed = lambda m: int(np.array(m, np.uint64).view(np.int64))
-    pairs = [signed(a | b) for a, b in combinations(masks, 2)]
-    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).cast("short").alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(pairs)])).alias("k")).select("fp", "k.c", "k.v")
-    large = keyed.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGEST).select("c", "v")
-    large = cut(large)
+    spark, masks = fps.sparkSession, np.array(segments(distance), np.uint64)
+    signed = lambda m: m - (m >> 63 << 64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held = np.empty((0, 2), np.int64), np.empty(0, np.uint64)
@@ -127,25 +132,24 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
         if len(held):
             yield from out(compare(held_key, held))
 
-    sorted_runs = keyed.join(large, ["c", "v"], "left_anti").repartition("c", "v").sortWithinPartitions("c", "v", "fp")
-    found = sorted_runs.select("c", "v", "fp").mapInArrow(run, "a long, b long")
-    if large.isEmpty():
-        return found
-
-    radius = distance // 2
-    flips = np.array([0, *(sum(1 << b for b in bits) for r in range(1, radius + 1) for bits in combinations(range(64), r))], np.uint64)
-
-    def around(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
-            for i in range(0, len(fp), 64):
-                some = fp[i : i + 64]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, len(flips)).view(np.int64)), pa.array((some[:, None] ^ flips).ravel().view(np.int64))], names=["fp", "z"])
-
-    crowd = keyed.join(large, ["c", "v"], "left_semi").select("fp").distinct()
-    centres = crowd.mapInArrow(around, "fp long, z long")
-    least = centres.groupBy("z").agg(F.min("fp").alias("b"))
-    return found.unionByName(centres.join(least, "z").where("fp <> b").select(F.col("fp").alias("a"), "b"))
+    keyed, keys, found = fps.select("fp", F.lit(0).alias("c")), [0], None
+    while True:
+        longer = longer_keys(keys, distance)
+        keys = [m for _, m in longer]
+        table = spark.createDataFrame([(c, i, signed(m)) for i, (c, m) in enumerate(longer)], "c int, i int, m long")
+        keyed = keyed.join(F.broadcast(table), "c").select("fp", F.col("i").alias("c"), F.col("fp").bitwiseAND(F.col("m")).alias("v"))
+        if min(64 - k.bit_count() for k in keys) <= OPEN:
+            crowds = None
+        else:
+            crowds = cut(keyed.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGEST).select("c", F.bitwise_not("v").alias("w")))
+        some = crowds is not None and not crowds.isEmpty()
+        keyed = keyed.withColumn("w", F.bitwise_not("v"))
+        groups = keyed.join(crowds, ["c", "w"], "left_anti") if some else keyed
+        runs = groups.repartition("c", "v").sortWithinPartitions("c", "v", "fp").select("c", "v", "fp").mapInArrow(run, "a long, b long")
+        found = runs if found is None else found.unionByName(runs)
+        if not some:
+            return found
+        keyed = cut(keyed.join(crowds, ["c", "w"], "left_semi").select("fp", "c"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
@@ -156,19 +160,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     42). Fingerprints within ``distance`` bits are linked, and component_id is the smallest identifier that links reach,
     itself included. Null texts, empty ones and such without words have fingerprint zero and are linked like any other. A
     null identifier is never smaller than another; a component of nothing else has a null component_id. Rows may repeat. An
-    empty table gives an empty result.
+    empty table gives an empty result. Other columns are ignored, whatever their names. Long texts are hashed in blocks.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
+        for batch in spans(batches, "text"):
             fp = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long"))
     nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
-    roots = connected_components(links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
-    labelled = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    component = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = labelled.select("fp", "root").join(component, "root").select("fp", "component_id")
-    return rows.join(of_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_fp = labelled(nodes, "fp", "first", links(nodes.select("fp"), distance))
+    return join_split(rows, of_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
