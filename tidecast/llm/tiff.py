@@ -7,6 +7,7 @@ crops edge tiles. Samples have 8, 16, 32 or 64 bits.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -17,11 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidecast.llm.common import spans
+
 #: Tags, field types and compression schemes of the format; fixed values.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, STRIP_BYTES, PLANAR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES, SAMPLE_FORMAT = 317, 322, 323, 324, 325, 339
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPES = {1: "B", 3: "H", 4: "I"}
+PAGE = ("page int", "width int", "height int", "samples int", "bits int", "compression int", "pixels binary", "error string", "payload_bytes long", "payload_sha256 string", "tail_crc32 long", "feature string")
+#: Bytes of pixels after which a batch of pages goes on.
+MOST = 8_000_000
 
 
 @dataclass(frozen=True)
@@ -242,9 +248,21 @@ def _page(raw: bytes, tags: dict[int, tuple], order: str) -> Page:
     return Page(w, h, s, bits, scheme, pixels.tobytes())
 
 
-def tiff_pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
+def digest(page: Page) -> tuple[int, str, int, str]:
+    """Size, SHA-256 and CRC-32 of the last 64 bytes of a page's pixels, and its size, mean, deviation and distinct bytes."""
+    count, n, values = np.bincount(np.frombuffer(page.pixels, np.uint8), minlength=256), len(page.pixels), np.arange(256)
+    mean = (count @ values) / max(1, n)
+    feature = f"{page.width}x{page.height} mean={mean:.6f} sd={np.sqrt(count @ (values - mean) ** 2 / max(1, n)):.6f} distinct={np.count_nonzero(count)}"
+    return n, hashlib.sha256(page.pixels).hexdigest(), zlib.crc32(page.pixels[-64:]), feature
+
+
+def tiff_pages(df: DataFrame, id_col: str, media_col: str, digests: bool = False) -> DataFrame:
     """One row per page: ``id_col``, page, width, height, samples, bits, compression, pixels, error.
 
+    With ``digests`` the pixels stay in the worker: payload_bytes, payload_sha256, tail_crc32 and feature follow, and pixels is
+    null. Other columns are ignored, whatever their names. Files are read one after the other and results go on after a
+    few MB, so that memory is bounded by the largest file.
+
     Null media give no rows. Where a file or a page cannot be read, one row says so in ``error`` (null elsewhere) with the
     number of the page that failed and null fields; earlier pages of the file keep their rows. Files whose chain is empty
     give no rows. Repeated rows give repeated pages; an empty table gives an empty result. A lack of memory says nothing about
@@ -253,38 +271,50 @@ def tiff_pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        names = ["id", *(n.split()[0] for n in PAGE)]
+        types = [pa.int32()] * 6 + [pa.binary(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+
+        def made(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [kind, *types], strict=True)], names=names)
+
+        for batch in spans(batches, "media"):
             out: list[tuple] = []
-            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if raw is None:
+            held = 0
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if not raw.is_valid:
                     continue
                 n = 0
                 try:
-                    for page in read_tiff(raw):
-                        out.append((i, n, page.width, page.height, page.samples, page.bits, page.compression, page.pixels, None))
+                    for page in read_tiff(raw.as_py()):
+                        own = (None, None, *digest(page)) if digests else (page.pixels, None, None, None, None, None)
+                        out.append((i, n, page.width, page.height, page.samples, page.bits, page.compression, *own))
+                        held += 0 if digests else len(page.pixels)
                         n += 1
+                        if held > MOST:
+                            yield made(out, batch.schema.field(0).type)
+                            out, held = [], 0
                 except (ValueError, KeyError, TypeError, struct.error, zlib.error, IndexError, OverflowError) as e:
-                    out.append((i, n, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 9
-            types = [batch.schema.field(0).type, *[pa.int32()] * 6, pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["id", "page", "width", "height", "samples", "bits", "compression", "pixels", "error"])
+                    out.append((i, n, *[None] * 6, f"{type(e).__name__}: {e}", *[None] * 4))
+            if out:
+                yield made(out, batch.schema.field(0).type)
 
-    schema = f"id {kind}, page int, width int, height int, samples int, bits int, compression int, pixels binary, error string"
-    return df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    pages = df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(run, f"id {kind}, {', '.join(PAGE)}")
+    return pages.select(F.col("id").alias(id_col), *(n.split()[0] for n in (PAGE if digests else PAGE[:8])))
 
 
 def store_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 64) -> DataFrame:
     """``id_col``, n_bytes, media: every text as UTF-8, padded by zero bytes to a positive multiple of ``width``, as a page.
 
-    A null text is stored as an empty one. Equal texts have equal media.
+    A null text is stored as an empty one. Equal texts have equal media. Other columns are ignored, whatever their names.
+    Texts are stored in groups of a few MB; a longer one is a group of its own.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in spans(batches, "text"):
             size, media = [], []
-            for text in batch.column(1).to_pylist():
-                raw = (text or "").encode()
+            for text in batch.column(1):
+                raw = (text.as_py() or "").encode()
                 size.append(len(raw))
                 padded = raw.ljust(max(width, -(-len(raw) // width) * width), b"\0")
                 media.append(write_tiff([np.frombuffer(padded, np.uint8).reshape(-1, width)]))
@@ -300,20 +330,6 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cases are those of ``store_text`` and ``tiff_pages``, but a page that cannot be read back fails the task.
     """
     stored = store_text(docs, id_col, text_col).select(F.struct(F.col(id_col).alias("id"), "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")).alias("own"), "media")
-
-    @F.pandas_udf("tail_crc32 long, feature string")
-    def look(pixels, width, height):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        out = []
-        for raw, w, h in zip(pixels, width, height, strict=True):
-            count = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-            n, values = len(raw), np.arange(256)
-            mean = (count @ values) / n
-            out.append((zlib.crc32(raw[-64:]), f"{w}x{h} mean={mean:.6f} sd={np.sqrt(count @ (values - mean) ** 2 / n):.6f} distinct={np.count_nonzero(count)}"))
-        return pd.DataFrame(out, columns=["tail_crc32", "feature"])
-
     failed = F.raise_error(F.concat(F.lit("a stored page cannot be read back: "), F.col("error"))).cast("boolean")
-    pages = tiff_pages(stored, "own", "media").where(F.when(F.col("error").isNull(), F.lit(True)).otherwise(failed))
-    seen = pages.select("own", F.octet_length("pixels").cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"), look("pixels", "width", "height").alias("look"))
-    return seen.select(F.col("own.id").alias(id_col), "own.n_bytes", "payload_bytes", "payload_sha256", "look.tail_crc32", "own.media_bytes", "own.media_sha256", "look.feature")
+    pages = tiff_pages(stored, "own", "media", digests=True).where(F.when(F.col("error").isNull(), F.lit(True)).otherwise(failed))
+    return pages.select(F.col("own.id").alias(id_col), "own.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "own.media_bytes", "own.media_sha256", "feature")
