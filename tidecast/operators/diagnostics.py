@@ -58,8 +58,10 @@ def folds(df: DataFrame, ends: DataFrame, ts: str, horizon: str | int, keys: Seq
     return joined.withColumn("is_train", F.col(ts) <= F.col("cutoff"))
 
 
-def cross_validation(model: FittedModel, history: DataFrame, horizon: str | int, period: str | int | None = None, initial: str | int | None = None, cuts: Sequence[datetime] | None = None) -> DataFrame:
-    """Refit on each fold and forecast its horizon: keys, ds, yhat, observed_lower, observed_upper, metric, cutoff.
+def cross_validation(model: FittedModel, history: DataFrame, horizon: str | int, period: str | int | None = None, initial: str | int | None = None, cuts: Sequence[datetime] | None = None, extra: Sequence[str] = ()) -> DataFrame:
+    """Refit on each fold and forecast its horizon: keys, ds, yhat and observed with their bounds, metric, cutoff.
+
+    ``extra`` names numeric columns of the history that go along. A Laplace model draws in each fold too.
 
     All folds of all series are groups of one shuffle. Period defaults to half the horizon, initial to three horizons or
     the longest seasonality. A fold keeps the events of the fitted model and its changepoints up to the cutoff.
@@ -89,22 +91,26 @@ def cross_validation(model: FittedModel, history: DataFrame, horizon: str | int,
     scales = [f.prior_scale for f in feats.features(settled, F.col("t"), F.col("ds"), lo, hi)]
     known = model.params.select(*keys, F.col("changepoints").alias("_cps"))
     rows = rows.join(known, keys) if keys else rows.join(F.broadcast(known), how="inner", on=F.lit(True))
-    mode, step = model.options["optimize_mode"], spec.step_us
+    mode, step, laplace, draws = model.options["optimize_mode"], spec.step_us, model.options["use_laplace"], model.options.get("draws", 1000)
+    if extra:
+        more = plain.select(*(F.col(k).alias(i) for k, i in zip(spec.keys, keys, strict=True)), F.col(ts).alias("ds"), *(F.col(c).cast("double").alias(f"_extra_{c}") for c in extra))
+        rows = rows.join(more, [*keys, "ds"])
+    made = ["yhat", "yhat_lower", "yhat_upper", "observed_lower", "observed_upper"]
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         train, test = g[g["is_train"]], g[~g["is_train"]].sort_values("t")
         if len(train) < 2 or not len(test):
-            return pd.DataFrame({c: [] for c in [*keys, "ds", "yhat", "observed_lower", "observed_upper", "y", "cutoff"]})
+            return pd.DataFrame({c: [] for c in [*keys, "ds", *made, "y", *(f"_extra_{c}" for c in extra), "cutoff"]})
         last = int((g["cutoff"].iloc[0] - g["t0"].iloc[0]) // pd.Timedelta(1, "us")) // step
         cps = np.array([c for c in g["_cps"].iloc[0] if c <= last], np.int64)
-        p = fit_series(series_of(train, settled, cps), settled, scales, mode, seed=seed_of(key, spec.seed))
+        p = fit_series(series_of(train, settled, cps), settled, scales, mode, laplace, draws, seed_of(key, spec.seed))
         out = score_series(p, settled, test["t"].to_numpy(float).astype(np.int64), np.stack(test["x"].to_numpy()).astype(float).reshape(len(test), -1), test["capacity"].to_numpy(float))
-        out = out.assign(ds=test["ds"].to_numpy(), y=test["y"].to_numpy(), cutoff=g["cutoff"].iloc[0])
+        out = out.assign(ds=test["ds"].to_numpy(), y=test["y"].to_numpy(), **{f"_extra_{c}": test[f"_extra_{c}"].to_numpy() for c in extra}, cutoff=g["cutoff"].iloc[0])
         return out.assign(**dict(zip(keys, key, strict=False)))
 
-    schema = f"{key_schema(rows, keys)}ds timestamp_ntz, yhat double, observed_lower double, observed_upper double, y double, cutoff timestamp_ntz"
+    schema = f"{key_schema(rows, keys)}ds timestamp_ntz, {', '.join(f'{c} double' for c in made)}, y double, {''.join(f'`_extra_{c}` double, ' for c in extra)}cutoff timestamp_ntz"
     done = folds(rows, ends, "ds", horizon_us, keys).groupBy(*keys, "cutoff").applyInPandas(run, schema)
-    return done.withColumnsRenamed({"ds": ts, "y": spec.metric_name, **dict(zip(keys, spec.keys, strict=True))})
+    return done.withColumnsRenamed({"ds": ts, "y": spec.metric_name, **{f"_extra_{c}": c for c in extra}, **dict(zip(keys, spec.keys, strict=True))})
 
 
 def metric_columns(y: Column, yhat: Column, lower: Column, upper: Column) -> dict[str, Column]:
@@ -182,3 +188,16 @@ def changepoint_markers(model: FittedModel) -> DataFrame:
     spec = model.spec
     each = model.params.select(*_outer(spec), "t0", F.explode(F.arrays_zip("changepoints", "delta")).alias("c"))
     return each.select(*spec.keys, add_us(F.col("c.changepoints") * F.lit(spec.step_us), F.col("t0")).alias("ds"), F.col("c.delta").alias("delta"))
+
+
+def capacity_line(model: FittedModel, data: DataFrame) -> DataFrame:
+    """keys, ds and the capacity that the forecast of each row cannot exceed: the row's own, or the series' settled one."""
+    spec, keys, ts = model.spec, model.spec.inner_keys, model.spec.timestamp_name
+    if spec.model not in ("binomial", "beta-binomial"):
+        raise ValueError(f"a {spec.model} model has no capacity")
+    rows = with_inner_keys(data, spec)
+    if spec.capacity_name:
+        return rows.select(*_outer(spec), ts, F.col(spec.capacity_name).cast("double").alias("capacity"))
+    settled = model.params.select(*keys, F.col("capacity_fixed").alias("capacity"))
+    joined = rows.join(settled, keys) if keys else rows.join(F.broadcast(settled), how="inner", on=F.lit(True))  # one row
+    return joined.select(*_outer(spec), ts, "capacity")

@@ -15,7 +15,7 @@ from tidecast.functions.columns import diff_us, fourier, ntz
 from tidecast.functions.durations import UNITS
 from tidecast.functions.holidays import holidays
 from tidecast.operators.grid import differences
-from tidecast.plans.spec import Calendric, Event, ModelSpec
+from tidecast.plans.spec import EVENT_KINDS, Calendric, Event, ModelSpec
 
 log = logging.getLogger(__name__)
 
@@ -48,6 +48,8 @@ def anchors_of(event: Event, lo: datetime, hi: datetime) -> list[datetime]:
         named = holidays(event.country, range(lo.year, hi.year + 1), event.subdiv)
         days = [datetime.combine(d, time()) for d, name in named if name == (event.holiday or event.name)]
         return [d for d in days if lo <= d <= hi]
+    if made := EVENT_KINDS[event.kind]:
+        return list(made(event, lo, hi))
     return list(event.anchors)
 
 
@@ -136,6 +138,9 @@ def apply_protocols(spec: ModelSpec, history: DataFrame, lo: datetime, hi: datet
     sample = differences(history.select(*spec.keys, spec.timestamp_name), spec.timestamp_name, spec.keys).agg(F.percentile("diff_us", 0.3).alias("q")).first()["q"]
     span = _us(hi - lo) + sample
     for p in spec.protocols:
+        if not isinstance(p, Calendric):
+            spec = p.settle(spec, history, lo, hi)
+            continue
         if p.country:
             for name in sorted({n for d, n in holidays(p.country, range(lo.year, hi.year + 1), p.subdiv) if lo <= datetime.combine(d, time()) <= hi}):
                 if name not in {e.name for e in spec.events}:

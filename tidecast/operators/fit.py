@@ -18,10 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidecast.functions.storage import cut
 from tidecast.operators import features as feats
 from tidecast.operators.families import FAMILIES, INVERSE, LINK, expit
 from tidecast.operators.grid import steps_between
 from tidecast.operators.validate import check_rows, check_schema, validation_report
+from tidecast.plans.config import given, settings
 from tidecast.plans.errors import FittedError
 from tidecast.plans.spec import ModelSpec
 
@@ -156,7 +158,7 @@ def fit_series(s: Series, spec: ModelSpec, scales: Sequence[float], mode: str =
         if not moved:
             break
         gain, u, now, damp = now - new, u + shrink * move, new, max(damp / 10, 1e-10)
-        if gain < 1e-9 * (1 + abs(now)):
+        if gain < 1e-12 * (1 + abs(now)):
             break
 
     theta = lb + (ub - lb) * expit(u)
@@ -167,15 +169,28 @@ def fit_series(s: Series, spec: ModelSpec, scales: Sequence[float], mode: str =
         beta[live] = th[2 + S_ :] / q
         return np.r_[th[: 2 + S_], beta]
 
-    full, many = unpack(theta), []
+    full, many, kappa = unpack(theta), [], float(top * expit(np.array(uk))) if has_kappa else None
+    phi = float(np.mean(phi)) if has_kappa else None
     if laplace:
-        rng = np.random.default_rng(seed)
-        _, h = derivatives(u, uk)
+        # The Gaussian at the mode, of the dispersion too: its row of the curvature comes from differences of the gradient.
+        rng, (_, h), width = np.random.default_rng(seed), derivatives(u, uk), 1e-3
+        if has_kappa:
+            up, down = (derivatives(u, uk + e)[0] for e in (width, -width))
+            cross = (up - down) / (2 * width)
+            own = (objective(u, uk + width) - 2 * now + objective(u, uk - width)) / width**2
+            # Curvature in the linear predictor's parameters is expected, not observed: keep the whole positive.
+            own = max(own, 1.01 * float(cross @ np.linalg.solve(h + 1e-9 * np.diag(np.diag(h)), cross)), 1e-6)
+            h = np.block([[h, cross[:, None]], [cross[None, :], np.array([[own]])]])
         root = np.linalg.cholesky(np.linalg.inv(h + 1e-9 * np.diag(np.diag(h))))
-        many = [unpack(lb + (ub - lb) * expit(u + root @ rng.standard_normal(len(u)))).tolist() for _ in range(draws)]
+        at = np.r_[u, [uk] * has_kappa] + rng.standard_normal((draws, len(h))) @ root.T
+        many = [unpack(lb + (ub - lb) * expit(d[: len(u)])).tolist() for d in at]
+        if has_kappa:  # what scoring uses is the dispersion's mean over the draws
+            drawn = top * expit(at[:, -1])
+            phi = float(np.mean([np.mean(phi_of(x)) for x in at[:, -1]]))
+            kappa = float(np.mean(drawn**-2.0) ** -0.5) if family.name == "beta-binomial" else float(drawn.mean())
     return {
         "k": float(full[0]), "m": float(full[1]), "delta": full[2 : 2 + S_].tolist(), "changepoints": s.changepoints.astype(int).tolist(), "beta": full[2 + S_ :].tolist(),
-        "kappa": float(top * expit(np.array(uk))) if has_kappa else None, "phi": float(np.mean(phi)) if has_kappa else None, "linked_offset": offset, "linked_scale": scale,
+        "kappa": kappa, "phi": phi, "linked_offset": offset, "linked_scale": scale,
         "y_mean": ybar, "variance_bound": v, "t_max": int(s.t.max()), "n_obs": n_rows, "objective": now, "steps": step_no, "draws": many,
     }
 
@@ -242,7 +257,7 @@ def prepare(df: DataFrame, spec: ModelSpec, options: dict, validate: bool = True
         raise ValueError("changepoints must lie within the history")
     rows = df
     if spec.model in ("binomial", "beta-binomial") and not spec.capacity_name and options.get("capacity") is None:
-        found = estimate_capacity(df, metric, options.get("capacity_mode", "scale"), options.get("capacity_value", 0.5), keys).withColumnRenamed("capacity", "_capacity")
+        found = estimate_capacity(df, metric, options.get("capacity_mode") or "scale", 0.5 if options.get("capacity_value") is None else options["capacity_value"], keys).withColumnRenamed("capacity", "_capacity")
         rows = df.join(found, keys) if keys else df.withColumn("_capacity", F.lit(found.first()["_capacity"]))
     origin = df.groupBy(*keys).agg(F.min(ts).alias("t0"))
     rows = rows.join(origin, keys) if keys else rows.withColumn("t0", F.lit(lo.isoformat(sep=" ")).cast("timestamp_ntz"))
@@ -269,13 +284,21 @@ def key_schema(df: DataFrame, keys: Sequence[str]) -> str:
     return "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
 
 
-def fit(df: DataFrame, spec: ModelSpec, optimize_mode: str = "MAP", use_laplace: bool = False, capacity: int | None = None, capacity_mode: str = "scale", capacity_value: float = 0.5, draws: int = 1000, validate: bool = True) -> FittedModel:
-    """Fit every series of the frame. The returned model's params stay lazy until used; persist or write them to reuse."""
+def fit(
+    df: DataFrame, spec: ModelSpec, optimize_mode: str | None = None, use_laplace: bool | None = None, capacity: int | None = None, capacity_mode: str | None = None, capacity_value: float | None = None,
+    draws: int = 1000, validate: bool = True, toml_path: str | None = None,
+) -> FittedModel:
+    """Fit every series of the frame, once: the parameters, a row per series, are a checkpoint that all later steps read.
+
+    What is not given comes from [fit] of the TOML file, else from the spec's own settings, else from the defaults: MAP, no
+    Laplace draws, and a capacity for which the metric is half of it on the whole.
+    """
     if isinstance(spec, FittedModel):
         raise FittedError("the model is fitted; fit its spec again for another history")
-    if optimize_mode.upper() not in ("MAP", "MLE"):
+    options = settings("fit", spec.config, toml_path, **given(optimize_mode=optimize_mode, use_laplace=use_laplace, capacity=capacity, capacity_mode=capacity_mode, capacity_value=capacity_value)) | {"draws": draws}
+    if options["optimize_mode"].upper() not in ("MAP", "MLE"):
         raise ValueError("optimize_mode is MAP or MLE")
-    options = {"optimize_mode": optimize_mode, "use_laplace": use_laplace, "capacity": capacity, "capacity_mode": capacity_mode, "capacity_value": capacity_value, "draws": draws}
+    optimize_mode, use_laplace = options["optimize_mode"], options["use_laplace"]
     spec, rows, lo, hi = prepare(df, spec, options, validate)
     keys = spec.inner_keys
     scales = [f.prior_scale for f in feats.features(spec, F.col("t"), F.col("ds"), lo, hi)]
@@ -286,4 +309,4 @@ def fit(df: DataFrame, spec: ModelSpec, optimize_mode: str = "MAP", use_laplace:
 
     grouped = rows.groupBy(*keys) if keys else rows.groupBy(F.lit(0).alias("_one"))
     params = grouped.applyInPandas(run, f"{key_schema(rows, keys)}t0 timestamp_ntz, capacity_fixed double, {PARAMS}")
-    return FittedModel(replace(spec, meta={**spec.meta}), params, lo, hi, options)
+    return FittedModel(replace(spec, meta={**spec.meta}), cut(params), lo, hi, options)

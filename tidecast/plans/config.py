@@ -6,11 +6,12 @@ import copy
 import json
 import logging
 import tomllib
-from dataclasses import fields
+from collections.abc import Iterable
+from dataclasses import fields, replace
 
 from tidecast.functions.durations import micros
 from tidecast.functions.profiles import Profile
-from tidecast.plans.spec import Calendric, ModelSpec
+from tidecast.plans.spec import ModelSpec, protocol_from_dict
 
 log = logging.getLogger(__name__)
 
@@ -38,6 +39,11 @@ def read_toml(path: str | None) -> dict:
         return tomllib.load(f)
 
 
+def given(**values: object) -> dict:
+    """The arguments that a caller has set: those that are not None."""
+    return {k: v for k, v in values.items() if v is not None}
+
+
 def settings(table: str, model_config: dict | None = None, toml_path: str | None = None, **kwargs: object) -> dict:
     """The settled settings of fit, predict or load_data; unknown keys are dropped with a warning."""
     out = copy.deepcopy(DEFAULTS[table])
@@ -49,9 +55,12 @@ def settings(table: str, model_config: dict | None = None, toml_path: str | None
     return out
 
 
-def model_from_toml(path: str, **overrides: object) -> tuple[ModelSpec, dict]:
-    """The spec that [model], [[seasonalities]], [[events]], [[external_regressors]] and [[protocols]] tell, and the file."""
-    data = read_toml(path)
+def model_from_toml(path: str, ignore: Iterable[str] = (), **overrides: object) -> tuple[ModelSpec, dict]:
+    """The spec that [model], [[seasonalities]], [[events]], [[external_regressors]] and [[protocols]] tell, and the file.
+
+    The spec keeps [fit], [predict] and [load_data] as its own settings. ``ignore`` names tables of the file to leave out.
+    """
+    data = {k: v for k, v in read_toml(path).items() if k not in set(ignore)}
     names = {f.name for f in fields(ModelSpec)}
     base = data.get("model", {}) | overrides
     for k in set(base) - names:
@@ -64,9 +73,9 @@ def model_from_toml(path: str, **overrides: object) -> tuple[ModelSpec, dict]:
     for e in data.get("events", ()):
         spec = spec.add_event(**{**e, "profile": Profile.from_dict(e["profile"])})
     for p in data.get("protocols", ()):
-        spec = spec.add_protocol(Calendric.from_dict({k: v for k, v in p.items()}))
+        spec = spec.add_protocol(protocol_from_dict(dict(p)))
     micros(spec.sampling_period)
-    return spec, data
+    return replace(spec, config={k: data[k] for k in DEFAULTS if k in data}), data
 
 
 def to_json(spec: ModelSpec, path: str | None = None) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, fields, replace
 from datetime import datetime
 
@@ -43,6 +44,15 @@ class External:
         _positive(prior_scale=self.prior_scale)
 
 
+#: Kinds of events; those that users add have a function of (event, first, last) that gives the anchors.
+EVENT_KINDS: dict[str, Callable | None] = {"single": None, "intermittent": None, "periodic": None, "holiday": None}
+
+
+def register_event_kind(kind: str, anchors: Callable) -> None:
+    """Add a kind of event: ``anchors(event, first, last)`` gives its anchors for data from first to last."""
+    EVENT_KINDS[kind] = anchors
+
+
 @dataclass(frozen=True)
 class Event:
     """``kind`` single or intermittent: ``anchors``; periodic: one anchor and ``period_us``; holiday: by name and country."""
@@ -60,7 +70,7 @@ class Event:
 
     def __post_init__(self) -> None:
         _positive(prior_scale=self.prior_scale)
-        if self.kind not in ("single", "intermittent", "periodic", "holiday"):
+        if self.kind not in EVENT_KINDS:
             raise NotImplementedError(f"no event kind {self.kind!r}")
         if self.include not in (True, False, "auto"):
             raise ValueError("include is True, False or 'auto'")
@@ -114,6 +124,23 @@ class Calendric:
         return Calendric(**{k: v for k, v in data.items() if k not in ("type", "profile")}, **profile)
 
 
+#: Protocols by name; one of a user's own has to_dict and from_dict, and ``settle(spec, history, first, last)``, which gives the spec
+#: with the terms that it adds.
+PROTOCOLS: dict[str, type] = {"Calendric": Calendric}
+
+
+def register_protocol(cls: type) -> type:
+    """Make a protocol of one's own known by its name; usable as a decorator."""
+    PROTOCOLS[cls.__name__] = cls
+    return cls
+
+
+def protocol_from_dict(data: dict) -> object:
+    if data.get("type", "Calendric") not in PROTOCOLS:
+        raise NotImplementedError(f"no protocol {data['type']!r}")
+    return PROTOCOLS[data.get("type", "Calendric")].from_dict(data)
+
+
 @dataclass(frozen=True)
 class ModelSpec:
     model: str = "normal"
@@ -137,6 +164,8 @@ class ModelSpec:
     protocols: tuple[Calendric, ...] = ()
     seed: int = 0
     meta: dict = field(default_factory=dict, hash=False, compare=False)
+    #: Settings of fit, predict and load_data that go with the model, by table.
+    config: dict = field(default_factory=dict, hash=False, compare=False)
 
     def __post_init__(self) -> None:
         if self.model not in FAMILIES:
@@ -208,6 +237,6 @@ class ModelSpec:
         for k in set(data) - known:
             log.warning("unknown setting %s", k)
         d = {k: v for k, v in data.items() if k in known}
-        made = {"seasonalities": lambda x: Seasonality(**x), "externals": lambda x: External(**x), "events": Event.from_dict, "protocols": Calendric.from_dict}
+        made = {"seasonalities": lambda x: Seasonality(**x), "externals": lambda x: External(**x), "events": Event.from_dict, "protocols": protocol_from_dict}
         d |= {k: tuple(f(x) for x in d.get(k, ())) for k, f in made.items()}
         return ModelSpec(**d | {"keys": tuple(d.get("keys", ())), "changepoints": None if d.get("changepoints") is None else tuple(d["changepoints"])})

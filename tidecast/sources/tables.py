@@ -6,15 +6,24 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidecast.functions.durations import instant
 from tidecast.operators.fit import FittedModel
 from tidecast.operators.grid import cast_kind
+from tidecast.plans.config import given, settings
 from tidecast.plans.spec import ModelSpec
 
 
-def load_data(spark: SparkSession, source: str, timestamp_name: str = "ds", metric_name: str = "y", dtype_kind: str = "f", format: str = "csv", schema: str | None = None) -> DataFrame:  # noqa: A002
-    """Read a history, make its timestamp one without a zone, and cast its metric by kind."""
+def load_data(spark: SparkSession, source: str | None = None, timestamp_name: str = "ds", metric_name: str = "y", dtype_kind: str | None = None, format: str = "csv", schema: str | None = None, config: dict | None = None, toml_path: str | None = None) -> DataFrame:  # noqa: A002
+    """Read a history, make its timestamp one without a zone, and cast its metric by kind.
+
+    ``source`` and ``dtype_kind`` come from [load_data] of the TOML file or of ``config`` (a spec's own settings) if not given.
+    """
+    asked = settings("load_data", config, toml_path, **given(source=source, dtype_kind=dtype_kind))
+    source, dtype_kind = asked["source"], asked["dtype_kind"]
+    if not source:
+        raise ValueError("no source to read from")
     if format == "table":
         df = spark.table(source)
     elif format == "csv":
@@ -35,3 +44,17 @@ def save_model(model: FittedModel, path: str) -> None:
 def load_model(spark: SparkSession, path: str) -> FittedModel:
     data = json.loads(spark.read.text(f"{path}/model").first()["value"])
     return FittedModel(ModelSpec.from_dict(data["spec"]), spark.read.parquet(f"{path}/params"), instant(data["start"]), instant(data["end"]), data["options"])
+
+
+def model_to_json(model: FittedModel) -> str:
+    """A fitted model as one text. Its parameters come to the driver: for a few series; for many there is ``save_model``."""
+    rows = [json.loads(r) for r in model.params.toJSON().collect()]
+    return json.dumps({"spec": model.spec.to_dict(), "start": model.start.isoformat(), "end": model.end.isoformat(), "options": model.options, "schema": model.params.schema.json(), "params": rows})
+
+
+def model_from_json(spark: SparkSession, text: str) -> FittedModel:
+    data = json.loads(text)
+    schema = StructType.fromJson(json.loads(data["schema"]))
+    lines = spark.createDataFrame([(json.dumps(r),) for r in data["params"]], "value string")
+    params = lines.select(F.from_json("value", schema).alias("p")).select("p.*")
+    return FittedModel(ModelSpec.from_dict(data["spec"]), params, instant(data["start"]), instant(data["end"]), data["options"])
