@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidecast.functions.storage import cut, written
+
+__all__ = ["ascii_lower", "cut", "join_split", "maybe_in", "parts", "read", "small", "spans", "written"]
+
 BITMAP = 1 << 24
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -25,31 +27,6 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: the session's ``spark.checkpoint.dir``, and only where that is unset (tests) another one: a
-    temporary folder in local mode, else a folder in the warehouse, which a cluster shares."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and context.master.split("[")[0] == "local":
-            named = tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
-    return str(context.getCheckpointDir())
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint, whose files outlive executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The frame as a Parquet table in the shared folder, read again: smaller than a checkpoint for wide or many rows."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def join_split(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """The join on a long ``key`` with both sides dealt anew, which lets the adaptive planner split a key of very many rows.
 
