@@ -13,11 +13,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidecast import model_queries
 from tidecast.functions.columns import add_us, diff_us, expit, fourier, ntz, tidy
 from tidecast.functions.durations import micros
-from tidecast.functions.holidays import holidays
 from tidecast.functions.profiles import BoxCar, Cauchy, Exponential, Gaussian, Profile
-from tidecast.functions.special import normal_ppf
 from tidecast.operators import diagnostics as diag
 from tidecast.operators import features as feats
 from tidecast.operators import grid, validate
@@ -275,15 +274,21 @@ def event_impact(spark, sf_dir):
     return spark.createDataFrame([(e.kind, feats.impact(e, lo, hi)) for e in events], "kind string, impact double")
 
 
-HOLIDAYS = ", ".join(f"(DATE '{d}', '{n.replace(chr(39), chr(39) * 2)}')" for d, n in holidays("US", range(1995, 2002)))
+#: Holidays by SQL's own calendar: fixed days, n-th weekdays (Monday is 1), the last Monday of May, and observed days.
+HOLIDAYS = """years AS (SELECT unnest(range(1995, 2002)) AS y),
+    fixed AS (SELECT make_date(y, m, d) AS d, n FROM years, (VALUES (1, 1, 'New Year''s Day'), (7, 4, 'Independence Day'), (11, 11, 'Veterans Day'), (12, 25, 'Christmas Day')) v(m, d, n)),
+    nth AS (SELECT make_date(y, m, 1) + ((wd - isodow(make_date(y, m, 1)) + 7) % 7 + 7 * (i - 1))::INT AS d, n FROM years, (VALUES (1, 1, 3, 'Martin Luther King Jr. Day'), (2, 1, 3, 'Washington''s Birthday'),
+      (9, 1, 1, 'Labor Day'), (10, 1, 2, 'Columbus Day'), (11, 4, 4, 'Thanksgiving Day')) v(m, wd, i, n)),
+    hols AS (SELECT d, n FROM fixed UNION ALL SELECT d, n FROM nth UNION ALL SELECT make_date(y, 5, 31) - (isodow(make_date(y, 5, 31)) - 1)::INT, 'Memorial Day' FROM years
+      UNION ALL SELECT d + CASE isodow(d) WHEN 6 THEN -1 ELSE 1 END, n || ' (observed)' FROM fixed WHERE isodow(d) > 5)"""
 
 
-@query(f"SELECT d AS holiday_date, n AS holiday FROM (VALUES {HOLIDAYS}) v(d, n), (SELECT min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM orders) WHERE d BETWEEN lo AND hi")
+@query(f"WITH {HOLIDAYS} SELECT d AS holiday_date, n AS holiday FROM hols, (SELECT min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM orders) WHERE d BETWEEN lo AND hi")
 def holiday_calendar(spark, sf_dir):
     return feats.holiday_frame(spark, "US", *bounds(table(spark, sf_dir, "orders"), "o_orderdate"))
 
 
-@query(f"""WITH {S1}, h AS (SELECT d::TIMESTAMP AS a FROM (VALUES {HOLIDAYS}) v(d, n), (SELECT min(ds) AS lo, max(ds) AS hi FROM s1) WHERE n = 'Thanksgiving Day' AND d BETWEEN lo AND hi)
+@query(f"""WITH {S1}, {HOLIDAYS}, h AS (SELECT d::TIMESTAMP AS a FROM hols, (SELECT min(ds) AS lo, max(ds) AS hi FROM s1) WHERE n = 'Thanksgiving Day' AND d BETWEEN lo AND hi)
     SELECT ds, round(sum({_shape_sql('gaussian', 'a')}), 6) + 0.0 AS value FROM s1, h GROUP BY ds""")
 def holiday_feature(spark, sf_dir):
     return _event_rows(spark, sf_dir, Event("Thanksgiving Day", "holiday", SHAPES["gaussian"][0], country="US"))
@@ -522,7 +527,8 @@ def dispersion_alpha_phi(spark, sf_dir):
     return diag.dispersion(rows, "y", "yhat", 2, ["l_returnflag"]).select("l_returnflag", F.round("alpha", 6).alias("alpha"), F.round("phi", 6).alias("phi"))
 
 
-Z = normal_ppf(0.9)
+#: The 0.9 quantile of the standard normal distribution; a fixed value.
+Z = 1.2815515655446004
 
 
 @query(f"WITH {T1} SELECT ds, round((0.002 * t + 5 - {Z!r} * 1.7)::DOUBLE, 6) + 0.0 AS observed_lower, round((0.002 * t + 5 + {Z!r} * 1.7)::DOUBLE, 6) + 0.0 AS observed_upper FROM t1")
@@ -609,10 +615,165 @@ def forecast_anomalies(spark, sf_dir):
 
 @query()
 def serialize_roundtrip(spark, sf_dir):
+    """Fitted, written to the shared folder, read back, and scored."""
+    import uuid
+
+    from tidecast.functions.storage import shared_folder
+    from tidecast.sources.tables import load_model, save_model
+
     rows = s1(spark, sf_dir)
     model = fit(rows, _spec("normal"))
-    back = ModelSpec.from_dict(model.spec.to_dict())
-    return predict(replace(model, spec=back), history=rows, periods=7, include_history=False)
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    save_model(model, path)
+    return predict(load_model(spark, path), history=rows, periods=7, include_history=False)
+
+
+def daily_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.resample(table(spark, sf_dir, "events"), "ts", "day", {"y": F.avg((F.col("event_type") == "error").cast("double"))})
+
+
+SHARE = "share AS (SELECT date_trunc('day', ts)::TIMESTAMP AS ds, avg((event_type = 'error')::INT) AS y FROM events GROUP BY 1)"
+model_queries.register(query, {"s1": s1, "s2": s2, "s4": s4, "daily_share": daily_share, "S1": S1, "S2": S2, "S4": S4, "T1": T1, "SHARE": SHARE})
+
+
+# -- settings, sources, specs: what is stated as plain values ------------------------------------------------------------
+
+
+@query("SELECT * FROM (VALUES ('1d', 86400000000::BIGINT), ('20 min', 1200000000), ('1 d 12 h', 129600000000), ('500ms', 500000), ('2 weeks', 1209600000000), ('h', 3600000000), ('-1d', -86400000000)) v(duration, us)")
+def durations(spark, sf_dir):
+    return spark.createDataFrame([(d, micros(d)) for d in ("1d", "20 min", "1 d 12 h", "500ms", "2 weeks", "h", "-1d")], "duration string, us bigint")
+
+
+def _refused(what: Callable[[], object]) -> str:
+    try:
+        what()
+    except Exception as e:  # noqa: BLE001
+        return type(e).__name__
+    return "none"
+
+
+@query("""SELECT * FROM (VALUES ('one row', 'ValidationError'), ('null metric', 'ValidationError'), ('off the grid', 'ValidationError'), ('over capacity', 'ValidationError'), ('negative counts', 'ValidationError'),
+    ('no metric', 'KeyError'), ('time zone', 'NotImplementedError'), ('fractions as counts', 'TypeError'), ('text as metric', 'TypeError'), ('unknown model', 'NotImplementedError'), ('reserved name', 'ValueError'),
+    ('name in use', 'ValueError'), ('not fitted', 'NotFittedError'), ('fitted twice', 'FittedError'), ('late changepoint', 'ValueError'), ('good', 'none')) v(history, error)""")
+def refusals(spark, sf_dir):
+    """Histories and specs that are refused, and the kind of error."""
+    rows, spec = s1(spark, sf_dir), ModelSpec(model="poisson", n_changepoints=0)
+    weekly = spec.add_seasonality("weekly", "7d", 1)
+    model = _fixed_model(spark, sf_dir, spec, [])
+    capped = rows.withColumn("capacity", F.lit(0))
+    cases = {
+        "one row": lambda: fit(rows.limit(1), spec), "null metric": lambda: fit(rows.withColumn("y", F.when(F.dayofmonth("ds") > 3, F.col("y"))), spec),
+        "off the grid": lambda: fit(rows.withColumn("ds", F.col("ds") + F.expr("make_dt_interval(0, 0, 0, dayofmonth(ds))")), spec), "over capacity": lambda: fit(capped, replace(spec, model="binomial", capacity_name="capacity")),
+        "negative counts": lambda: fit(rows.withColumn("y", -F.col("y")), spec), "no metric": lambda: fit(rows.drop("y"), spec), "time zone": lambda: fit(rows.withColumn("ds", F.col("ds").cast("timestamp")), spec),
+        "fractions as counts": lambda: fit(rows.withColumn("y", F.col("y") / 2), spec), "text as metric": lambda: fit(rows.withColumn("y", F.col("y").cast("string")), spec), "unknown model": lambda: ModelSpec(model="cauchy"),
+        "reserved name": lambda: spec.add_external("yhat"), "name in use": lambda: weekly.add_external("weekly"), "not fitted": lambda: predict(spec, rows), "fitted twice": lambda: fit(rows, model),
+        "late changepoint": lambda: fit(rows, ModelSpec(model="poisson", changepoints=(datetime(2030, 1, 1),))), "good": lambda: validate.check_rows(validate.validation_report(rows, "ds", "y", "1d"), "poisson"),
+    }
+    return spark.createDataFrame([(k, _refused(f)) for k, f in cases.items()], "history string, error string")
+
+
+TOML = """
+[model]
+model = "binomial"
+sampling_period = "1h"
+n_changepoints = 3
+[fit]
+optimize_mode = "MLE"
+capacity = 100
+[predict]
+periods = 24
+[load_data]
+dtype_kind = "u"
+[[seasonalities]]
+name = "daily"
+period = "1d"
+order = 2
+[[external_regressors]]
+name = "load"
+prior_scale = 2.0
+[[events]]
+name = "launch"
+anchors = "2020-01-02"
+profile = {type = "Cauchy", width = "2h"}
+"""
+
+
+@query("""SELECT * FROM (VALUES ('fit', 'optimize_mode', 'MLE'), ('fit', 'use_laplace', 'True'), ('fit', 'capacity', 'None'), ('fit', 'capacity_mode', 'factor'), ('fit', 'capacity_value', '1.5'), ('predict', 'periods', '24'),
+    ('predict', 'include_history', 'True'), ('load_data', 'source', 'here.csv'), ('load_data', 'dtype_kind', 'u'), ('model', 'model', 'binomial'), ('model', 'step_us', '3600000000'), ('model', 'n_changepoints', '7'),
+    ('model', 'panels', 'trend, daily, events, externals'), ('model', 'external prior', '2.0'), ('model', 'event', 'launch single 2020-01-02T00:00:00 Cauchy')) v(part, name, value)""")
+def layered_settings(spark, sf_dir):
+    """A TOML file under the arguments of a call; naming one form of capacity clears the other."""
+    import os
+    import tempfile
+
+    from tidecast.plans.config import model_from_toml, settings
+
+    with tempfile.NamedTemporaryFile("w", suffix=".toml", delete=False) as f:  # read by the driver alone
+        f.write(TOML)
+    spec, _ = model_from_toml(f.name, n_changepoints=7)
+    os.remove(f.name)
+    asked = {"fit": {"use_laplace": True, "capacity_mode": "factor", "capacity_value": 1.5}, "predict": {}, "load_data": {"source": "here.csv"}}
+    rows = [(table, k, str(v)) for table, more in asked.items() for k, v in settings(table, spec.config, None, **more).items()]
+    e = spec.events[0]
+    told = {"model": spec.model, "step_us": spec.step_us, "n_changepoints": spec.n_changepoints, "panels": ", ".join(spec.panels), "external prior": spec.externals[0].prior_scale, "event": f"{e.name} {e.kind} {e.anchors[0].isoformat()} {type(e.profile).__name__}"}
+    return spark.createDataFrame(rows + [("model", k, str(v)) for k, v in told.items()], "part string, name string, value string")
+
+
+@query(f"WITH {S1} SELECT ds, y::BIGINT AS y FROM s1")
+def csv_source(spark, sf_dir):
+    """A history written as CSV to the shared folder and loaded again, its metric as whole numbers."""
+    import uuid
+
+    from tidecast.functions.storage import shared_folder
+    from tidecast.sources.tables import load_data
+
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    s1(spark, sf_dir).withColumn("y", F.col("y") + F.lit(0.5)).write.csv(path, header=True)
+    return load_data(spark, path, dtype_kind="u").select("ds", "y")
+
+
+@query(f"WITH {S1} SELECT * FROM (SELECT min(ds) + INTERVAL 50 DAY AS ds, 0.01::DOUBLE AS delta FROM s1 UNION ALL SELECT min(ds) + INTERVAL 200 DAY, -0.02 FROM s1 UNION ALL SELECT min(ds) + INTERVAL 420 DAY, 0.015 FROM s1)")
+def changepoint_markers(spark, sf_dir):
+    model = _fixed_model(spark, sf_dir, ModelSpec(), [])
+    params = model.params.select("t0", F.array(*[F.lit(c).cast("long") for c in CPS]).alias("changepoints"), F.array(*map(F.lit, DELTAS)).alias("delta"))
+    return diag.changepoint_markers(replace(model, params=params))
+
+
+@query(f"WITH {S4} SELECT ds, capacity::DOUBLE AS capacity FROM s4")
+def capacity_line(spark, sf_dir):
+    rows = s4(spark, sf_dir)
+    return diag.capacity_line(_fixed_model(spark, sf_dir, ModelSpec(model="binomial", capacity_name="capacity"), []), rows)
+
+
+@query(f"WITH {S1} SELECT unnest([9::BIGINT, 366, 1001]) AS changepoint, unnest([min(ds) + INTERVAL 9 DAY, min(ds) + INTERVAL 366 DAY, min(ds) + INTERVAL 1001 DAY]) AS ds FROM s1")
+def changepoints_explicit(spark, sf_dir):
+    """Changepoints given as times, out of order, as integer time in the fitted model."""
+    from datetime import timedelta
+
+    rows = s1(spark, sf_dir)
+    lo, _ = bounds(rows, "ds")
+    model = fit(rows, ModelSpec(model="poisson", changepoints=tuple(lo + timedelta(days=d) for d in (366, 9, 1001))))
+    return diag.changepoint_markers(model).join(model.params.select(F.explode("changepoints").alias("changepoint"), "t0")).where(F.col("ds") == add_us(F.col("changepoint") * DAY, F.col("t0"))).select("changepoint", "ds")
+
+
+@query("""SELECT * FROM (VALUES ('weekly', 'seasonality', 604800000000::BIGINT, 2::BIGINT, 3.0::DOUBLE), ('load', 'external', NULL, NULL, 2.0), ('box', 'event', NULL, NULL, 0.5), ('bell', 'event', NULL, NULL, 3.0)) v(name, kind, period_us, fourier_order, prior_scale)""")
+def spec_tables(spark, sf_dir):
+    """The terms of a spec that went through JSON."""
+    from tidecast.plans.config import from_json, to_json
+
+    spec = from_json(to_json(_feature_spec()))
+    rows = [(s.name, "seasonality", s.period_us, s.order, s.prior_scale) for s in spec.seasonalities]
+    rows += [(t.name, kind, None, None, t.prior_scale) for kind, terms in (("external", spec.externals), ("event", spec.events)) for t in terms]
+    return spark.createDataFrame(rows, "name string, kind string, period_us bigint, fourier_order bigint, prior_scale double")
+
+
+@query(f"""WITH {S1}, c AS (SELECT cutoff FROM (VALUES (TIMESTAMP '1996-06-30'), (TIMESTAMP '1997-03-31')) v(cutoff))
+    SELECT cutoff, count(*) AS n_test, min(ds) AS first_ds, max(ds) AS last_ds, sum(y)::DOUBLE AS total FROM s1, c WHERE ds > cutoff AND ds <= cutoff + INTERVAL 30 DAY GROUP BY 1""")
+def cv_refit_folds(spark, sf_dir):
+    """What the folds of a cross-validation with refits hold."""
+    rows = s1(spark, sf_dir)
+    cv = diag.cross_validation(fit(rows, ModelSpec(model="poisson", n_changepoints=0)), rows, "30d", cuts=[datetime(1996, 6, 30), datetime(1997, 3, 31)])
+    return cv.groupBy("cutoff").agg(F.count("yhat").alias("n_test"), F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"), F.sum("y").alias("total"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
