@@ -41,3 +41,9 @@ def test_against_brute_force(spark, monkeypatch, block):
 
 def test_empty(spark):
     assert C.rotate_perspectives(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_long_text_and_other_columns(spark):
+    rows = [(1, 1, "a", "x" * 2_000_000, 0), (1, 2, "b", "y", 0)]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'p' AS perspective", "1 AS block", "2 AS size")
+    assert Counter(map(tuple, C.rotate_perspectives(df).collect())) == brute(rows)

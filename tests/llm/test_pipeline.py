@@ -24,7 +24,9 @@ def tables(spark, tmp_path_factory):
     rows = [(i, texts[j], "en", "s", len(texts[j] or "")) for i, j in enumerate(order)]
     rows += [rows[3], rows[3], (None, texts[0], None, None, None), (None, " ".join(word(40)), "en", None, 0)]
     folder = str(tmp_path_factory.mktemp("tables"))
-    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    rows += [(len(order) + 5, "v " * 60_000 + " ".join(word(30)), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "doc_id + 1 AS n_words", "'x' AS toxic", "true AS kept", "1.5 AS did", "'y' AS hash")
+    docs.write.parquet(f"{folder}/documents.parquet")
     labels = [(r[0], 1, int((r[1] or "").startswith("nasty"))) for r in rows if r[0] is not None and r[0] % 3]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return folder

@@ -21,7 +21,8 @@ def rotate_perspectives(turns: DataFrame, system: str = "system") -> DataFrame:
     A dialogue stays dealt over rows: positions are sums within blocks of turns plus sums of blocks, so that one huge
     conversation is neither gathered in one row nor sorted in one task. A null role is an unnamed user and no
     participant, null text is empty, null turns come first, a null conv_id is a conversation of its own. Repeated rows
-    are repeated turns. Conversations without participants give no rows, nor does an empty table.
+    are repeated turns. Conversations without participants give no rows, nor does an empty table. Other columns are ignored,
+    whatever their names. A text may be of any length: it is moved as a row's value and only its length is added up.
     """
     t = turns.select(
         "conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")

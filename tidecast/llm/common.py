@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidecast.functions.storage import cut, written
 
-__all__ = ["ascii_lower", "cut", "join_split", "maybe_in", "parts", "read", "small", "spans", "written"]
+__all__ = ["ascii_lower", "cut", "join_split", "maybe_in", "parts", "read", "spans", "written"]
 
 BITMAP = 1 << 24
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -37,16 +37,8 @@ def join_split(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(text, UPPER, UPPER.lower())
-
-
-def small(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces, so that what is built beside a batch of texts stays small; unused Arrow memory goes back."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-    pa.default_memory_pool().release_unused()
+    """Lower-case A-Z and nothing else; a text of ASCII only by the faster function."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
 def spans(batches: Iterable[pa.RecordBatch], column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
