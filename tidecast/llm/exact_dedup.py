@@ -4,19 +4,19 @@
    length, a hash of the whole and a salt. Splitters hold heads, never whole texts, so that the driver's sample stays small.
 2. Within a partition an external sort on head, length, hash, salt, whole normalised text and identifier puts equal texts
    next to each other; the window operator compares each row's whole text with its neighbour's to find where a run ends.
-3. The salt is zero except for texts of more rows than an eighth of a partition's share: their copies are dealt to as many
-   pieces as hold such a share each, so that no group of copies meets in one task. The first row of each piece, with its
-   text, goes through the same comparison of neighbours once more, which merges the pieces.
+3. Texts of more rows than an eighth of a partition's share go through the sort by themselves, their copies dealt by a salt
+   to as many pieces as hold such a share each, so that no group of copies meets in one task. The first row of each piece
+   goes through the same comparison of neighbours once more, which merges the pieces.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import ascii_lower, cut, parts, written
+from tidecast.llm.common import ascii_lower, cut, parts
 
 HEAD = 64
 #: A text of fewer copies than this is never split.
@@ -30,7 +30,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     or ``smallest``. Null texts count as empty texts; all such rows are one group. A null identifier loses against any
     other; a group of nothing else keeps one row, with a null keep_id. Of repeated rows (same identifier and text) one is
     kept. An empty table gives an empty result. Other columns are ignored; a column to carry must not have the name of one
-    that is made. Texts may be of any length; they are moved once, and once more where they lead a piece of a split group.
+    that is made. Texts may be of any length; they are moved once, and those of split groups twice.
     """
     if keep not in ("largest", "smallest"):
         raise ValueError(f"keep must be 'largest' or 'smallest', not {keep!r}")
@@ -41,29 +41,34 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     extra = [F.struct(*(F.col(c) for c in dict.fromkeys((text_col, *carry)))).alias("extra")] if carry else []
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), *extra).select(
-        "id", "text", *["extra"] * len(extra), ascii_lower(F.substring("text", 1, HEAD)).alias("head"), F.octet_length("text").alias("len"), F.xxhash64(ascii_lower(F.col("text"))).alias("hash")
+        "id", "text", *["extra"] * len(extra), ascii_lower(F.substring("text", 1, HEAD)).alias("head"), F.octet_length("text").alias("len"), F.xxhash64(F.lower("text")).alias("hash")
     )
+    # The hash is of the text in lower case as such: coarser than the normal form, and faster.
     share = docs.count() // (8 * parts(docs.sparkSession)) + FEW
     # At most 8 texts per partition have more copies than that, and their pieces are at most twice as many.
     crowds = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share).select("hash", F.ceil(F.col("n") / share).alias("pieces"))
-    salt = F.coalesce(F.pmod(F.xxhash64("id", F.spark_partition_id()), "pieces"), F.lit(0)).alias("salt")
-    dealt = rows.join(F.broadcast(crowds), "hash", "left").select("*", salt, F.col("pieces").isNotNull().alias("split"))
-    dealt = dealt.repartitionByRange("head", "len", "hash", "salt").withColumn("norm", ascii_lower(F.col("text")))
-    run = Window.partitionBy("head", "len", "hash", "salt", "norm").orderBy(first("id"))
-    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    leads: Column = F.row_number().over(run) == 1
-    found = dealt.select(
-        "id", "split", "salt", F.sha2("norm", 256).alias("sha"), best("id").over(whole).alias("best"), F.count(F.lit(1)).over(whole).alias("n"),
-        leads.alias("leads"), F.when(F.col("split") & leads, F.col("norm")).alias("led"), *["extra"] * len(extra),
-    )
-    found = written(found) if extra else cut(found)
-    same = Window.partitionBy("led").orderBy(first("best"), "salt")
-    every = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    merged = found.where("split AND leads").select(
-        "sha", "salt", best("best").over(every).alias("keep_id"), F.sum("n").over(every).alias("group_size"), (F.row_number().over(same) == 1).alias("first_piece")
-    )
-    plain = found.where("NOT split").select("id", F.col("best").alias("keep_id"), F.col("n").alias("group_size"), F.col("leads").alias("kept"), "sha", *["extra"] * len(extra))
-    # The first row of the first piece leads the whole group. A row per piece: at most 16 times the partitions.
-    again = found.where("split").join(F.broadcast(merged), ["sha", "salt"]).select("id", "keep_id", "group_size", (F.col("leads") & F.col("first_piece")).alias("kept"), "sha", *["extra"] * len(extra))
-    out = plain.unionByName(again)
+    crowds = cut(crowds)
+    more = ["extra"] * len(extra)
+
+    def sorted_runs(rows: DataFrame) -> DataFrame:
+        """The content sort: of each row the best identifier and the size of its run, and whether it leads it."""
+        dealt = rows.repartitionByRange("head", "len", "hash", "salt").withColumn("norm", ascii_lower(F.col("text")))
+        run = Window.partitionBy("head", "len", "hash", "salt", "norm").orderBy(first("id"))
+        whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return dealt.select("id", "salt", "norm", F.sha2("norm", 256).alias("sha"), best("id").over(whole).alias("best"), F.count(F.lit(1)).over(whole).alias("n"), (F.row_number().over(run) == 1).alias("leads"), *more)
+
+    if crowds.isEmpty():
+        rest = rows
+    else:
+        rest = rows.join(F.broadcast(crowds), "hash", "left_anti")
+    out = sorted_runs(rest.withColumn("salt", F.lit(0).cast("bigint"))).select("id", F.col("best").alias("keep_id"), F.col("n").alias("group_size"), F.col("leads").alias("kept"), "sha", *more)
+    if not crowds.isEmpty():
+        salt = F.pmod(F.xxhash64("id", F.spark_partition_id()), "pieces").alias("salt")
+        split = sorted_runs(rows.join(F.broadcast(crowds), "hash").select(*rows.columns, salt))
+        same = Window.partitionBy("norm").orderBy(first("best"), "salt")
+        every = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        merged = cut(split.where("leads").select("sha", "salt", best("best").over(every).alias("keep_id"), F.sum("n").over(every).alias("group_size"), (F.row_number().over(same) == 1).alias("first_piece")))
+        # The first row of the first piece leads the whole group. A row per piece: at most 16 times the partitions.
+        again = split.join(F.broadcast(merged), ["sha", "salt"]).select("id", "keep_id", "group_size", (F.col("leads") & F.col("first_piece")).alias("kept"), "sha", *more)
+        out = out.unionByName(again)
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"), *(F.col(f"extra.{c}") for c in dict.fromkeys((text_col, *carry)) if extra))
