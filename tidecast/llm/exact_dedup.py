@@ -50,21 +50,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     crowds = cut(crowds)
     more = ["extra"] * len(extra)
 
-    def sorted_runs(rows: DataFrame) -> DataFrame:
+    def sorted_runs(rows: DataFrame, *salt: str) -> DataFrame:
         """The content sort: of each row the best identifier and the size of its run, and whether it leads it."""
-        dealt = rows.repartitionByRange("head", "len", "hash", "salt").withColumn("norm", ascii_lower(F.col("text")))
-        run = Window.partitionBy("head", "len", "hash", "salt", "norm").orderBy(first("id"))
+        dealt = rows.repartitionByRange("head", "len", "hash", *salt).withColumn("norm", ascii_lower(F.col("text")))
+        run = Window.partitionBy("head", "len", "hash", *salt, "norm").orderBy(first("id"))
         whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return dealt.select("id", "salt", "norm", F.sha2("norm", 256).alias("sha"), best("id").over(whole).alias("best"), F.count(F.lit(1)).over(whole).alias("n"), (F.row_number().over(run) == 1).alias("leads"), *more)
+        return dealt.select("id", *salt, "norm", F.sha2("norm", 256).alias("sha"), best("id").over(whole).alias("best"), F.count(F.lit(1)).over(whole).alias("n"), (F.row_number().over(run) == 1).alias("leads"), *more)
 
     if crowds.isEmpty():
         rest = rows
     else:
         rest = rows.join(F.broadcast(crowds), "hash", "left_anti")
-    out = sorted_runs(rest.withColumn("salt", F.lit(0).cast("bigint"))).select("id", F.col("best").alias("keep_id"), F.col("n").alias("group_size"), F.col("leads").alias("kept"), "sha", *more)
+    out = sorted_runs(rest).select("id", F.col("best").alias("keep_id"), F.col("n").alias("group_size"), F.col("leads").alias("kept"), "sha", *more)
     if not crowds.isEmpty():
         salt = F.pmod(F.xxhash64("id", F.spark_partition_id()), "pieces").alias("salt")
-        split = sorted_runs(rows.join(F.broadcast(crowds), "hash").select(*rows.columns, salt))
+        split = sorted_runs(rows.join(F.broadcast(crowds), "hash").select(*rows.columns, salt), "salt")
         same = Window.partitionBy("norm").orderBy(first("best"), "salt")
         every = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         merged = cut(split.where("leads").select("sha", "salt", best("best").over(every).alias("keep_id"), F.sum("n").over(every).alias("group_size"), (F.row_number().over(same) == 1).alias("first_piece")))
