@@ -18,6 +18,9 @@ def test_components(spark):
     want = {x: find(x) for x in list(root)}
     got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert len(got) == len({r.node for r in got}) and {r.node: r.root for r in got} == want
+    for rounds in (1, 2):
+        some = connected_components(spark.createDataFrame(edges, "a long, b long"), rounds).collect()
+        assert some and len(some) == len({r.node for r in some}) and all(want[r.node] == want[r.root] and r.root <= r.node for r in some)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 

@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from tidecast.llm.common import cut, join_split
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """``node, root`` for every node of the undirected edges ``a, b`` (longs); root is the component's smallest node.
 
     Each step replaces edges by as many edges to smaller nodes, so that the edge table never grows, and ends in stars after
     about the logarithm of the longest path squared. Only minima per node are aggregated (with map-side combining), and
     joins deal both sides anew, so that the adaptive planner may split a node of very many edges; no node's neighbours are
     ever gathered. Loops and repeated edges are harmless, edges with a null end are dropped. Without edges the result is empty.
+    With ``rounds`` the steps end after so many: a root is then some node that the node is connected with.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     print_of = lambda x: tuple(x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
     now = print_of(e)
-    while now[0]:
+    while now[0] and rounds != 0:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = join_split(both.where("b > a"), low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -29,6 +30,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before, now = now, print_of(e)
         if before == now:
             break
+        rounds = rounds - 1 if rounds is not None else None
+    if rounds == 0:
+        e = e.groupBy("a").agg(F.min("b").alias("b"))
+        return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
