@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark remove the shuffles and checkpoints that no frame refers to any more; it does so when the driver collects its
+    garbage, which a driver with little to do may put off until disks are full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def mark() -> int:
     """A place in the list of tables, for ``forget``."""
     return len(_made)
