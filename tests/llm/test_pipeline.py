@@ -83,3 +83,17 @@ def test_run_and_empty(spark, tables, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_each_stage_begins_with_a_release(spark, tables, monkeypatch):
+    """Memory that a stage has grown executors to must not stand beside the next one's Python workers."""
+    class Released(Exception):
+        pass
+
+    def first(_):
+        raise Released
+
+    monkeypatch.setattr(P, "release", first)
+    for _, stage in P.STAGES:
+        with pytest.raises(Released):
+            stage(spark, spark.read.parquet(f"{tables}/documents.parquet"), tables)

@@ -97,3 +97,16 @@ def test_clash(spark):
     assert T.score_toxicity(docs.withColumn("toxic", docs.doc_id), chain).columns == ["doc_id", "p_low_quality", "p_toxic", "toxic"]
     with pytest.raises(ValueError):
         T.score_toxicity(docs, chain, ["doc_id", "p_toxic"])
+
+
+def test_a_kept_text_goes_to_python_once(spark):
+    rows = corpus(60, 3)
+    docs = spark.createDataFrame([(r[0], r[1], 5) for r in rows] + [(77, None, 1), (78, "", 1)], NAMES)
+    chain = T.train(docs, spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], "doc_id long, quality int, toxic int"))
+    own = T.score_toxicity(docs, chain)
+    kept = T.score_toxicity(docs, chain, ["text", "doc_id"])
+    assert kept.columns == ["text", "doc_id", "p_low_quality", "p_toxic", "toxic"] and "_scored_text" not in kept._jdf.queryExecution().toString()
+    assert sorted(tuple(r)[1:] for r in kept.collect()) == sorted(map(tuple, own.collect()))
+    assert {r.doc_id: r.text for r in kept.collect()} == {r.doc_id: r.text for r in docs.collect()}
+    number = docs.selectExpr("doc_id", "doc_id * 7 AS text")  # another type is cast for the score and kept as it is
+    assert {(r.doc_id, r.text) for r in T.score_toxicity(number, chain, ["doc_id", "text"]).collect()} == {(r.doc_id, r.text) for r in number.collect()}

@@ -20,3 +20,15 @@ def test_cut_is_reliable(spark):
     plan = df._jdf.queryExecution().toString()
     assert "Range" not in plan and df.agg({"x": "sum"}).first()[0] == 72
     assert spark.sparkContext.getCheckpointDir().rstrip("/").startswith(("file:", "/"))
+
+
+def test_release_collects_on_executors(spark):
+    """By counts of collections; here the one executor is in the driver's JVM."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    collected = lambda: sum(b.getCollectionCount() for b in beans)
+    before = collected()
+    S.trim(spark)
+    assert collected() > before
+    plain = collected()
+    S.release(spark)
+    assert collected() >= plain + 2  # the driver's and the executor's

@@ -36,9 +36,17 @@ def written(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Have Spark remove the shuffles and checkpoints that no frame refers to any more; it does so when the driver collects its
-    garbage, which a driver with little to do may put off until disks are full."""
+    garbage, which a driver with little to do may put off until disks are full. Executors give unused heap back too."""
     gc.collect()
     spark._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> None:
+    """Have executors collect their garbage, as a full collection shrinks the heap: what one step has grown it to would else
+    stay beside the Python workers of the next. One short task an executor, as idle ones are dealt tasks in turn; a hint only."""
+    n = max(1, len(spark.sparkContext._jsc.sc().statusTracker().getExecutorInfos()) - 1)  # the driver is among them
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc')").collect()
 
 
 def mark() -> int:

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidecast.llm.common import spans
 
@@ -210,19 +211,22 @@ def score_toxicity(docs: DataFrame, chain: Chain, columns_kept: Sequence[str] =
 
     Null and empty texts are scored as texts without words. One row per input row, repeated or not; an empty table gives an
     empty result. A chain without training rows, or with one class, gives constant probabilities. Whole texts are scored,
-    however long. Other columns are ignored; a kept one must not have the name of one that is made.
+    however long. Other columns are ignored; a kept one must not have the name of one that is made. A kept text goes to Python once.
     """
     if clash := {*(f"p_{n}" for n in chain.names), "toxic"} & set(columns_kept):
         raise ValueError(f"columns to keep have names of the result: {sorted(clash)}")
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     names = [f"p_{n}" for n in chain.names]
     kept = [docs.schema[c] for c in columns_kept]
+    once = list(columns_kept).count(text_col) == 1 and docs.schema[text_col].dataType == StringType()
+    scored = text_col if once else "_scored_text"
+    given = [F.col(c) for c in columns_kept] + ([] if once else [F.col(text_col).cast("string").alias(scored)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in spans(batches, "_scored_text"):
-            p = np.array([scorer.score(t.as_py() or "") for t in batch.column("_scored_text")]).reshape(-1, len(names))
+        for batch in spans(batches, scored):
+            p = np.array([scorer.score(t.as_py() or "") for t in batch.column(scored)]).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *(pa.array(p[:, k]) for k in range(len(names))), pa.array(p[:, -1] >= threshold)], names=[*(f.name for f in kept), *names, "toxic"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} double" for n in names), "toxic boolean"])
-    return docs.select(*(F.col(c) for c in columns_kept), F.col(text_col).cast("string").alias("_scored_text")).mapInArrow(run, schema)
+    return docs.select(*given).mapInArrow(run, schema)
