@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidecast.llm.bpe import bpe_roundtrip
+from tidecast.llm.centroids import cluster
 from tidecast.llm.chat_views import rotate_perspectives
 from tidecast.llm.common import read
 from tidecast.llm.exact_dedup import exact_dedup
@@ -67,13 +68,39 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_exact_dedup, op4_packing, op5_repeats, op6_tiff, op7_chat_views, op8_toxicity, op9_bpe, op10_url_filter)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_exact_dedup, op4_packing, op5_repeats, op6_tiff, op7_chat_views, op8_toxicity, op9_bpe, op10_url_filter, op11_centroids)}
 
 
 NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    """Each round as a table of centroid components; integers throughout."""
+    ctes = [
+        """own AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, embedding AS e FROM embeddings
+          WHERE len(embedding) = 64 AND list_count(embedding) = 64 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0)""",
+        "v AS MATERIALIZED (SELECT r, vec_id, i, floor(1024 * e[i]::DOUBLE)::BIGINT AS x FROM own, range(1, 65) t(i))",
+        f"first AS (SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id), e) - 1 AS c FROM own ORDER BY c LIMIT {k})",
+        "c0 AS MATERIALIZED (SELECT c, i, x FROM first JOIN v USING (r))",
+    ]
+    for n in range(rounds + 1):
+        ctes.append(f"a{n} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT r, c, sum((v.x - m.x) * (v.x - m.x))::BIGINT AS d FROM v JOIN c{n} m USING (i) GROUP BY r, c) GROUP BY r)")
+        if n < rounds:
+            ctes.append(f"c{n + 1} AS MATERIALIZED (SELECT o.c, o.i, coalesce((s - ((s % n) + n) % n) // n, o.x)::BIGINT AS x FROM c{n} o LEFT JOIN (SELECT c, i, sum(x) AS s, count(*) AS n FROM a{n} JOIN v USING (r) GROUP BY c, i) USING (c, i))")
+    return f"""WITH {', '.join(ctes)},
+        digest AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+        SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+        FROM a{rounds} JOIN own USING (r) JOIN digest USING (c)"""
+
+
 ORACLE = {
+    "op11_centroids": clusters_sql(),
     "op3_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
