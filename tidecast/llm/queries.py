@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidecast.llm.bpe import bpe_roundtrip
 from tidecast.llm.centroids import cluster
 from tidecast.llm.chat_views import rotate_perspectives
+from tidecast.llm.collocations import collocations
 from tidecast.llm.common import read
 from tidecast.llm.exact_dedup import exact_dedup
 from tidecast.llm.line_dedup import line_groups
@@ -72,8 +73,12 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(read(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_exact_dedup, op4_packing, op5_repeats, op6_tiff, op7_chat_views, op8_toxicity, op9_bpe, op10_url_filter, op11_centroids)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_exact_dedup, op4_packing, op5_repeats, op6_tiff, op7_chat_views, op8_toxicity, op9_bpe, op10_url_filter, op11_centroids, op13_collocations)}
 
 
 NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -100,6 +105,17 @@ def clusters_sql(k: int = 8, rounds: int = 10) -> str:
 
 
 ORACLE = {
+    "op13_collocations": rf"""
+        WITH pieces AS (SELECT lang, unnest(regexp_split_to_array(norm, '[.,;:!?\x0A-\x0D]')) AS piece FROM (SELECT coalesce(lang, 'und') AS lang, {NORM} AS norm FROM documents)),
+        cut AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+        total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM cut GROUP BY lang),
+        f AS MATERIALIZED (SELECT lang, ws[i:i + k - 1] AS p, count(*) AS a FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM cut, range(1, 6) t(k)) GROUP BY lang, p HAVING count(*) >= 100),
+        covered AS (SELECT lang, p[2:] AS p, a FROM f WHERE len(p) > 2 UNION SELECT lang, p[:len(p) - 1], a FROM f WHERE len(p) > 2),
+        cuts AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM f ANTI JOIN covered USING (lang, p, a) WHERE len(p) > 1),
+        scored AS (SELECT lang, c.p, c.a, x.a AS l, y.a AS r, n, k, ((1000 * c.a::HUGEINT * n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+          FROM cuts c JOIN total USING (lang) JOIN f x USING (lang) JOIN f y USING (lang) WHERE x.p = c.p[:k] AND y.p = c.p[k + 1:]),
+        best AS (SELECT *, array_to_string(p, ' ') AS phrase FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, score FROM best WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER w <= 2000""",
     "op11_centroids": clusters_sql(),
     "op3_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
