@@ -15,6 +15,7 @@ from tidecast.llm.exact_dedup import exact_dedup
 from tidecast.llm.line_dedup import line_groups
 from tidecast.llm.packing import pack
 from tidecast.llm.repeats import runs_removed
+from tidecast.llm.set_join import similar_texts
 from tidecast.llm.simhash import simhash_groups
 from tidecast.llm.tiff import media_features
 from tidecast.llm.toxicity import score_toxicity, train
@@ -73,12 +74,16 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(read(spark, sf_dir, "embeddings"))
 
 
+def op12_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_texts(read(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_exact_dedup, op4_packing, op5_repeats, op6_tiff, op7_chat_views, op8_toxicity, op9_bpe, op10_url_filter, op11_centroids, op13_collocations)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_exact_dedup, op4_packing, op5_repeats, op6_tiff, op7_chat_views, op8_toxicity, op9_bpe, op10_url_filter, op11_centroids, op12_set_join, op13_collocations)}
 
 
 NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -105,6 +110,14 @@ def clusters_sql(k: int = 8, rounds: int = 10) -> str:
 
 
 ORACLE = {
+    "op12_set_join": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array({NORM}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        g AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS shingle FROM d, unnest(range(1, greatest(len(ws) - 2, 2))) u(i) WHERE len(ws) > 0),
+        size AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y USING (shingle) WHERE x.doc_id <> y.doc_id GROUP BY a, b),
+        e AS MATERIALIZED (SELECT a, b FROM met JOIN size s ON s.doc_id = a JOIN size t ON t.doc_id = b WHERE 100 * c >= 85 * (s.n + t.n - c)),
+        reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT doc_id, b FROM reached JOIN e ON e.a = other)
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) LEFT JOIN size USING (doc_id)""",
     "op13_collocations": rf"""
         WITH pieces AS (SELECT lang, unnest(regexp_split_to_array(norm, '[.,;:!?\x0A-\x0D]')) AS piece FROM (SELECT coalesce(lang, 'und') AS lang, {NORM} AS norm FROM documents)),
         cut AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
