@@ -193,11 +193,11 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = left.groupBy("k", "root").agg(F.min("size").alias("least"), F.max("size").alias("size"), F.max("most").alias("most"))
     parts = cut(parts)
     side = lambda x: parts.select("k", *(F.col(c).alias(f"{x}{c}") for c in ("root", "least", "size", "most")))
-    far = join_split(side("a_"), side("b_"), "k").where("a_root < b_root AND a_most >= b_least AND b_most >= a_least").select("k", "a_root", "b_root")
+    far = join_split(side("a_"), side("b_"), "k").where("a_root < b_root AND a_most >= b_least AND b_most >= a_least").select("k", "a_root", "b_root", F.col("b_least").alias("smallest"), F.col("b_most").alias("widest"))
     far = cut(far)
     every = lambda x: left.select(F.xxhash64("k", "root").alias("h"), *(F.col(c).alias(f"{x}{c}") for c in ("k", "root", "g", "size", "most")))
-    pairs = far.select(F.xxhash64("k", "a_root").alias("h"), "k", "a_root", "b_root")
-    pairs = join_split(pairs, every("a_").withColumnRenamed("a_root", "r"), "h").where("k = a_k AND r = a_root").select(F.xxhash64("k", "b_root").alias("h"), "k", "b_root", "a_g", "a_size", "a_most")
+    pairs = far.select(F.xxhash64("k", "a_root").alias("h"), "k", "a_root", "b_root", "smallest", "widest")
+    pairs = join_split(pairs, every("a_").withColumnRenamed("a_root", "r"), "h").where("k = a_k AND r = a_root AND a_most >= smallest AND widest >= a_size").select(F.xxhash64("k", "b_root").alias("h"), "k", "b_root", "a_g", "a_size", "a_most")
     pairs = join_split(pairs, every("b_").withColumnRenamed("b_root", "r"), "h").where("k = b_k AND r = b_root").where(may.format(a="a_", b="b_"))
     pairs = cut(ordered(pairs, "a_g", "b_g").distinct())
     of = lambda x: rooted.select(*(F.col(c).alias(f"{x}{c}") for c in ("g", "s", "root")))
