@@ -71,6 +71,13 @@ def enough(both: int, left: int, right: int, per_cent: int) -> bool:
     return both > 0 and 100 * both >= per_cent * (left + right - both)
 
 
+def numbered(own: np.ndarray) -> np.ndarray:
+    """A sorted list in which equal values are told apart by their number, so that what two lists share is counted as often as both have it."""
+    if own.dtype == np.uint64:
+        return own
+    return own.astype(np.int64) << 32 | np.arange(len(own)) - np.searchsorted(own, own)
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, per_cent: int = 85, blank_linked: bool = False, hints: DataFrame | None = None) -> DataFrame:
     """One row per input row: ``id_col``, n_shingles, component_id.
 
@@ -141,35 +148,49 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     made = written(source.select("s", "text").mapInArrow(heads, "s long, g long, size long, prefix binary"))
     members = cut(made.select("g", "s").distinct())
-    groups = made.select("g", "size", "prefix").dropDuplicates(["g"]).mapInArrow(exploded, "k long, g long, size long, most long")
-    groups = written(groups)
+    # A group's prefix is read from one of its rows; only rows of groups that have several are shuffled for that.
+    several = cut(made.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"))
+    own = made.select("g", "size", "prefix")
+    groups = maybe_in(own, "g", several, without=True).unionByName(maybe_in(own, "g", several).dropDuplicates(["g"])).mapInArrow(exploded, "k long, g long, size long, most long")
     # A key counts if two groups have it of which the smaller may find the other.
     keys = groups.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("smallest"), F.max("most").alias("widest"), F.max(F.expr("most >= size")).alias("open")).where("n > 1 AND open").select("k", "smallest", "widest")
     keys = cut(keys)
     crowd = written(join_split(maybe_in(groups, "k", keys), keys, "k").where("most >= smallest AND size <= widest").select("k", "g", "size", "most"))
     may = "{a}most >= {b}size AND {b}most >= {a}size"
 
-    def sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in spans(batches, "text", SPAN):
-            own, ends = shingle_sets(batch.column(1), words)
-            data = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer((8 * ends).astype(np.int64).tobytes()), pa.py_buffer(own.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), data.cast(pa.binary())], names=["s", "own"])
+    def sets_of(short: bool):  # noqa: ANN202
+        """Each text's set: whole, or the first 16 bits of each hash, which may only have more in common."""
 
-    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in spans(batches, "left", SPAN):
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                left, right = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                good.append(enough(len(np.intersect1d(left, right, assume_unique=True)), len(left), len(right), per_cent))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in spans(batches, "text", SPAN):
+                own, ends = shingle_sets(batch.column(1), words)
+                own = (own >> np.uint64(48)).astype(np.uint16) if short else own
+                data = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer((own.itemsize * ends).astype(np.int64).tobytes()), pa.py_buffer(own.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column(0), data.cast(pa.binary())], names=["s", "own"])
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of the pairs, which are a checkpoint, those that link."""
+        return run
+
+    def compared(pairs: DataFrame, short: bool) -> DataFrame:
+        """Of the pairs, which are a checkpoint, those that link; with short sets those that may."""
         wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct())
         texts = maybe_in(source.select("s", "text"), "s", wanted).join(wanted, "s", "left_semi").dropDuplicates(["s"])
-        own = written(texts.mapInArrow(sets_of, "s long, own binary"))
-        joined = join_split(join_split(pairs.withColumnRenamed("a", "s"), own.withColumnRenamed("own", "left"), "s").withColumnRenamed("s", "a").withColumnRenamed("b", "s"), own.withColumnRenamed("own", "right"), "s")
-        return cut(joined.select("a", F.col("s").alias("b"), "left", "right").mapInArrow(verify, "a long, b long"))
+        own = written(texts.mapInArrow(sets_of(short), "s long, own binary"))
+        kind = np.uint16 if short else np.uint64
+
+        def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in spans(batches, "left", SPAN):
+                good = []
+                for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                    left, right = (numbered(np.frombuffer(v.as_buffer(), kind)) for v in (x, y))
+                    good.append(enough(len(np.intersect1d(left, right, assume_unique=True)), len(left), len(right), per_cent))
+                yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+        left, right = own.withColumnRenamed("own", "left"), own.withColumnRenamed("own", "right")
+        half = join_split(pairs.withColumnRenamed("a", "s"), left, "s").withColumnRenamed("s", "a").withColumnRenamed("b", "s")
+        return cut(join_split(half, right, "s").select("a", F.col("s").alias("b"), "left", "right").mapInArrow(verify, "a long, b long"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return compared(compared(pairs, True), False)
 
     ordered = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     one = cut(members.groupBy("g").agg(F.min("s").alias("one"), F.count(F.lit(1)).alias("n")))
