@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import math
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column
@@ -19,6 +20,10 @@ class Profile:
     def at(self, us: Column) -> Column:
         raise NotImplementedError
 
+    def reach(self) -> tuple[int, int] | None:
+        """Microseconds before and after the anchor beyond which the shape is zero in double precision; None if it has no end."""
+        return None
+
     def to_dict(self) -> dict:
         return {"type": type(self).__name__, **asdict(self)}
 
@@ -40,6 +45,9 @@ class BoxCar(Profile):
     def at(self, us: Column) -> Column:
         return F.when((us >= 0) & (us < micros(self.width)), 1.0).otherwise(0.0)
 
+    def reach(self) -> tuple[int, int]:
+        return 0, max(micros(self.width), 0)
+
 
 @dataclass(frozen=True)
 class Gaussian(Profile):
@@ -56,6 +64,10 @@ class Gaussian(Profile):
         z = us / F.lit(float(micros(self.width)))
         return F.exp(-F.pow(0.5 * z * z, F.lit(float(self.order))))
 
+    def reach(self) -> tuple[int, int]:
+        end = math.ceil(micros(self.width) * math.sqrt(2 * 746 ** (1 / self.order)))  # exp(-746) is zero
+        return end, end
+
 
 @dataclass(frozen=True)
 class Cauchy(Profile):
@@ -89,6 +101,9 @@ class Exponential(Profile):
         after = F.pow(F.lit(2.0), -us / F.lit(lag)) if lag else F.lit(0.0)
         return F.when(us < 0, before).otherwise(after)
 
+    def reach(self) -> tuple[int, int]:
+        return 1076 * micros(self.lead), 1076 * micros(self.lag)  # 2^-1076 is zero
+
 
 PROFILES: dict[str, type[Profile]] = {c.__name__: c for c in (BoxCar, Gaussian, Cauchy, Exponential)}
 

@@ -169,6 +169,26 @@ def register(query, sources: dict) -> None:  # noqa: ANN001
         fit_query(model)
         forecast_query(model)
 
+    # -- one long series, fitted across the executors
+
+    minute = 60_000_000
+    minutes = f"{sources['MINUTES']}, own AS (SELECT 0 AS key, ds, y, 1 AS n FROM minutes),"
+
+    def across_query(model: str) -> None:
+        kap = "round(kap, 3)" if "phi" in SQL[model] else "NULL::DOUBLE"
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            rows = sources["minutes"](spark, sf_dir)
+            p = fit(rows.withColumn("y", F.col("y").cast("double")) if model == "gamma" else rows, line(model, sampling_period="1m"), across=True).params
+            return p.select(tidy(F.col("k") * F.col("t_max"), 4).alias("rise"), F.round("m", 4).alias("m"), F.round("kappa", 3).alias("kappa"), F.round("variance_bound", 4).alias("variance_bound"), "n_obs")
+
+        sql = f"""{fitted_sql(model, 'own', minute, minutes)} SELECT round(k * (SELECT max(t) FROM linked), 4) + 0.0 AS rise, round(m, 4) AS m, {kap} AS kappa, round(v, 4) AS variance_bound,
+            (SELECT count(*) FROM linked) AS n_obs FROM fit"""
+        query(sql, f"fit_across_{model.replace(' ', '_')}")(run)
+
+    for model in ("normal", "poisson", "gamma"):
+        across_query(model)
+
     # -- many series, saved models, anomalies and folds, by the same SQL
 
     many = f"{sources['S2']}, own AS (SELECT event_type AS key, ds, y, 1 AS n FROM s2),"

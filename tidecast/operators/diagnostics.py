@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tidecast.functions.columns import add_us, diff_us, dot, ntz
 from tidecast.functions.durations import micros
+from tidecast.functions.quantiles import exact_quantiles
+from tidecast.functions.storage import cut
 from tidecast.operators import features as feats
 from tidecast.operators.fit import FittedModel, bounds, fit_series, key_schema, prepare, seed_of, series_of, with_inner_keys
 from tidecast.operators.predict import score_series
@@ -113,26 +115,44 @@ def cross_validation(model: FittedModel, history: DataFrame, horizon: str | int,
     return done.withColumnsRenamed({"ds": ts, "y": spec.metric_name, **{f"_extra_{c}": c for c in extra}, **dict(zip(keys, spec.keys, strict=True))})
 
 
-def metric_columns(y: Column, yhat: Column, lower: Column, upper: Column) -> dict[str, Column]:
+def errors(y: Column, yhat: Column) -> tuple[Column, Column, Column]:
+    """The error, and its size relative to the metric and to the mean of metric and forecast."""
     err = (y - yhat).cast("double")
-    ape = F.abs(err) / F.greatest(F.abs(y), F.lit(FLOOR))
-    sape = 2 * F.abs(err) / F.greatest(F.abs(y) + F.abs(yhat), F.lit(FLOOR))
+    return err, F.abs(err) / F.greatest(F.abs(y), F.lit(FLOOR)), 2 * F.abs(err) / F.greatest(F.abs(y) + F.abs(yhat), F.lit(FLOOR))
+
+
+def metric_columns(y: Column, yhat: Column, lower: Column, upper: Column) -> dict[str, Column]:
+    """Metrics that are one aggregate; the medians are not."""
+    err, ape, sape = errors(y, yhat)
     return {
         "mse": F.avg(err * err), "rmse": F.sqrt(F.avg(err * err)), "mae": F.avg(F.abs(err)), "mape": F.avg(ape), "smape": F.avg(sape),
-        "mdape": F.percentile(ape, 0.5), "smdape": F.percentile(sape, 0.5), "coverage": F.avg(((y >= lower) & (y <= upper)).cast("double")),
+        "coverage": F.avg(((y >= lower) & (y <= upper)).cast("double")),
     }
 
 
 def performance_metrics(cv: DataFrame, window: str | int, metrics: Sequence[str] | None = None, ts: str = "ds", y: str = "y", keys: Sequence[str] = ()) -> DataFrame:
-    """Count and metrics by horizon bin, in one aggregate. Unknown metrics are left out with a warning; order is as asked."""
+    """Count and metrics by horizon bin: one aggregate, and exact medians in bounded state. Unknown metrics are left out with a warning; order is as asked."""
     asked = list(dict.fromkeys(metrics if metrics is not None else METRICS))
     for m in asked:
         if m not in METRICS:
             log.warning("no metric %s", m)
+    asked = [m for m in asked if m in METRICS]
     made = metric_columns(F.col(y), F.col("yhat"), F.col("observed_lower"), F.col("observed_upper"))
     size = micros(window)
     binned = cv.withColumn("horizon_us", (F.ceil(diff_us(F.col("cutoff"), F.col(ts)) / F.lit(size)) * F.lit(size)).cast("long"))
-    return binned.groupBy(*keys, "horizon_us").agg(F.count(F.lit(1)).alias("count"), *(made[m].alias(m) for m in asked if m in METRICS))
+    groups = [*keys, "horizon_us"]
+    _, ape, sape = errors(F.col(y), F.col("yhat"))
+    medians = {m: e for m, e in (("mdape", ape), ("smdape", sape)) if m in asked}
+    if medians:
+        binned = cut(binned)  # the aggregate and the rounds of the medians read it
+    out = binned.groupBy(*groups).agg(F.count(F.lit(1)).alias("count"), *(made[m].alias(m) for m in asked if m in made))
+    if medians:
+        long = binned.select(*groups, F.explode(F.array(*(F.struct(F.lit(m).alias("_m"), e.alias("_e")) for m, e in medians.items()))).alias("_v")).select(*groups, "_v._m", "_v._e")
+        found = exact_quantiles(long, "_e", {"_median": 0.5}, [*groups, "_m"])
+        wide = found.groupBy(*(F.col(g).alias(f"_{g}") for g in groups)).agg(*(F.max(F.when(F.col("_m") == m, F.col("_median"))).alias(m) for m in medians))
+        same = [out[g].eqNullSafe(wide[f"_{g}"]) for g in groups]
+        out = out.join(wide, same).drop(*(f"_{g}" for g in groups))
+    return out.select(*groups, "count", *asked)
 
 
 def dispersion(df: DataFrame, y: str, yhat: str, dof: int = 1, keys: Sequence[str] = ()) -> DataFrame:
@@ -167,6 +187,7 @@ def components(model: FittedModel, data: DataFrame) -> DataFrame:
     params = model.params.select(*keys, "t0", "beta")
     grid = data.join(params, keys) if keys else data.join(F.broadcast(params), how="inner", on=F.lit(True))
     grid = grid.withColumn("t", steps_between(F.col("t0"), F.col(ts), spec.step_us))
+    grid = feats.with_anchored(grid, spec)
     made = feats.features(spec, F.col("t"), F.col(ts), lo, hi)
     parts: dict[str, list[tuple[int, Column]]] = {}
     for i, f in enumerate(made):

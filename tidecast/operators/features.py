@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidecast.functions.columns import diff_us, fourier, ntz
 from tidecast.functions.durations import UNITS
 from tidecast.functions.holidays import holidays
+from tidecast.operators.anchors import from_anchors
 from tidecast.operators.grid import differences
 from tidecast.plans.spec import EVENT_KINDS, Calendric, Event, ModelSpec
 
@@ -59,14 +60,26 @@ def holiday_frame(spark: SparkSession, country: str, lo: datetime, hi: datetime,
     return spark.createDataFrame(rows, "holiday_date date, holiday string")
 
 
+def anchor_table(event: Event) -> DataFrame:
+    spark = SparkSession.active()
+    return spark.read.parquet(event.table) if "/" in event.table else spark.table(event.table)
+
+
 def impact(event: Event, lo: datetime, hi: datetime) -> float:
     """Share of the anchors that lie within the data; zero without anchors."""
+    if event.kind == "table":
+        at = F.col(event.column).cast("timestamp_ntz")
+        return float(anchor_table(event).agg(F.coalesce(F.avg(at.between(ntz(lo), ntz(hi)).cast("double")), F.lit(0.0))).first()[0])
     at = anchors_of(event, lo, hi)
     return sum(lo <= a <= hi for a in at) / len(at) if at else 0.0
 
 
 def event_column(event: Event, ts: Column, lo: datetime, hi: datetime) -> Column:
-    """Sum of the profile over the anchors."""
+    """Sum of the profile over the anchors; for a table's the column that ``with_anchored`` makes."""
+    if event.kind == "table":
+        return F.col(f"_anchored_{event.name}")
+    if event.kind == "periodic":
+        return periodic_column(event, ts, lo, hi)
     at = anchors_of(event, lo, hi)
     if not at:
         return F.lit(0.0)
@@ -78,6 +91,29 @@ def event_column(event: Event, ts: Column, lo: datetime, hi: datetime) -> Column
     return F.aggregate(offsets, F.lit(0.0), lambda acc, o: acc + event.profile.at(since - o))
 
 
+def periodic_column(event: Event, ts: Column, lo: datetime, hi: datetime) -> Column:
+    """Of the anchors that ``anchors_of`` lists, by number, those that reach a time: found by its remainder, and not listed."""
+    first, period, reach = event.anchors[0], event.period_us, event.profile.reach()
+    n0, n1 = (F.lit(_us(end - first) // period + more) for end, more in ((lo, -2), (hi, 2)))
+    since = diff_us(ntz(first), ts)
+    begin, end = n0, n1
+    if reach is not None:
+        at = F.call_function("div", since - F.pmod(since, F.lit(period)), F.lit(period))  # the last anchor before
+        begin, end = F.greatest(n0, at - (reach[1] // period + 1)), F.least(n1, at + (reach[0] // period + 1))
+    numbers = F.when(begin <= end, F.sequence(begin, end)).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(numbers, F.lit(0.0), lambda acc, n: acc + event.profile.at(since - n * F.lit(period)))
+
+
+def with_anchored(df: DataFrame, spec: ModelSpec) -> DataFrame:
+    """The rows with a column for each event whose anchors are a table."""
+    for e in spec.events:
+        if e.kind == "table":
+            own = [f"_key{i}" if f"_key{i}" in df.columns else k for i, k in enumerate(spec.keys)][: len(e.by)]
+            anchors = anchor_table(e).select(*(F.col(b).alias(k) for b, k in zip(e.by, own, strict=True)), F.col(e.column).alias("_at"))
+            df = from_anchors(df, spec.timestamp_name, anchors, e.profile, "_at", own, f"_anchored_{e.name}")
+    return df
+
+
 def features(spec: ModelSpec, t: Column, ts: Column, lo: datetime, hi: datetime) -> list[Feature]:
     """All feature columns; t is the integer time."""
     out = []
@@ -93,7 +129,8 @@ def features(spec: ModelSpec, t: Column, ts: Column, lo: datetime, hi: datetime)
 def feature_matrix(df: DataFrame, spec: ModelSpec, lo: datetime, hi: datetime, t: str = "t", out: str = "x") -> DataFrame:
     """The rows with one array of all features, in order."""
     made = [f.column for f in features(spec, F.col(t), F.col(spec.timestamp_name), lo, hi)]
-    return df.withColumn(out, F.array(*made) if made else F.array().cast("array<double>"))
+    placed = with_anchored(df, spec).withColumn(out, F.array(*made) if made else F.array().cast("array<double>"))
+    return placed.drop(*(f"_anchored_{e.name}" for e in spec.events if e.kind == "table"))
 
 
 def prune_events(spec: ModelSpec, lo: datetime, hi: datetime) -> ModelSpec:

@@ -1,7 +1,7 @@
 """Fit of one series, and of many by groups: damped Newton steps in an unconstrained space.
 
 A group is one series and has to fit a Python worker, as a model's parameters depend on all of its rows; groups are spread
-by one shuffle. Bounded parameters are lb + (ub - lb) expit(u). The smooth part of the curvature is the Fisher information of
+by one shuffle. A long history without keys is fitted across the executors instead (longfit.py). Bounded parameters are lb + (ub - lb) expit(u). The smooth part of the curvature is the Fisher information of
 the linear predictor; the double-exponential prior of slope changes enters by the quadratic that touches it from above, so that
 every accepted step lowers the objective. The dispersion is searched for between the steps.
 """
@@ -22,12 +22,15 @@ from tidecast.functions.storage import cut
 from tidecast.operators import features as feats
 from tidecast.operators.families import FAMILIES, INVERSE, LINK, expit
 from tidecast.operators.grid import steps_between
+from tidecast.operators.longfit import fit_across
 from tidecast.operators.validate import check_rows, check_schema, validation_report
 from tidecast.plans.config import given, settings
 from tidecast.plans.errors import FittedError
 from tidecast.plans.spec import ModelSpec
 
 EPS = 1e-10
+#: From so many rows on the one series of a history without keys is fitted across the executors.
+LONG = 500_000
 PARAMS = (
     "k double, m double, delta array<double>, changepoints array<bigint>, beta array<double>, kappa double, phi double, linked_offset double, "
     "linked_scale double, y_mean double, variance_bound double, t_max bigint, n_obs bigint, objective double, steps bigint, draws array<array<double>>"
@@ -267,14 +270,20 @@ def prepare(df: DataFrame, spec: ModelSpec, options: dict, validate: bool = True
     return spec, rows.select(*keys, F.col(ts).alias("ds"), "t", F.col(metric).cast("double").alias("y"), capacity_column(spec, options).alias("capacity"), "x", "t0"), lo, hi
 
 
+def given_changepoints(spec: ModelSpec, start: datetime) -> np.ndarray | None:
+    """Integer times of the spec's own changepoints, None if they are left to the rows."""
+    if spec.changepoints is None:
+        return None
+    us = ((pd.Series(spec.changepoints, dtype="datetime64[us]") - pd.Timestamp(start)) // pd.Timedelta(1, "us")).to_numpy(np.int64)
+    return np.trunc(us / spec.step_us).astype(np.int64)
+
+
 def series_of(g: pd.DataFrame, spec: ModelSpec, changepoints: np.ndarray | None = None) -> Series:
     g = g.sort_values("t", kind="stable")
     t = g["t"].to_numpy(np.int64)
     if changepoints is None:
-        if spec.changepoints is not None:
-            us = ((pd.Series(spec.changepoints, dtype="datetime64[us]") - pd.Timestamp(g["t0"].iloc[0])) // pd.Timedelta(1, "us")).to_numpy(np.int64)
-            changepoints = np.trunc(us / spec.step_us).astype(np.int64)
-        else:
+        changepoints = given_changepoints(spec, g["t0"].iloc[0])
+        if changepoints is None:
             changepoints = changepoint_positions(t, spec.n_changepoints, spec.changepoint_range)
     capacity = g["capacity"].to_numpy(float)
     return Series(t, g["y"].to_numpy(float), capacity, np.stack(g["x"].to_numpy()).astype(float).reshape(len(g), -1), changepoints)
@@ -286,12 +295,14 @@ def key_schema(df: DataFrame, keys: Sequence[str]) -> str:
 
 def fit(
     df: DataFrame, spec: ModelSpec, optimize_mode: str | None = None, use_laplace: bool | None = None, capacity: int | None = None, capacity_mode: str | None = None, capacity_value: float | None = None,
-    draws: int = 1000, validate: bool = True, toml_path: str | None = None,
+    draws: int = 1000, validate: bool = True, toml_path: str | None = None, across: bool | None = None,
 ) -> FittedModel:
     """Fit every series of the frame, once: the parameters, a row per series, are a checkpoint that all later steps read.
 
     What is not given comes from [fit] of the TOML file, else from the spec's own settings, else from the defaults: MAP, no
-    Laplace draws, and a capacity for which the metric is half of it on the whole.
+    Laplace draws, and a capacity for which the metric is half of it on the whole. A history without keys is one series:
+    with LONG rows or more, or if ``across`` asks for it, its fit is made of sums over the executors, with the same optimum; draws
+    need the series in one task.
     """
     if isinstance(spec, FittedModel):
         raise FittedError("the model is fitted; fit its spec again for another history")
@@ -303,6 +314,15 @@ def fit(
     keys = spec.inner_keys
     scales = [f.prior_scale for f in feats.features(spec, F.col("t"), F.col("ds"), lo, hi)]
 
+    if across and (keys or use_laplace):
+        raise ValueError("a fit across executors is of one series, without keys and draws")
+    if across or (across is None and not keys and not use_laplace and rows.count() >= LONG):
+        first = rows.select("t0", "capacity").first()
+        out = fit_across(rows, spec, scales, given_changepoints(spec, first["t0"]), linked, optimize_mode)
+        row = {"t0": first["t0"], "capacity_fixed": None if spec.capacity_name else first["capacity"], **out}
+        params = rows.sparkSession.createDataFrame([row], f"t0 timestamp_ntz, capacity_fixed double, {PARAMS}")
+        return FittedModel(replace(spec, meta={**spec.meta}), cut(params), lo, hi, options)
+
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         out = fit_series(series_of(g, spec), spec, scales, optimize_mode, use_laplace, draws, seed_of(key[: len(keys)], spec.seed))
         return pd.DataFrame([{**dict(zip(keys, key, strict=False)), "t0": g["t0"].iloc[0], "capacity_fixed": None if spec.capacity_name else g["capacity"].iloc[0], **out}])

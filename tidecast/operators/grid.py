@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidecast.functions.columns import add_us, diff_us, with_stats
 from tidecast.functions.durations import micros
+from tidecast.functions.quantiles import exact_quantiles
+from tidecast.operators.order import in_order
 
 
 def resample(df: DataFrame, ts: str, unit: str, aggs: dict[str, Column], keys: Sequence[str] = (), out: str = "ds") -> DataFrame:
@@ -40,6 +42,8 @@ def time_index(df: DataFrame, ts: str, step: str | int, keys: Sequence[str] = ()
 
 def differences(df: DataFrame, ts: str, keys: Sequence[str] = ()) -> DataFrame:
     """Rows with ``diff_us``, the microseconds since the series' row before; null for its first."""
+    if not keys:
+        return in_order(df, ts, None, {"_before": ts}).withColumn("diff_us", diff_us(F.col("_before"), F.col(ts))).drop("_before")
     return df.withColumn("diff_us", diff_us(F.lag(ts).over(Window.partitionBy(*keys).orderBy(ts)), F.col(ts)))
 
 
@@ -47,13 +51,15 @@ def sampling_period(df: DataFrame, ts: str, q: float = 0.5, keys: Sequence[str]
     """The q-quantile (linear between ranks) of successive differences, in microseconds, by series."""
     if not 0 <= q <= 1:
         raise ValueError("q must be within 0 and 1")
-    return differences(df, ts, keys).groupBy(*keys).agg(F.percentile("diff_us", q).alias("period_us"))
+    return exact_quantiles(differences(df.select(*keys, ts), ts, keys), "diff_us", {"period_us": q}, keys)
 
 
 def time_span(df: DataFrame, ts: str, keys: Sequence[str] = (), q: float = 0.3) -> DataFrame:
     """Last minus first timestamp plus one inferred period, in microseconds."""
-    d = differences(df, ts, keys)
-    return d.groupBy(*keys).agg((diff_us(F.min(ts), F.max(ts)) + F.percentile("diff_us", q)).alias("span_us"))
+    period = sampling_period(df, ts, q, keys)
+    ends = df.groupBy(*keys).agg(diff_us(F.min(ts), F.max(ts)).alias("_ends"))
+    both = ends.join(period, list(keys)) if keys else ends.join(F.broadcast(period), how="inner", on=F.lit(True))  # one row
+    return both.select(*keys, (F.col("_ends") + F.col("period_us")).alias("span_us"))
 
 
 def gaps(df: DataFrame, ts: str, step: str | int, keys: Sequence[str] = ()) -> DataFrame:
@@ -74,7 +80,8 @@ def future_frame(df: DataFrame, ts: str, step: str | int, periods: int = 1, incl
 
 def equidistant(df: DataFrame, ts: str, step: str | int, keys: Sequence[str] = (), out: str = "ds") -> DataFrame:
     """Put rows, in their order, on an even grid from the first row on; for calendar months of uneven length."""
-    placed = with_stats(df, keys, _origin=F.min(ts)).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(ts)) - 1)
+    placed = with_stats(df, keys, _origin=F.min(ts))
+    placed = placed.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(ts)) - 1) if keys else in_order(placed, ts, "_n")
     return placed.withColumn(out, add_us((F.col("_n") * F.lit(micros(step))).cast("long"), F.col("_origin"))).drop("_n", "_origin")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.functions.columns import LINKS, dot, with_stats
+from tidecast.operators.order import in_order
 
 
 def auto_changepoints(df: DataFrame, ts: str, n: int = 25, share: float = 0.8, keys: Sequence[str] = ()) -> DataFrame:
@@ -15,7 +16,8 @@ def auto_changepoints(df: DataFrame, ts: str, n: int = 25, share: float = 0.8, k
 
     With fewer rows than asked for, one less than there are rows. Positions are rounded half to even.
     """
-    ranked = df.select(*keys, ts).withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(ts)) - 1)
+    ranked = df.select(*keys, ts)
+    ranked = ranked.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(ts)) - 1) if keys else in_order(ranked, ts, "_i")
     sized = with_stats(ranked, keys, _rows=F.count(F.lit(1)))
     rows = F.floor(F.col("_rows") * share).cast("long")
     many = F.when(F.lit(n + 1) > rows, F.greatest(rows - 1, F.lit(0))).otherwise(F.lit(n))

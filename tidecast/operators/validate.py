@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tidecast.functions.columns import diff_us, with_stats
 from tidecast.functions.durations import micros
+from tidecast.operators.order import in_order
 from tidecast.plans.errors import ValidationError
 
 #: Names that results use, with their bounds; features must not have them. Fixed values.
@@ -90,5 +91,6 @@ def capacity_violations(df: DataFrame, metric: str, capacity: str) -> DataFrame:
 def period_starts(df: DataFrame, ts: str, unit: str, keys: Sequence[str] = ()) -> DataFrame:
     """The first row of each series whose calendar unit differs from the row before: year, quarter, month, week or day."""
     value = {"year": F.year, "quarter": F.quarter, "month": F.month, "week": F.weekofyear, "day": lambda c: F.to_date(c)}[unit](F.col(ts))
-    seen = df.select(*keys, ts, value.alias("_u")).withColumn("_before", F.lag("_u").over(Window.partitionBy(*keys).orderBy(ts)))
+    seen = df.select(*keys, ts, value.alias("_u"))
+    seen = seen.withColumn("_before", F.lag("_u").over(Window.partitionBy(*keys).orderBy(ts))) if keys else in_order(seen, ts, None, {"_before": "_u"})
     return seen.where("_before IS NOT NULL AND _before <> _u").groupBy(*keys).agg(F.min(ts).alias(ts))

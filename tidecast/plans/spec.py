@@ -45,7 +45,7 @@ class External:
 
 
 #: Kinds of events; those that users add have a function of (event, first, last) that gives the anchors.
-EVENT_KINDS: dict[str, Callable | None] = {"single": None, "intermittent": None, "periodic": None, "holiday": None}
+EVENT_KINDS: dict[str, Callable | None] = {"single": None, "intermittent": None, "periodic": None, "holiday": None, "table": None}
 
 
 def register_event_kind(kind: str, anchors: Callable) -> None:
@@ -55,7 +55,11 @@ def register_event_kind(kind: str, anchors: Callable) -> None:
 
 @dataclass(frozen=True)
 class Event:
-    """``kind`` single or intermittent: ``anchors``; periodic: one anchor and ``period_us``; holiday: by name and country."""
+    """``kind`` single or intermittent: ``anchors``; periodic: one anchor and ``period_us``; holiday: by name and country.
+
+    Kind table: any number of anchors, the timestamps in ``column`` of a table (a name, or the path of a Parquet table) that is read
+    whenever the features are made; its columns ``by``, in the order of the spec's keys, say whose anchors they are, if they differ.
+    """
 
     name: str
     kind: str
@@ -67,6 +71,9 @@ class Event:
     holiday: str | None = None
     prior_scale: float = PRIOR
     include: bool | str = "auto"
+    table: str | None = None
+    column: str = "ds"
+    by: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         _positive(prior_scale=self.prior_scale)
@@ -80,16 +87,21 @@ class Event:
             _positive(period=self.period_us or 0)
         if self.kind == "holiday" and not self.country:
             raise ValueError("a holiday needs its country")
+        if (self.kind == "table") != (self.table is not None):
+            raise ValueError("a table of anchors is what a table event has")
+        if self.kind == "table" and self.profile.reach() is None:
+            raise ValueError("anchors from a table need a profile that ends")
 
     def to_dict(self) -> dict:
-        return asdict(self) | {"profile": self.profile.to_dict(), "anchors": [a.isoformat() for a in self.anchors]}
+        out = asdict(self) | {"profile": self.profile.to_dict(), "anchors": [a.isoformat() for a in self.anchors], "by": list(self.by)}
+        return out if self.kind == "table" else {k: v for k, v in out.items() if k not in ("table", "column", "by")}
 
     @staticmethod
     def from_dict(data: dict) -> Event:
         for k in ("name", "kind", "profile"):
             if k not in data:
                 raise KeyError(f"an event needs {k}")
-        return Event(**{**data, "profile": Profile.from_dict(data["profile"]), "anchors": tuple(instant(a) for a in data.get("anchors", ()))})
+        return Event(**{**data, "profile": Profile.from_dict(data["profile"]), "anchors": tuple(instant(a) for a in data.get("anchors", ())), "by": tuple(data.get("by", ()))})
 
 
 @dataclass(frozen=True)
@@ -216,9 +228,9 @@ class ModelSpec:
     def add_external(self, name: str, prior_scale: float | None = None) -> ModelSpec:
         return self._add("externals", External(name, prior_scale or self.event_prior_scale))
 
-    def add_event(self, name: str, profile: Profile, kind: str = "single", anchors: list | tuple | str | datetime = (), period: str | int | None = None, country: str | None = None, subdiv: str | None = None, holiday: str | None = None, prior_scale: float | None = None, include: bool | str = "auto") -> ModelSpec:
+    def add_event(self, name: str, profile: Profile, kind: str = "single", anchors: list | tuple | str | datetime = (), period: str | int | None = None, country: str | None = None, subdiv: str | None = None, holiday: str | None = None, prior_scale: float | None = None, include: bool | str = "auto", table: str | None = None, column: str = "ds", by: tuple[str, ...] = ()) -> ModelSpec:
         at = (anchors,) if isinstance(anchors, str | datetime) else anchors
-        return self._add("events", Event(name, kind, profile, tuple(instant(a) for a in at), micros(period) if period is not None else None, country, subdiv, holiday, prior_scale or self.event_prior_scale, include))
+        return self._add("events", Event(name, kind, profile, tuple(instant(a) for a in at), micros(period) if period is not None else None, country, subdiv, holiday, prior_scale or self.event_prior_scale, include, table, column, tuple(by)))
 
     def add_protocol(self, protocol: Calendric) -> ModelSpec:
         return replace(self, protocols=(*self.protocols, protocol))

@@ -6,6 +6,7 @@ per hour. Metrics are whole numbers where they can be, so that sums do not depen
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
@@ -17,10 +18,14 @@ from tidecast import model_queries
 from tidecast.functions.columns import add_us, diff_us, expit, fourier, ntz, tidy
 from tidecast.functions.durations import micros
 from tidecast.functions.profiles import BoxCar, Cauchy, Exponential, Gaussian, Profile
+from tidecast.functions.quantiles import exact_quantiles
+from tidecast.functions.storage import shared_folder
 from tidecast.operators import diagnostics as diag
 from tidecast.operators import features as feats
 from tidecast.operators import grid, validate
+from tidecast.operators.anchors import from_anchors
 from tidecast.operators.fit import FittedModel, bounds, fit
+from tidecast.operators.order import in_order
 from tidecast.operators.predict import predict
 from tidecast.operators.trend import auto_changepoints, estimate_capacity, line_fit, linear_predictor, normalize, to_linked, trend
 from tidecast.plans.spec import Calendric, Event, ModelSpec
@@ -123,6 +128,43 @@ def gap_report(spark, sf_dir):
     return grid.gaps(s2(spark, sf_dir), "ds", "1h", ["event_type"])
 
 
+# Without keys the whole table is one series, whose rows are ranged and scanned by partition.
+
+
+@query("SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) - 1 AS position, lag(event_id) OVER (ORDER BY ts, event_id) AS before FROM events")
+def order_positions(spark, sf_dir):
+    return in_order(table(spark, sf_dir, "events").select("event_id", "ts"), ["ts", "event_id"], "position", {"before": "event_id"})
+
+
+@query("""WITH d AS (SELECT event_id, ts, date_diff('microsecond', lag(ts) OVER (ORDER BY ts, event_id), ts) // 60000000 - 1 AS missing FROM events)
+    SELECT * FROM d WHERE missing > 0""")
+def order_gaps(spark, sf_dir):
+    return grid.gaps(table(spark, sf_dir, "events").select("event_id", "ts"), "ts", "1m")
+
+
+@query("""WITH d AS (SELECT ts, date_diff('microsecond', lag(ts) OVER (ORDER BY ts), ts) AS d FROM events)
+    SELECT round(quantile_cont(d::DOUBLE, 0.5), 3) AS period_us, round(date_diff('microsecond', min(ts), max(ts)) + quantile_cont(d::DOUBLE, 0.3), 3)::DOUBLE AS span_us FROM d""")
+def sampling_of_events(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("ts")
+    both = grid.sampling_period(rows, "ts", 0.5).join(F.broadcast(grid.time_span(rows, "ts")), how="inner", on=F.lit(True))  # one row each
+    return both.select(F.round("period_us", 3).alias("period_us"), F.round("span_us", 3).alias("span_us"))
+
+
+@query("""WITH m AS (SELECT date_trunc('minute', ts)::TIMESTAMP AS ds FROM events GROUP BY 1), n AS (SELECT ds, row_number() OVER (ORDER BY ds) - 1 AS i, floor(count(*) OVER () * 0.8)::BIGINT AS h FROM m)
+    SELECT j AS changepoint_no, ds FROM n JOIN range(1, 26) r(j) ON i = round_even(j * (h - 1) / 25.0, 0)::BIGINT""")
+def changepoints_auto_without_keys(spark, sf_dir):
+    return auto_changepoints(minutes(spark, sf_dir), "ds", 25, 0.8)
+
+
+QUANTILES = {"p01": 0.01, "p50": 0.5, "p99": 0.99}
+
+
+@query("SELECT l_returnflag, l_linestatus, " + ", ".join(f"round(quantile_cont(l_extendedprice::DOUBLE, {q}), 4) AS {n}" for n, q in QUANTILES.items()) + " FROM lineitem GROUP BY ALL")
+def quantiles_of_prices(spark, sf_dir):
+    keys = ["l_returnflag", "l_linestatus"]
+    return exact_quantiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", QUANTILES, keys).select(*keys, *(F.round(n, 4).alias(n) for n in QUANTILES))
+
+
 @query("SELECT event_id, trunc(value)::BIGINT AS as_i, abs(trunc(value))::BIGINT AS as_u, value::DOUBLE AS as_f, value <> 0 AS as_b FROM events")
 def kind_cast(spark, sf_dir):
     v = F.col("value")
@@ -253,6 +295,36 @@ def event_intermittent(spark, sf_dir):
     return _event_rows(spark, sf_dir, _event("intermittent", SHAPES["gaussian"][0], ANCHORS))
 
 
+#: Profiles of an event whose anchors are all rows of the table of events, and their SQL by the microseconds from an anchor.
+TABLE_SHAPES: dict[str, tuple[Profile, str]] = {
+    "box": (BoxCar("90m"), f"CASE WHEN us >= 0 AND us < {90 * 60_000_000} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"),
+    "bell": (Gaussian("20m"), f"exp(-0.5 * pow(us::DOUBLE / {20 * 60_000_000}, 2))"),
+    "tail": (Exponential("30m", "5h"), f"CASE WHEN us < 0 THEN pow(2.0::DOUBLE, us::DOUBLE / {30 * 60_000_000}) ELSE pow(2.0::DOUBLE, -(us::DOUBLE) / {5 * 3_600_000_000}) END"),
+}
+
+
+@query(f"""WITH {S2}, p AS (SELECT s2.event_type, ds, date_diff('microsecond', ts, ds) AS us FROM s2 JOIN events USING (event_type))
+    SELECT event_type, ds, {', '.join(f'round(sum({sql}), 6) + 0.0 AS {n}' for n, (_, sql) in TABLE_SHAPES.items())} FROM p GROUP BY event_type, ds""")
+def event_anchor_table(spark, sf_dir):
+    """Every event is an anchor of the series of its type."""
+    rows, anchors = s2(spark, sf_dir).select("event_type", "ds"), table(spark, sf_dir, "events").select("event_type", "ts")
+    for name, (profile, _) in TABLE_SHAPES.items():
+        rows = from_anchors(rows, "ds", anchors, profile, "ts", ["event_type"], name)
+    return rows.select("event_type", "ds", *(tidy(F.col(n)).alias(n) for n in TABLE_SHAPES))
+
+
+@query(f"""WITH {T1}, l AS (SELECT date_diff('microsecond', l_shipdate::TIMESTAMP, ds) AS us, ds FROM t1, (SELECT l_shipdate FROM lineitem WHERE l_quantity = 50) WHERE abs(date_diff('day', l_shipdate, ds)) < 400)
+    SELECT ds, [round(sin(2 * pi() / 7.0 * t), 6) + 0.0, round(cos(2 * pi() / 7.0 * t), 6) + 0.0, round(coalesce(v, 0), 6) + 0.0] AS x FROM t1
+    LEFT JOIN (SELECT ds, sum({_shape_sql('exponential', 'ds').replace(US.format(a='ds'), 'us')}) AS v FROM l GROUP BY ds) USING (ds)""")
+def feature_matrix_anchor_table(spark, sf_dir):
+    """A spec's event whose anchors are a table's rows: those of large shipments."""
+    path = f"{shared_folder(spark)}/anchors-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "lineitem").where("l_quantity = 50").select("l_shipdate").write.parquet(path)
+    spec = ModelSpec().add_seasonality("weekly", "7d", 1).add_event("shipments", SHAPES["exponential"][0], "table", table=path, column="l_shipdate")
+    rows = t1(spark, sf_dir)
+    return feats.feature_matrix(rows, spec, *bounds(rows, "ds")).select("ds", F.transform("x", lambda v: F.round(v, 6) + F.lit(0.0)).alias("x"))
+
+
 PERIODIC = f"""b AS (SELECT floor(date_diff('microsecond', TIMESTAMP '{ANCHORS[0]}', min(ds))::DOUBLE / {30 * DAY})::BIGINT AS n0,
       floor(date_diff('microsecond', TIMESTAMP '{ANCHORS[0]}', max(ds))::DOUBLE / {30 * DAY})::BIGINT AS n1, min(ds) AS lo, max(ds) AS hi FROM s1),
     a AS (SELECT TIMESTAMP '{ANCHORS[0]}' + n * INTERVAL 30 DAY AS a, lo, hi FROM b, unnest(range(n0 - 2, n1 + 3)) r(n))"""
@@ -633,7 +705,14 @@ def daily_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SHARE = "share AS (SELECT date_trunc('day', ts)::TIMESTAMP AS ds, avg((event_type = 'error')::INT) AS y FROM events GROUP BY 1)"
-model_queries.register(query, {"s1": s1, "s2": s2, "s4": s4, "daily_share": daily_share, "S1": S1, "S2": S2, "S4": S4, "T1": T1, "SHARE": SHARE})
+MINUTES = "minutes AS (SELECT date_trunc('minute', ts)::TIMESTAMP AS ds, sum(ceil(abs(value))::BIGINT)::BIGINT AS y FROM events GROUP BY 1)"
+
+
+def minutes(spark, sf_dir) -> DataFrame:
+    return grid.resample(table(spark, sf_dir, "events"), "ts", "minute", {"y": F.sum(F.ceil(F.abs("value")).cast("long"))})
+
+
+model_queries.register(query, {"minutes": minutes, "MINUTES": MINUTES, "s1": s1, "s2": s2, "s4": s4, "daily_share": daily_share, "S1": S1, "S2": S2, "S4": S4, "T1": T1, "SHARE": SHARE})
 
 
 # -- settings, sources, specs: what is stated as plain values ------------------------------------------------------------
