@@ -5,6 +5,7 @@ import pytest
 
 import corpus_pipeline as P
 from tidecast.llm import near_dup as N
+from tidecast.llm import set_join as S
 
 
 def brute_sets(text, words=5):
@@ -43,11 +44,7 @@ def texts():
     return out + [" ".join([*rng.choice(vocab, 60), *common]) for _ in range(15)]
 
 
-@pytest.mark.parametrize(("cells", "often", "many"), [(1_000_000, 3, 600), (7, 10**9, 50)])
-def test_against_brute_force(spark, monkeypatch, cells, often, many):
-    monkeypatch.setattr(N, "CELLS", cells)
-    monkeypatch.setattr(N, "OFTEN", often)
-    monkeypatch.setattr(N, "MANY", many)
+def test_against_brute_force(spark):
     rows = [(None if i % 17 == 5 else 900 - i, t) for i, t in enumerate(texts())]
     rows += rows[4:6]
     got = N.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
@@ -64,51 +61,19 @@ def test_pipeline_drops_similar_documents(spark, tmp_path):
     assert sorted(r.doc_id for r in got) == sorted({*brute([(r[0], r[1]) for r in rows])})
 
 
-def test_keys_of_several_texts(spark, monkeypatch):
-    """The stream that drops keys of one text only, however rows fall into batches."""
-    import pyarrow as pa
-
-    made = {}
-    frame = type(spark.range(1))
-    whole = frame.mapInArrow
-    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, kind, *a: made.setdefault(f.__name__, f) and whole(self, f, kind, *a))
-    N.jaccard_groups(spark.createDataFrame([(1, "a b c"), (2, "a b c d")], "doc_id long, text string")).count()
-    rng = np.random.default_rng(3)
-    rows = sorted((int(rng.integers(0, 25)), int(rng.integers(0, 6))) for _ in range(60))
-    want = sorted({r for r in rows if len({s for k, s in rows if k == r[0]}) > 1})
-    for size in (1, 2, 3, 7, 60):
-        batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[j : j + size]]) for i in (0, 1)], names=["k", "s"]) for j in range(0, 60, size)]
-        got = [(k, s) for b in made["several"](iter(batches)) for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        assert got == want
-
-
-def test_common_passages_of_a_larger_corpus_make_no_pairs(spark, monkeypatch):
-    """A passage in a tenth of the texts is common however small SAMPLE is beside the corpus: its texts don't all meet."""
-    rng = np.random.default_rng(5)
-    vocab, passage = [f"w{i}" for i in range(3000)], [f"p{i}" for i in range(60)]
-    rows = [(i, " ".join([*rng.choice(vocab, 700), *(passage if i % 10 == 0 else ())])) for i in range(400)]
-    monkeypatch.setattr(N, "SAMPLE", 8)
-    frame, met = type(spark.range(1)), []
-    whole = frame.mapInArrow
-
-    def counting(self, f, kind, *a):
-        out = whole(self, f, kind, *a)
-        if f.__name__ == "meet":
-            met.append(out.count())
-        return out
-
-    monkeypatch.setattr(frame, "mapInArrow", counting)
-    got = N.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
-    assert all(r.doc_id == r.component_id for r in got) and len(got) == 400
-    assert met[0] < 100  # 40 texts have 780 pairs
-
-
-def test_ranks_hold_the_most_frequent(spark, monkeypatch):
-    monkeypatch.setattr(N, "KEYS", 6)
-    counted = spark.createDataFrame([(k, n) for k, n in enumerate([3, 3, 4, 3, 5, 6, 7, 12, 13, 24, 400])], "k long, n long")
-    ranks = N.ranked(counted)
-    assert ranks[:11].tolist() == [0, 0, 0, 0, 0, 2, 2, 3, 3, 4, 8] and not ranks[11:].any()
-    assert not N.ranked(counted.limit(0)).any()
+@pytest.mark.parametrize(("shared", "own", "linked"), [(700, 110, False), (60, 700, False), (700, 60, True)])
+def test_candidates_grow_with_the_texts(spark, monkeypatch, shared, own, linked):
+    """A template just below the threshold, a passage that texts have in common, and a template above it: no pair is formed for nothing."""
+    made, counts, real = [], [], S.cut
+    monkeypatch.setattr(S, "cut", lambda df: made.append(((out := real(df)).columns, out.count())) or out)
+    for many in (60, 240):
+        made.clear()
+        core = " ".join(f"core{i}" for i in range(shared))
+        rows = [(i, core + " " + " ".join(f"own{i}x{j}" for j in range(own))) for i in range(many)]
+        got = N.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert len({r.component_id for r in got}) == (1 if linked else many)
+        counts.append(sum(n for c, n in made if c == ["a", "b"]))
+    assert counts[1] <= (6 * counts[0] if linked else 8 * max(counts[0], 1))
 
 
 def shuffled(spark):
