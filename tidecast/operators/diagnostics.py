@@ -106,7 +106,7 @@ def cross_validation(model: FittedModel, history: DataFrame, horizon: str | int,
         last = int((g["cutoff"].iloc[0] - g["t0"].iloc[0]) // pd.Timedelta(1, "us")) // step
         cps = np.array([c for c in g["_cps"].iloc[0] if c <= last], np.int64)
         p = fit_series(series_of(train, settled, cps), settled, scales, mode, laplace, draws, seed_of(key, spec.seed))
-        out = score_series(p, settled, test["t"].to_numpy(float).astype(np.int64), np.stack(test["x"].to_numpy()).astype(float).reshape(len(test), -1), test["capacity"].to_numpy(float))
+        out = score_series(p, settled, test["t"].to_numpy(float).astype(np.int64), np.stack(test["x"].to_numpy()).astype(float).reshape(len(test), -1), test["capacity"].to_numpy(float), key[: len(keys)])
         out = out.assign(ds=test["ds"].to_numpy(), y=test["y"].to_numpy(), **{f"_extra_{c}": test[f"_extra_{c}"].to_numpy() for c in extra}, cutoff=g["cutoff"].iloc[0])
         return out.assign(**dict(zip(keys, key, strict=False)))
 

@@ -167,15 +167,15 @@ def over_draws(grid: DataFrame, model: FittedModel) -> DataFrame:
     return grouped.cogroup(given).applyInPandas(run, f"{kinds}, {', '.join(f'{c} double' for c in replaced)}")
 
 
-def score_series(p: dict, spec, t: np.ndarray, x: np.ndarray, capacity: np.ndarray) -> pd.DataFrame:
-    """The point path in numpy, for folds whose parameters never leave the worker."""
+def score_series(p: dict, spec, t: np.ndarray, x: np.ndarray, capacity: np.ndarray, key: tuple = ()) -> pd.DataFrame:
+    """The point path in numpy, for folds whose parameters never leave the worker; trends are simulated by the series' own seed."""
     family = FAMILIES[spec.model]
     cps, delta = np.array(p["changepoints"], float), np.array(p["delta"], float)
     value = p["k"] * t + p["m"] + np.maximum(t[:, None] - cps[None, :], 0) @ delta
     eta = p["linked_offset"] + p["linked_scale"] * (value + x @ np.array(p["beta"], float))
     size = capacity if family.counts_of else 1.0
     yhat, base = size * INVERSE[family.link](eta), size * INVERSE[family.link](p["linked_offset"] + p["linked_scale"] * value)
-    low, high = simulate_trend(t, p["t_max"], delta, p["n_obs"], spec.interval_width, spec.trend_samples, spec.seed + 1)
+    low, high = simulate_trend(t, p["t_max"], delta, p["n_obs"], spec.interval_width, spec.trend_samples, seed_of(key, spec.seed + 1))
     phi = family.dispersion(p["kappa"], 0, 0, capacity) if spec.model == "beta-binomial" else p["phi"] or 1.0
     tail = (1 - spec.interval_width) / 2
     out = {"yhat": yhat, "yhat_lower": yhat, "yhat_upper": yhat}
