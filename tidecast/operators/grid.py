@@ -24,6 +24,36 @@ def resample_weeks(df: DataFrame, ts: str, aggs: dict[str, Column], keys: Sequen
     return df.groupBy(*keys, sunday.alias(out)).agg(*(c.alias(n) for n, c in aggs.items()))
 
 
+#: Units of a grid: microseconds of an even one, months of a calendar one. Fixed values.
+EVEN = {"minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000, "week": 604_800_000_000}
+MONTHS = {"month": 1, "quarter": 3, "year": 12}
+#: Bins that one row makes at once.
+RUN = 4096
+
+
+def filled(binned: DataFrame, unit: str, keys: Sequence[str] = (), out: str = "ds", fill: float | dict[str, object] | None = 0) -> DataFrame:
+    """The bins of ``resample`` or ``resample_weeks``, with those between a series' first and last that have no rows.
+
+    Their aggregates are ``fill``, or what it says by column (null where it says nothing); keys may be null. The spine is made by
+    runs of bins, so that no row holds a long series.
+    """
+    if unit not in EVEN | MONTHS:
+        raise ValueError(f"no grid of unit {unit!r}")
+    ends = binned.where(F.col(out).isNotNull()).groupBy(*keys).agg(F.min(out).alias("_lo"), F.max(out).alias("_hi")).where("_lo IS NOT NULL")
+    months = lambda c: F.year(c) * 12 + F.month(c)
+    steps = _div(diff_us(F.col("_lo"), F.col("_hi")), EVEN[unit]) if unit in EVEN else _div((months("_hi") - months("_lo")).cast("long"), MONTHS[unit])
+    runs = ends.withColumn("_n", steps).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), _div(F.col("_n"), RUN))))
+    first = F.col("_run") * RUN
+    each = runs.withColumn("_i", F.explode(F.sequence(first, F.least(F.col("_n"), first + RUN - 1))))
+    at = add_us(F.col("_i") * EVEN[unit], F.col("_lo")) if unit in EVEN else F.timestamp_add("MONTH", (F.col("_i") * MONTHS[unit]).cast("int"), F.col("_lo"))
+    spine = each.select(*(F.col(k).alias(f"_s_{k}") for k in keys), at.alias("_s"))
+    joined = spine.join(binned.withColumn("_there", F.lit(True)), [F.col("_s") == binned[out], *(F.col(f"_s_{k}").eqNullSafe(binned[k]) for k in keys)], "left")
+    values = [c for c in binned.columns if c not in (*keys, out)]
+    given = {c: fill.get(c) if isinstance(fill, dict) else fill for c in values}
+    kept = [F.when(F.col("_there"), F.col(c)).otherwise(F.lit(given[c]).cast(binned.schema[c].dataType)).alias(c) for c in values]
+    return joined.select(*(F.col(f"_s_{k}").alias(k) for k in keys), F.col("_s").alias(out), *kept)
+
+
 def steps_between(start: Column, end: Column, step: str | int) -> Column:
     """Whole steps from start to end, towards zero; 64-bit, so that long grids do not wrap."""
     return _div(diff_us(start, end), micros(step))

@@ -96,6 +96,31 @@ def resample_weekly(spark, sf_dir):
     return grid.resample_weeks(table(spark, sf_dir, "orders"), "o_orderdate", {"y": F.count(F.lit(1))})
 
 
+USERS = "users AS (SELECT user_id % 7 AS g, date_trunc('hour', ts)::TIMESTAMP AS ds, count(*) AS y, max(value) AS top FROM events WHERE event_type = 'error' GROUP BY 1, 2)"
+
+
+@query(f"""WITH {USERS}, spine AS (SELECT g, unnest(generate_series(min(ds), max(ds), INTERVAL 1 HOUR)) AS ds FROM users GROUP BY g)
+    SELECT g, ds, coalesce(y, 0) AS y, top FROM spine LEFT JOIN users USING (g, ds)""")
+def resample_filled_hourly(spark, sf_dir):
+    """Hours without errors have a count of zero and no largest value."""
+    rows = table(spark, sf_dir, "events").where("event_type = 'error'").withColumn("g", F.col("user_id") % 7)
+    return grid.filled(grid.resample(rows, "ts", "hour", {"y": F.count(F.lit(1)), "top": F.max("value")}, ["g"]), "hour", ["g"], fill={"y": 0})
+
+
+@query("""WITH w AS (SELECT date_trunc('week', o_orderdate)::TIMESTAMP + INTERVAL 6 DAY AS ds, count(*) AS y FROM orders WHERE o_totalprice > 400000 GROUP BY 1),
+    spine AS (SELECT unnest(generate_series(min(ds), max(ds), INTERVAL 7 DAY)) AS ds FROM w) SELECT ds, coalesce(y, 0) AS y FROM spine LEFT JOIN w USING (ds)""")
+def resample_filled_weekly(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").where("o_totalprice > 400000")
+    return grid.filled(grid.resample_weeks(rows, "o_orderdate", {"y": F.count(F.lit(1))}), "week")
+
+
+@query("""WITH m AS (SELECT o_orderpriority AS p, date_trunc('month', o_orderdate)::TIMESTAMP AS ds, count(*) AS y FROM orders WHERE o_custkey % 50 = 0 AND month(o_orderdate) <> 5 GROUP BY 1, 2),
+    spine AS (SELECT p, unnest(generate_series(min(ds), max(ds), INTERVAL 1 MONTH)) AS ds FROM m GROUP BY p) SELECT p AS o_orderpriority, ds, coalesce(y, 0) AS y FROM spine LEFT JOIN m USING (p, ds)""")
+def resample_filled_monthly(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").where("o_custkey % 50 = 0 AND month(o_orderdate) <> 5")
+    return grid.filled(grid.resample(rows, "o_orderdate", "month", {"y": F.count(F.lit(1))}, ["o_orderpriority"]), "month", ["o_orderpriority"])
+
+
 @query(f"WITH {S3} SELECT l_returnflag, ds, date_diff('microsecond', min(ds) OVER (PARTITION BY l_returnflag), ds) // {DAY} AS t FROM s3")
 def time_index(spark, sf_dir):
     return grid.time_index(s3(spark, sf_dir), "ds", "1d", ["l_returnflag"]).select("l_returnflag", "ds", "t")
