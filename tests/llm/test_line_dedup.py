@@ -83,7 +83,7 @@ def test_against_brute_force(spark, monkeypatch, cells, many, held):
     for i in range(60):
         lines = [edited(rng, base[int(rng.integers(25))], int(rng.integers(0, 3))) for _ in range(int(rng.integers(1, 5)))]
         rows.append((300 - i, "\n".join(lines)))
-    rows += [(1, None), (2, ""), (3, "\n\n"), (4, "short"), (5, "shorT"), (8, "shor"), (9, "abcdefghi\\nabcdefghij\\nabcdefgxy\\nab\\nac"), (None, base[3] + "\n" + base[3]), rows[0], (6, "x" * 3000), (7, "x" * 2999 + "y")]
+    rows += [(1, None), (2, ""), (3, "\n\n"), (4, "short"), (5, "shorT"), (8, "shor"), (9, "abcdefghi\nabcdefghij\nabcdefgxy\nab\nac"), (None, base[3] + "\n" + base[3]), rows[0], (6, "x" * 3000), (7, "x" * 2999 + "y")]
     got = L.line_groups(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, h int").repartition(3)).collect()
     assert Counter(map(tuple, got)) == brute(rows)
     assert L.line_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
