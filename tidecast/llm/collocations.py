@@ -5,9 +5,11 @@ end positions. So a shard's states come out of a sort of the reversed contexts o
 words are the end positions of a phrase of d words. A state stands for its longest phrase and, down to one word more than its
 link, for its suffixes; its endpos count is the length of the run. Depth is bounded by the longest phrase asked for.
 
-A phrase is as frequent as it has to be only if its words and pairs of words are. Words are summed first, then pairs of
-frequent words, and the automata leave out what crosses a pair that is too rare. Both filters are bitmaps of a fixed size by
-hash: where they let too much pass, the automata give more rows, at most ``longest`` per word, and the exact sums drop them.
+A phrase is as frequent as it has to be only if its words, its pairs and its runs of three are. Words are summed first, then pairs
+of frequent words, then runs of three by slots of a table; longer phrases come from the automata, which leave out what crosses a
+run that is too rare. These filters have a fixed size and go by hash: where they let too much pass, the automata give more rows,
+at most ``longest`` per word, and the exact sums drop them. Words are told apart by 64 bits in the sums of pairs, and as they are
+in all others.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import spans, written
+from tidecast.llm.common import join_split, spans, written
 from tidecast.llm.words import Words, classes, mixed
 
-#: Bytes of text of a shard, and bits of a filter.
-SHARD, BITS = 4_000_000, 1 << 25
+#: Bytes of text that are cut together, words of an automaton, and bits of a filter.
+SHARD, LARGEST, BITS = 4_000_000, 1 << 20, 1 << 25
+#: Slots of the table of runs of three, and those that travel together.
+SLOTS, CHUNK = 1 << 22, 1 << 16
 PIECES = classes(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
 SEED = 42
 
@@ -94,11 +98,38 @@ class Shard:
         of_lang = {n: xxhash.xxh64_intdigest(n.encode(), SEED) for n in names}
         self.hash = np.fromiter((xxhash.xxh64_intdigest(w.encode(), of_lang[x]) for x, w in zip(self.lang.to_pylist(), self.word.to_pylist(), strict=True)), np.uint64, len(different))
 
-    def pairs(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of words whose next one is in the same piece, both frequent by the filter, and the hashes of these pairs."""
+    def pairs(self, frequent: np.ndarray) -> np.ndarray:
+        """Positions whose word goes on to the next one in the same piece, both frequent by the filter."""
         good = seen(frequent, self.hash)[self.ids]
-        at = np.flatnonzero((self.piece[1:] == self.piece[:-1]) & good[1:] & good[:-1]) if len(self.ids) else np.empty(0, np.int64)
-        return at, mixed(mixed(self.hash[self.ids[at]]) + self.hash[self.ids[at + 1]])
+        return np.flatnonzero((self.piece[1:] == self.piece[:-1]) & good[1:] & good[:-1])
+
+    def triples(self, frequent: np.ndarray, together: np.ndarray) -> np.ndarray:
+        """Positions of three words in a row whose pairs are both frequent by the filters."""
+        at, goes_on = self.pairs(frequent), np.zeros(len(self.ids) + 1, bool)
+        at, goes_on = self.pairs(frequent), np.zeros(len(self.ids), bool)
+        goes_on[at[seen(together, paired(self.hash[self.ids[at]], self.hash[self.ids[at + 1]]))]] = True
+        return np.flatnonzero(goes_on[:-1] & goes_on[1:])
+
+    def slots(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Of three words from each position on."""
+        h = paired(paired(self.hash[self.ids[at]], self.hash[self.ids[at + 1]]), self.hash[self.ids[at + 2]])
+        return (h & np.uint64(size - 1)).astype(np.int64)
+
+
+def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mixed(mixed(a) + b)
+
+
+def chunk(at: int, part: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([pa.compress(part.astype("<i8").tobytes(), "zstd", asbytes=True)])], names=["at", "counts"])
+
+
+def chunks(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    return (chunk(i, part) for i, part in enumerate(total.reshape(-1, CHUNK)) if part.any())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(bytes(data), 8 * CHUNK, "zstd", asbytes=True), "<i8")
 
 
 def seen(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -128,35 +159,88 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, text_col: str = "te
     frequent = bitmap(every.where(F.col("n") >= least).select(F.xxhash64("lang", "word").alias("h")))
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs by the hashes of their words."""
+        for batch in spans(batches, "text", SHARD):
+            s = Shard(batch)
+            two, v = s.pairs(frequent.value), max(1, len(s.hash))
+            pair, n = np.unique(s.ids[two] * v + s.ids[two + 1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(s.hash[pair // v].view(np.int64)), pa.array(s.hash[pair % v].view(np.int64)), pa.array(n)], names=["h", "h2", "n"])
+
+    often = written(source.mapInArrow(pairs, "h long, h2 long, n long").groupBy("h", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+
+    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(paired(*(batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))).view(np.int64))], names=["h"])
+
+    together = bitmap(often.select("h", "h2").mapInArrow(hashed, "h long"))
+
+    def triples(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many runs of three words, by frequent pairs, fall into each slot of a table; in chunks."""
+        total = np.zeros(SLOTS, np.int64)
         for batch in spans(batches, "text", SHARD):
-            found, n = np.unique(Shard(batch).pairs(frequent.value)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["h", "n"])
+            s = Shard(batch)
+            total += np.bincount(s.slots(s.triples(frequent.value, together.value), SLOTS), minlength=SLOTS)
+        yield from chunks(total)
 
-    # Pairs of the same hash count together here: that only lets more pass.
-    together = bitmap(source.mapInArrow(pairs, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    def added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[at] = unpacked(packed) + held.get(at, 0)
+        for at, part in held.items():
+            yield chunk(at, part)
+
+    kind = "at int, counts binary"
+    # Runs that share a slot count together: that only lets more pass.
+    crowded = np.zeros(SLOTS, bool)
+    for at, packed in source.mapInArrow(triples, kind).mapInArrow(added, kind).repartition("at").mapInArrow(added, kind).collect():  # SLOTS numbers
+        crowded[at * CHUNK : (at + 1) * CHUNK] = unpacked(packed) >= least
+    often_three = source.sparkSession.sparkContext.broadcast(crowded)
 
     def phrases(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shard of an automaton are the runs left of several spans, up to LARGEST words of them."""
+        names: dict[tuple[str, str], int] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            ids, depth = (np.concatenate(x) for x in zip(*held, strict=True))
+            lang, word = (pa.array([n[i] for n in names], pa.string()) for i in (0, 1))
+            end, length, count = substrings(automaton(ids, depth, longest))
+            for d in range(3, longest + 1):
+                here = end[length == d]
+                text = pc.binary_join_element_wise(*(word.take(pa.array(ids[here - d + 1 + i])) for i in range(d)), " ")
+                yield pa.RecordBatch.from_arrays([lang.take(pa.array(ids[here])), text, pa.array(np.full(len(here), d, np.int32)), pa.array(count[length == d])], names=["lang", "phrase", "words", "f"])
+            held.clear()
+            names.clear()
+
         for batch in spans(batches, "text", SHARD):
             s = Shard(batch)
-            at, hashes = s.pairs(frequent.value)
-            at = at[seen(together.value, hashes)]
-            joined = np.zeros(len(s.ids) + 1, bool)  # whether a position goes on to the next
-            joined[at] = True
-            reach = np.zeros(len(s.ids), np.int64)  # how many words before a position are joined to it
-            for _ in range(longest - 1):
-                reach[1:] = np.where(joined[: len(reach) - 1], np.minimum(reach[:-1] + 1, longest - 1), 0)
-            kept = np.flatnonzero((reach > 0) | joined[:-1])  # runs of positions that are next to each other
-            ids = s.ids[kept]
-            end, length, count = substrings(automaton(ids, reach[kept] + 1, longest))
-            for d in range(2, longest + 1):
-                here = end[length == d]
-                parts = [s.word.take(pa.array(ids[here - d + 1 + i])) for i in range(d)]
-                text = pc.binary_join_element_wise(*parts, " ")
-                yield pa.RecordBatch.from_arrays([s.lang.take(pa.array(ids[here])), text, pa.array(np.full(len(here), d, np.int32)), pa.array(count[length == d])], names=["lang", "phrase", "words", "f"])
+            at = s.triples(frequent.value, together.value)
+            at = at[often_three.value[s.slots(at, SLOTS)]]
+            if not len(at):
+                continue
+            ends, kept = (np.zeros(len(s.ids), bool) for _ in range(2))
+            ends[at + 2] = True  # of a run of three that may be frequent
+            for i in range(3):
+                kept[at + i] = True
+            reach = np.zeros(len(s.ids), np.int64)  # how many words before a position its phrases may have
+            reach[1:] = kept[1:] & kept[:-1]
+            for _ in range(longest - 2):
+                reach[1:] = np.where(ends[1:], np.minimum(reach[:-1] + 1, longest - 1), reach[1:])
+            own, local = np.unique(s.ids[kept], return_inverse=True)
+            number = [names.setdefault(n, len(names)) for n in zip(s.lang.take(pa.array(own)).to_pylist(), s.word.take(pa.array(own)).to_pylist(), strict=True)]
+            held.append((np.array(number, np.int64)[local], reach[kept] + 1))
+            if sum(len(x) for x, _ in held) >= LARGEST:
+                yield from out()
+        if held:
+            yield from out()
 
     more = source.mapInArrow(phrases, "lang string, phrase string, words int, f long").groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    names = every.where(F.col("n") >= least).select(F.xxhash64("lang", "word").alias("h"), "lang", "word")
+    two = join_split(often, names, "h").withColumnRenamed("word", "first").withColumnRenamed("h", "h1").withColumnRenamed("h2", "h")
+    two = join_split(two, names.select("h", "word"), "h").select("lang", F.concat_ws(" ", "first", "word").alias("phrase"), F.lit(2).alias("words"), F.col("n").alias("f"))
     one = every.where(F.col("n") >= least).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), F.col("n").alias("f"))
-    return written(one.unionByName(more)), total
+    return written(one.unionByName(two).unionByName(more) if longest > 2 else one.unionByName(two)), total
 
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
