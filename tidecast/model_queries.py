@@ -184,7 +184,7 @@ def register(query, sources: dict) -> None:  # noqa: ANN001
 
         sql = f"""{fitted_sql(model, 'own', minute, minutes)} SELECT round(k * (SELECT max(t) FROM linked), 4) + 0.0 AS rise, round(m, 4) AS m, {kap} AS kappa, round(v, 4) AS variance_bound,
             (SELECT count(*) FROM linked) AS n_obs FROM fit"""
-        query(sql, f"fit_across_{model.replace(' ', '_')}")(run)
+        query(sql, f"fit_line_across_{model.replace(' ', '_')}")(run)
 
     for model in ("normal", "poisson", "gamma"):
         across_query(model)
