@@ -101,3 +101,40 @@ def test_models_with_a_table(spark, tmp_path):
         Event("e", "table", T.Cauchy("1d"), table="x")
     with pytest.raises(ValueError):
         from_anchors(df, "ds", df, T.Cauchy("1d"), "ds")
+
+
+@pytest.mark.parametrize("end", ["5h", "11h", "100h", "400h", "3000h"])
+@pytest.mark.parametrize("keyed", [True, False])
+def test_tails_with_an_end(spark, end, keyed):
+    """Nothing from the end on, exactly: no rest of a difference of sums either."""
+    rows, anchors = data()
+    rows.append((anchors[0][0] + timedelta(microseconds=micros(end)), "a", -4))
+    p = T.Exponential("30m", "2h", end)
+    us = lambda d: (d.days * 86_400 + d.seconds) * 1_000_000 + d.microseconds
+    df, table = spark.createDataFrame(rows, "ds timestamp_ntz, k string, i int").repartition(3), spark.createDataFrame(anchors, "at timestamp_ntz, k string")
+    got = {r.i: r.v for r in from_anchors(df, "ds", table, p, "at", ["k"] if keyed else [], "v").collect()}
+    for ds, k, i in rows:
+        near = [us(ds - a) for a, o in anchors if a is not None and (o == k or not keyed) and abs(us(ds - a)) < micros(end)] if ds else []
+        assert got[i] == pytest.approx(math.fsum(value(p, d) for d in near), rel=1e-9, abs=1e-300), (ds, k)
+    at = spark.createDataFrame([(-micros(end),), (1 - micros(end),), (micros(end) - 1,), (micros(end),)], "us long").select(p.at(F.col("us")).alias("v")).collect()
+    assert [r.v > 0 for r in at] == [False, micros(end) < 1000 * 1_800_000_000, micros(end) < 1000 * 7_200_000_000, False]
+    assert T.ModelSpec.from_dict((spec := T.ModelSpec().add_event("e", p, anchors="2020-01-01")).to_dict()) == spec and max(p.reach()) <= micros(end)
+    with pytest.raises(ValueError):
+        T.Exponential("1h", "1h", "0h")
+
+
+def test_feature_matrix_ends_where_its_sql_does(spark, tmp_path):
+    """Very many shipments just beyond the reach of 400 days would show in the sixth decimal."""
+    import duckdb
+
+    from tidecast import queries as Q
+
+    folder, day = str(tmp_path), lambda n: f"date_add(DATE '1995-01-01', {n})"
+    spark.range(12).selectExpr("id AS o_orderkey", day("cast(400 + id % 4 as int)") + " AS o_orderdate").write.parquet(f"{folder}/orders.parquet")
+    far = spark.range(1_200_000).selectExpr(day("0") + " AS l_shipdate", "50.0D AS l_quantity")
+    far.union(spark.range(3).selectExpr(day("cast(390 + id as int)"), "50.0D")).coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    want = {d: x for d, x in con.execute(Q.ORACLE["feature_matrix_anchor_table"]).fetchall()}
+    assert {r.ds: r.x for r in Q.QUERIES["feature_matrix_anchor_table"](spark, folder).collect()} == want and len(want) == 4

@@ -82,16 +82,19 @@ class Cauchy(Profile):
 
 @dataclass(frozen=True)
 class Exponential(Profile):
-    """Halves every ``lead`` before the anchor and every ``lag`` from it on; a side without width is zero."""
+    """Halves every ``lead`` before the anchor and every ``lag`` from it on; a side without width is zero, and so is all from a distance of ``end`` on."""
 
     lead: str | int = 0
     lag: str | int = 0
+    end: str | int | None = None
 
     def __post_init__(self) -> None:
         for side in ("lead", "lag"):
             if micros(getattr(self, side)) < 0:
                 log.warning("negative %s counts as zero", side)
                 object.__setattr__(self, side, 0)
+        if self.end is not None and micros(self.end) <= 0:
+            raise ValueError("end must be positive")
         if not micros(self.lead) and not micros(self.lag):
             log.warning("lead and lag are both zero: the profile is zero everywhere")
 
@@ -99,10 +102,12 @@ class Exponential(Profile):
         lead, lag = float(micros(self.lead)), float(micros(self.lag))
         before = F.pow(F.lit(2.0), us / F.lit(lead)) if lead else F.lit(0.0)
         after = F.pow(F.lit(2.0), -us / F.lit(lag)) if lag else F.lit(0.0)
-        return F.when(us < 0, before).otherwise(after)
+        value = F.when(us < 0, before).otherwise(after)
+        return value if self.end is None else F.when(F.abs(us) < micros(self.end), value).otherwise(0.0)
 
     def reach(self) -> tuple[int, int]:
-        return 1076 * micros(self.lead), 1076 * micros(self.lag)  # 2^-1076 is zero
+        sides = 1076 * micros(self.lead), 1076 * micros(self.lag)  # 2^-1076 is zero
+        return sides if self.end is None else tuple(min(x, micros(self.end)) for x in sides)
 
 
 PROFILES: dict[str, type[Profile]] = {c.__name__: c for c in (BoxCar, Gaussian, Cauchy, Exponential)}

@@ -27,15 +27,15 @@ def bucket(us: Column, width: int) -> Column:
     return F.call_function("div", us - F.pmod(us, F.lit(width)), F.lit(width))
 
 
-def _running(times: DataFrame, anchors: DataFrame, keys: Sequence[str], us: Column, width: int, weight: Column, anchors_first: bool) -> tuple[DataFrame, DataFrame]:
-    """Rows with the running sum of ``weight`` of their bucket's anchors before them, and the buckets' totals.
+def _running(times: DataFrame, anchors: DataFrame, keys: Sequence[str], us: Column, width: int, weight: Column, anchors_first: bool, back: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Rows with the running sum of ``weight`` of their bucket's anchors before them (``back``: after them), and the buckets' totals.
 
     ``weight`` is of n, the number of anchors at a time, and since, the microseconds from the bucket's begin.
     """
     placed = lambda df: df.withColumn("u", us).withColumn("b", bucket(F.col("u"), width)).withColumn("since", F.col("u") - F.col("b") * F.lit(width))
     own = placed(anchors).withColumn("w", weight)
     both = placed(times.withColumn("n", F.lit(0).cast("long"))).withColumn("w", F.lit(0).cast(own.schema["w"].dataType)).withColumn("row", F.lit(True))
-    window = Window.partitionBy(*keys, "b").orderBy("u", F.col("row") if anchors_first else ~F.col("row")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    window = Window.partitionBy(*keys, "b").orderBy(F.desc("u") if back else "u", F.col("row") if anchors_first else ~F.col("row")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = both.unionByName(own.withColumn("row", F.lit(False))).withColumn("sum", F.sum("w").over(window)).where("row")
     return sums.select(*keys, "us", "b", "since", "sum"), own.groupBy(*keys, "b").agg(F.sum("w").alias("total"))
 
@@ -50,15 +50,32 @@ def _box(times: DataFrame, anchors: DataFrame, keys: Sequence[str], width: int)
     return met.select(*keys, "us", (F.col("sum") + F.coalesce("left", F.lit(0)) - F.col("gone")).cast("double").alias("value"))
 
 
-def _tail(times: DataFrame, anchors: DataFrame, keys: Sequence[str], unit: int, ahead: bool) -> DataFrame:
-    """Sum of what halves every ``unit``, of the anchors up to a time; or with ``ahead`` of those after it, by time turned round."""
+def _tail(times: DataFrame, anchors: DataFrame, keys: Sequence[str], unit: int, ahead: bool, end: int | None) -> DataFrame:
+    """Sum of what halves every ``unit``, of the anchors up to a time; or with ``ahead`` of those after it, by time turned round.
+
+    Anchors from a distance of ``end`` on do not count. What the oldest bucket leaves of them is summed from its end, as a difference
+    of sums would be off by rounding.
+    """
     us = -F.col("us") if ahead else F.col("us")
+    ends = end is not None and end < ZERO * unit
+    width = min(HALVINGS * unit, end) if ends else HALVINGS * unit
+    whole = end // width if ends else ZERO // HALVINGS + 1  # buckets before that are whole within the reach, and one more
     grown = F.pow(F.lit(2.0), F.col("since") / F.lit(float(unit)))
-    rows, totals = _running(times, anchors, keys, us, HALVINGS * unit, F.col("n") * grown, not ahead)
-    later = totals.select(*keys, "total", "b", F.explode(F.sequence(F.lit(1), F.lit(ZERO // HALVINGS))).alias("d"))
-    carried = later.groupBy(*keys, (F.col("b") + F.col("d")).alias("b")).agg(F.sum(F.col("total") * F.pow(F.lit(2.0), -HALVINGS * F.col("d"))).alias("carried"))
-    met = rows.join(carried, [*keys, "b"], "left")
-    return met.select(*keys, "us", ((F.col("sum") + F.coalesce("carried", F.lit(0.0))) / grown).alias("value"))
+    fallen = lambda d: F.pow(F.lit(2.0), -d * F.lit(width / unit))
+    rows, totals = _running(times, anchors, keys, us, width, F.col("n") * grown, not ahead)
+    value = F.col("sum")
+    if whole > 1:
+        later = totals.select(*keys, "total", "b", F.explode(F.sequence(F.lit(1), F.lit(whole - 1))).alias("d"))
+        carried = later.groupBy(*keys, (F.col("b") + F.col("d")).alias("b")).agg(F.sum(F.col("total") * fallen(F.col("d"))).alias("carried"))
+        rows, value = rows.join(carried, [*keys, "b"], "left"), value + F.coalesce("carried", F.lit(0.0))
+    if ends:
+        earlier = F.when(F.col("n") == 0, us - F.lit(end)).otherwise(us)  # rows have no anchors of their own
+        oldest, _ = _running(times, anchors, keys, earlier, width, F.col("n") * grown, False, back=True)
+        rows = rows.join(oldest.select(*keys, "us", F.col("b").alias("from"), F.col("sum").alias("part")), [*keys, "us"])
+        rows = rows.join(totals.select(*keys, (F.col("b") + whole).alias("b"), F.col("total").alias("one_more")), [*keys, "b"], "left")
+        value = value + F.col("part") * fallen(F.col("b") - F.col("from"))
+        value = value + F.when(F.col("b") - F.col("from") > whole, F.coalesce("one_more", F.lit(0.0))).otherwise(0.0) * fallen(F.lit(whole))
+    return rows.select(*keys, "us", (value / grown).alias("value"))
 
 
 def _pairs(times: DataFrame, anchors: DataFrame, keys: Sequence[str], profile: Profile, before: int, after: int) -> DataFrame:
@@ -84,7 +101,7 @@ def from_anchors(df: DataFrame, ts: str, anchors: DataFrame, profile: Profile, a
     elif isinstance(profile, BoxCar):
         value = _box(times, some, inner, micros(profile.width))
     elif isinstance(profile, Exponential):
-        sides = [_tail(times, some, inner, micros(unit), ahead) for unit, ahead in ((profile.lead, True), (profile.lag, False)) if micros(unit)]
+        sides = [_tail(times, some, inner, micros(unit), ahead, profile.end and micros(profile.end)) for unit, ahead in ((profile.lead, True), (profile.lag, False)) if micros(unit)]
         value = sides[0] if sides else times.select(*inner, "us", F.lit(0.0).alias("value"))
         for more in sides[1:]:
             value = value.unionByName(more).groupBy(*inner, "us").agg(F.sum("value").alias("value"))
