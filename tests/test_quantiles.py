@@ -59,3 +59,16 @@ def test_lists_are_bounded(spark, monkeypatch):
     assert asked.first()["m"] == df.agg(F.percentile(F.col("v").cast("double"), 0.37).alias("m")).first()["m"]
     rounds = sum(c[-2:] == ["a", "b"] for c in seen)
     assert 2 <= rounds <= 8
+
+
+def test_all_values_are_read_by_the_first_round_only(spark, monkeypatch):
+    """Later rounds read what is left around the ranks, and ranks between the same borders share a sketch."""
+    monkeypatch.setattr(Q, "FEW", 64)
+    sizes, sketched, real, sketch = [], [], Q.written, Q.F.percentile_approx
+    monkeypatch.setattr(Q, "written", lambda df: sizes.append((out := real(df)).count()) or out)
+    monkeypatch.setattr(Q.F, "percentile_approx", lambda *a: sketched.append(1) or sketch(*a))
+    df = spark.range(100_000).selectExpr("id % 2 AS g", "xxhash64(id) AS v")
+    asked = {"low": 0.01, "m": 0.37, "high": 0.99}
+    got = sorted(map(tuple, Q.exact_quantiles(df, "v", asked, ["g"]).collect()))
+    assert got == sorted(map(tuple, df.groupBy("g").agg(*(F.percentile(F.col("v").cast("double"), q).alias(n) for n, q in asked.items())).collect()))
+    assert sizes[0] == 100_000 and sizes[1] <= 100_000 * 6 * 4 / Q.STEPS and len(sizes) == len(sketched) + 1 <= 4
