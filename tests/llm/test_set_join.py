@@ -147,3 +147,26 @@ def test_as_duckdb(spark):
     want = sorted(con.execute(f"SELECT {', '.join(names)} FROM ({Q.oracle_sql()['op12_set_join']})").fetchall())
     assert len(want) == 200 and any(a != c for a, _, c in want)
     assert sorted(map(tuple, Q.op12_set_join(spark, folder).select(*names).collect())) == want
+
+
+def test_shuffles_are_removed_on_the_way(spark, monkeypatch):
+    """What a step has shuffled does not stay on disk until the last: of very many small files that is more than the input."""
+    import time
+    from pathlib import Path
+
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {p.name.split("_")[1] for top in env.localDirsString() for p in Path(top).rglob("shuffle_*.data")}
+    before, counts, real = shuffles(), [], S.free
+
+    def watched(session):
+        held, until = len(shuffles() - before), time.time() + 20
+        real(session)
+        while (left := len(shuffles() - before)) > max(5, held // 2) and time.time() < until:  # Spark's cleaner runs beside
+            time.sleep(0.2)
+        counts.append((held, left))
+
+    monkeypatch.setattr(S, "free", watched)
+    rows = [(i, " ".join(f"w{(i // 4) * 40 + j}" for j in range(40)) + (" more" * (i % 4))) for i in range(80)]
+    got = S.similar_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len({r.component_id for r in got}) == 20
+    assert len(counts) >= 4 and all(left <= max(5, held // 2) for held, left in counts), counts

@@ -34,11 +34,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def release(spark: SparkSession) -> None:
+def free(spark: SparkSession) -> None:
     """Have Spark remove the shuffles and checkpoints that no frame refers to any more; it does so when the driver collects its
-    garbage, which a driver with little to do may put off until disks are full. Executors give unused heap back too."""
+    garbage, which a driver with little to do may put off until disks are full."""
     gc.collect()
     spark._jvm.System.gc()
+
+
+def release(spark: SparkSession) -> None:
+    """What ``free`` does, and executors give unused heap back too."""
+    free(spark)
     trim(spark)
 
 

@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.functions.storage import cut, release, written
+from tidecast.functions.storage import cut, free, release, written
 
-__all__ = ["ascii_lower", "cut", "join_split", "maybe_in", "parts", "read", "release", "spans", "written"]
+__all__ = ["ascii_lower", "cut", "free", "join_split", "maybe_in", "parts", "read", "release", "spans", "written"]
 
 BITMAP = 1 << 24
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.llm.common import cut, join_split
+from tidecast.llm.common import cut, free, join_split
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,6 +50,8 @@ def connected_components(edges: DataFrame, rounds: int | None = None, gathered:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = join_split(large, low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        del both, low, large, small
+        free(edges.sparkSession)  # a step's shuffles are small, but of many files
         before, now = now, print_of(e)
         if before == now:
             break

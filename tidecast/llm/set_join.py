@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.functions.storage import forget, mark
-from tidecast.llm.common import ascii_lower, cut, join_split, maybe_in, spans, written
+from tidecast.llm.common import ascii_lower, cut, free, join_split, maybe_in, spans, written
 from tidecast.llm.components import connected_components, labelled
 from tidecast.llm.words import mixed, shingle_sets
 
@@ -156,6 +156,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keys = groups.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("smallest"), F.max("most").alias("widest"), F.max(F.expr("most >= size")).alias("open")).where("n > 1 AND open").select("k", "smallest", "widest")
     keys = cut(keys)
     crowd = written(join_split(maybe_in(groups, "k", keys), keys, "k").where("most >= smallest AND size <= widest").select("k", "g", "size", "most"))
+    free(spark)  # here and below: what has been joined and grouped up to now would else stay on disk to the end
     may = "{a}most >= {b}size AND {b}most >= {a}size"
 
     def sets_of(short: bool):  # noqa: ANN202
@@ -172,6 +173,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def compared(pairs: DataFrame, short: bool) -> DataFrame:
         """Of the pairs, which are a checkpoint, those that link; with short sets those that may."""
+        free(spark)
         wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct())
         texts = maybe_in(source.select("s", "text"), "s", wanted).join(wanted, "s", "left_semi").dropDuplicates(["s"])
         own = written(texts.mapInArrow(sets_of(short), "s long, own binary"))
@@ -216,6 +218,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     side = lambda x: parts.select("k", *(F.col(c).alias(f"{x}{c}") for c in ("root", "least", "size", "most")))
     far = join_split(side("a_"), side("b_"), "k").where("a_root < b_root AND a_most >= b_least AND b_most >= a_least").select("k", "a_root", "b_root", F.col("b_least").alias("smallest"), F.col("b_most").alias("widest"))
     far = cut(far)
+    free(spark)
     every = lambda x: left.select(F.xxhash64("k", "root").alias("h"), *(F.col(c).alias(f"{x}{c}") for c in ("k", "root", "g", "size", "most")))
     pairs = far.select(F.xxhash64("k", "a_root").alias("h"), "k", "a_root", "b_root", "smallest", "widest")
     pairs = join_split(pairs, every("a_").withColumnRenamed("a_root", "r"), "h").where("k = a_k AND r = a_root AND a_most >= smallest AND widest >= a_size").select(F.xxhash64("k", "b_root").alias("h"), "k", "b_root", "a_g", "a_size", "a_most")
