@@ -134,3 +134,23 @@ def test_as_duckdb(spark):
     want = sorted(con.execute(f"SELECT {', '.join(COLUMNS)} FROM ({Q.oracle_sql()['op13_collocations']})").fetchall())
     assert len(want) > 20
     assert sorted(map(tuple, Q.op13_collocations(spark, folder).select(*COLUMNS).collect())) == want
+
+
+def test_rows_and_workers_of_the_automata(spark, monkeypatch):
+    """The automata give rows by different contexts, not by shards that hold them; no task needs two Python workers at once."""
+    frame, made = type(spark.range(0)), {}
+    real = frame.mapInArrow
+
+    def counted(df, f, schema, *more):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan.split("Exchange")[0], plan
+        made[f.__name__] = real(df, f, schema, *more)
+        return made[f.__name__]
+
+    monkeypatch.setattr(frame, "mapInArrow", counted)
+    rows, found = [("en", "one two three four five six seven. red fox runs far. one two three eight")] * 240, []
+    for parts in (2, 8):
+        assert got(spark, rows, parts) == brute(rows, 100)
+        found.append(made["phrases"].count())
+    # Ends of runs of three: 5 in the first piece, 2 in the second, and in the third one new to the first.
+    assert max(found) <= 3 * 8, found

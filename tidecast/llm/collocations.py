@@ -5,10 +5,13 @@ end positions. So a shard's states come out of a sort of the reversed contexts o
 words are the end positions of a phrase of d words. A state stands for its longest phrase and, down to one word more than its
 link, for its suffixes; its endpos count is the length of the run. Depth is bounded by the longest phrase asked for.
 
+Equal contexts are summed before they are dealt to shards, so that each lies in one shard only: the automata give at most
+``longest - 2`` rows for each different context, however many shards there are.
+
 A phrase is as frequent as it has to be only if its words, its pairs and its runs of three are. Words are summed first, then pairs
 of frequent words, then runs of three by slots of a table; longer phrases come from the automata, which leave out what crosses a
 run that is too rare. These filters have a fixed size and go by hash: where they let too much pass, the automata give more rows,
-at most ``longest`` per word, and the exact sums drop them. Words are told apart by 64 bits in the sums of pairs, and as they are
+at most those of each different context, and the exact sums drop them. Words are told apart by 64 bits in the sums of pairs, and as they are
 in all others.
 """
 
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 from tidecast.llm.common import join_split, spans, written
 from tidecast.llm.words import Words, classes, mixed
 
-#: Bytes of text that are cut together, words of an automaton, and bits of a filter.
-SHARD, LARGEST, BITS = 4_000_000, 1 << 20, 1 << 25
+#: Bytes of text that are cut together, contexts of an automaton, and bits of a filter.
+SHARD, LARGEST, BITS = 4_000_000, 1 << 18, 1 << 25
 #: Slots of the table of runs of three, and those that travel together.
 SLOTS, CHUNK = 1 << 22, 1 << 16
 PIECES = classes(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
@@ -48,18 +51,24 @@ def automaton(ids: np.ndarray, depth: np.ndarray, most: int) -> dict[str, np.nda
     back = np.full((m, most), -1, np.int64)
     for d in range(min(most, m)):
         back[d:, d] = np.where(depth[d:] > d, ids[: m - d], -1)
+    return joined(back, np.ones(m, np.int64))
+
+
+def joined(back: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """The states of reversed contexts, a row each with -1 behind its last word, that occur ``weight`` times; ``end`` is a row."""
+    m, most = back.shape
     order = np.lexsort(back.T[::-1])
-    back = back[order]
+    back, weight = back[order], weight[order]
     lcp = np.r_[0, np.minimum.accumulate((back[1:] == back[:-1]) & (back[1:] >= 0), axis=1).sum(axis=1)]  # with the row before
-    first, size = np.full((most + 1, m), -1), np.zeros((most + 1, m), np.int64)  # by depth and row: its run's first row and length
-    first[0], size[0] = 0, m
+    first, size = np.full((most + 1, m), -1), np.zeros((most + 1, m), np.int64)  # by depth and row: its run's first row and weight
+    first[0], size[0] = 0, weight.sum()
     for d in range(1, most + 1):
         rows = np.flatnonzero(back[:, d - 1] >= 0)
         if not len(rows):
             break
         new = lcp[rows] < d
         first[d, rows] = rows[new][np.cumsum(new) - 1]
-        size[d, rows] = np.diff(np.r_[np.flatnonzero(new), len(rows)])[np.cumsum(new) - 1]
+        size[d, rows] = np.add.reduceat(weight[rows], np.flatnonzero(new))[np.cumsum(new) - 1]
     number, found = np.full((most + 1, m), -1), []
     for d in range(1, most + 1):
         rows = np.flatnonzero(first[d] == np.arange(m))
@@ -105,7 +114,6 @@ class Shard:
 
     def triples(self, frequent: np.ndarray, together: np.ndarray) -> np.ndarray:
         """Positions of three words in a row whose pairs are both frequent by the filters."""
-        at, goes_on = self.pairs(frequent), np.zeros(len(self.ids) + 1, bool)
         at, goes_on = self.pairs(frequent), np.zeros(len(self.ids), bool)
         goes_on[at[seen(together, paired(self.hash[self.ids[at]], self.hash[self.ids[at + 1]]))]] = True
         return np.flatnonzero(goes_on[:-1] & goes_on[1:])
@@ -193,49 +201,60 @@ def phrase_counts(docs: DataFrame, least: int, longest: int, text_col: str = "te
     kind = "at int, counts binary"
     # Runs that share a slot count together: that only lets more pass.
     crowded = np.zeros(SLOTS, bool)
-    for at, packed in source.mapInArrow(triples, kind).mapInArrow(added, kind).repartition("at").mapInArrow(added, kind).collect():  # SLOTS numbers
+    for at, packed in source.mapInArrow(triples, kind).repartition("at").mapInArrow(added, kind).collect():  # SLOTS numbers
         crowded[at * CHUNK : (at + 1) * CHUNK] = unpacked(packed) >= least
     often_three = source.sparkSession.sparkContext.broadcast(crowded)
 
-    def phrases(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The shard of an automaton are the runs left of several spans, up to LARGEST words of them."""
-        names: dict[tuple[str, str], int] = {}
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            ids, depth = (np.concatenate(x) for x in zip(*held, strict=True))
-            lang, word = (pa.array([n[i] for n in names], pa.string()) for i in (0, 1))
-            end, length, count = substrings(automaton(ids, depth, longest))
-            for d in range(3, longest + 1):
-                here = end[length == d]
-                text = pc.binary_join_element_wise(*(word.take(pa.array(ids[here - d + 1 + i])) for i in range(d)), " ")
-                yield pa.RecordBatch.from_arrays([lang.take(pa.array(ids[here])), text, pa.array(np.full(len(here), d, np.int32)), pa.array(count[length == d])], names=["lang", "phrase", "words", "f"])
-            held.clear()
-            names.clear()
-
+    def contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each position where a run of three ends that may be frequent, by the words up to it; Spark sums what is equal."""
         for batch in spans(batches, "text", SHARD):
             s = Shard(batch)
             at = s.triples(frequent.value, together.value)
             at = at[often_three.value[s.slots(at, SLOTS)]]
-            if not len(at):
-                continue
-            ends, kept = (np.zeros(len(s.ids), bool) for _ in range(2))
-            ends[at + 2] = True  # of a run of three that may be frequent
-            for i in range(3):
-                kept[at + i] = True
+            ends = np.zeros(len(s.ids), bool)
+            ends[at + 2] = True
             reach = np.zeros(len(s.ids), np.int64)  # how many words before a position its phrases may have
-            reach[1:] = kept[1:] & kept[:-1]
+            reach[at + 1] = 1
             for _ in range(longest - 2):
                 reach[1:] = np.where(ends[1:], np.minimum(reach[:-1] + 1, longest - 1), reach[1:])
-            own, local = np.unique(s.ids[kept], return_inverse=True)
-            number = [names.setdefault(n, len(names)) for n in zip(s.lang.take(pa.array(own)).to_pylist(), s.word.take(pa.array(own)).to_pylist(), strict=True)]
-            held.append((np.array(number, np.int64)[local], reach[kept] + 1))
-            if sum(len(x) for x, _ in held) >= LARGEST:
-                yield from out()
+            for d in range(3, longest + 1):
+                here = np.flatnonzero(ends & (reach == d - 1))
+                text = pc.binary_join_element_wise(*(s.word.take(pa.array(s.ids[here - d + 1 + i])) for i in range(d)), " ")
+                yield pa.RecordBatch.from_arrays([s.lang.take(pa.array(s.ids[here])), text], names=["lang", "phrase"])
+
+    def phrases(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shard of an automaton are contexts of a task, LARGEST at most."""
+        held: list[pa.RecordBatch] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            own = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            words = pc.split_pattern(own.column("phrase").combine_chunks(), " ")
+            stop, coded = words.offsets.to_numpy()[1:], words.values.dictionary_encode()
+            size, ids = np.diff(words.offsets.to_numpy()), coded.indices.to_numpy().astype(np.int64)
+            lang = own.column("lang").combine_chunks()
+            of = lang.dictionary_encode().indices.to_numpy().astype(np.int64) * len(coded.dictionary)
+            back = np.full((len(size), longest), -1, np.int64)
+            for d in range(longest):
+                has = size > d
+                back[has, d] = ids[stop[has] - 1 - d] + of[has]
+            end, length, count = substrings(joined(back, own.column("n").to_numpy()))
+            for d in range(3, longest + 1):
+                here = end[length == d]
+                text = pc.binary_join_element_wise(*(coded.dictionary.take(pa.array(ids[stop[here] - d + i])) for i in range(d)), " ")
+                yield pa.RecordBatch.from_arrays([lang.take(pa.array(here)), text, pa.array(np.full(len(here), d, np.int32)), pa.array(count[length == d])], names=["lang", "phrase", "words", "f"])
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, LARGEST):
+                part = batch.slice(lo, LARGEST)
+                if sum(len(x) for x in held) + len(part) > LARGEST:
+                    yield from out()
+                held.append(part)
         if held:
             yield from out()
 
-    more = source.mapInArrow(phrases, "lang string, phrase string, words int, f long").groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    summed = source.mapInArrow(contexts, "lang string, phrase string").groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("n"))
+    more = summed.mapInArrow(phrases, "lang string, phrase string, words int, f long").groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     names = every.where(F.col("n") >= least).select(F.xxhash64("lang", "word").alias("h"), "lang", "word")
     two = join_split(often, names, "h").withColumnRenamed("word", "first").withColumnRenamed("h", "h1").withColumnRenamed("h2", "h")
     two = join_split(two, names.select("h", "word"), "h").select("lang", F.concat_ws(" ", "first", "word").alias("phrase"), F.lit(2).alias("words"), F.col("n").alias("f"))
